@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate
+from docloom.llm import decontaminate, neardup, packing, pii
 from docloom.session import table
 
 
@@ -24,7 +24,28 @@ def op10_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+def personal_data(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    found = pii.with_spans(df.select(key, text), text, "found")
+    count = lambda kind: F.size(F.filter("found", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(key, *map(count, ("email", "ip", "card", "phone")), F.sha2(pii.as_text(pii.base(F.col("found"))), 256).alias("base_sha256"), pii.as_text(F.col("found")).alias("spans"))
+
+
+def op9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op8_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_setsketch": op2_setsketch,
+    "op8_sum_of_squares": op8_sum_of_squares,
+    "op9_spans": op9_spans,
     "op10_inverted_index": op10_inverted_index,
 }
 SQL: dict[str, str] = {}
