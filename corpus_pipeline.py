@@ -1,9 +1,71 @@
-"""A corpus pipeline of five stages: quality rules, near-duplicates, decontamination, personal data, packing."""
+"""A corpus pipeline: quality rules, near-duplicates, benchmark decontamination, personal data, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. Rejected
+documents are found as ids and removed by an anti join. Rows that share an id count as one document: they stay or go
+together; a row with a null id can't be named and stays.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.llm import decontaminate, neardup, packing, pii, quality
+from docloom.llm.queries import contamination
+from docloom.session import stored, table
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and aren't outliers of their language and source."""
+    rows = quality.with_statistics(docs.select("doc_id", "text", "lang", "source"))
+    rows = stored(rows.drop("text"), "statistics")
+    judged = quality.judge(rows, quality.fit(rows))
+    return _without(docs, stored(judged.where("NOT kept").select("doc_id").distinct(), "rejected"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    found = neardup.near_duplicates(docs)
+    return _without(docs, stored(found.where("NOT kept").select("doc_id").distinct(), "duplicates"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth lies in windows of the benchmark."""
+    found = contamination(decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")))
+    return _without(docs, stored(found.where("contaminated").select("doc_id").distinct(), "contaminated"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind; n_chars follows the text."""
+    clean = pii.redact(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences with their token ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal data", personal_data),
+    ("packing", packed),
+]
+
+#: Concentration steps and the tokenizer can't be expressed in SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if stage is not packed:
+            docs = stored(docs, "stage")
     return docs

@@ -2,14 +2,16 @@
 
 1. Each text becomes its set of word shingles, a 128-bit fingerprint of it, and SetSketch registers. Equal sets get one
    representative (the smallest id), so copies never meet in pairs.
-2. Bands of registers are bucket keys. In each bucket every member is paired with the smallest id: a star, not all pairs.
+2. Bands of registers are bucket keys. In each bucket every member is paired with the one that shares most buckets, in
+   all, with others: a star, not all pairs.
 3. Pairs whose joint likelihood rules the threshold out are dropped; the rest are decided on the full sets of both texts.
-4. In buckets whose members aren't all in one component yet, the remaining pairs across components are compared by
-   likelihood in blocks of registers; only plausible pairs leave a block, and they too are decided on full sets.
+4. In buckets whose members aren't all in one component yet, components are merged into clusters by plausible pairs, in
+   blocks of registers; in each cluster, plausible pairs across components are decided on full sets, in blocks of texts.
+   A pair is left out once its ends are connected, and a block gives the edges that connect it, not the pairs it tried.
 5. Components of the links, by stars again.
 
 Pairs are only joined on ids and bucket keys, in joins that the adaptive planner can split; a hot group costs work in
-proportion to its members unless they are mutually dissimilar, and then only registers are compared.
+proportion to its members unless they are mutually close but not linked, and then pairs are tried in blocks.
 
 Defined cases: a text without words (or null) has an empty set, links with nothing and is its own component; with fewer
 words than a shingle has, the whole sequence is the one shingle; a row with a null id takes the component of the rows
@@ -34,7 +36,8 @@ from docloom.session import stored
 SHINGLE = 5
 PERCENT = 80
 SLICE_WORDS = 300_000
-BLOCK = 1000
+BLOCK = 1000  # rows of registers
+TEXTS = 250  # rows of texts
 WORD_CACHE = 400_000
 
 
@@ -113,7 +116,7 @@ def _compared(df: DataFrame, threshold: float) -> DataFrame:
         if not len(n_u):
             return pd.Series([], dtype=bool)
         a, b = (np.frombuffer(b"".join(r), np.uint8).reshape(len(r), -1) for r in (r_u, r_v))
-        return pd.Series(S.plausible((a > b).sum(axis=1), (a < b).sum(axis=1), n_u.to_numpy(), n_v.to_numpy(), threshold, a.shape[1])[1])
+        return pd.Series(S.plausible((a > b).sum(axis=1), (a < b).sum(axis=1), n_u.to_numpy(), n_v.to_numpy(), threshold, a.shape[1]))
 
     return df.where(likely("n_u", "n_v", "r_u", "r_v"))
 
@@ -139,28 +142,83 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return stored(joined.select("u", "v", "a", "b").mapInArrow(check, "u bigint, v bigint"), "links")
 
 
-def _across(members: DataFrame, threshold: float) -> DataFrame:
-    """Plausible pairs across components within each bucket: blocks of registers meet, pairs that fail leave no row."""
+class _Meeting:
+    """Two sides of a block and the components that their rows are in so far."""
+
+    def __init__(self, block: pd.DataFrame):
+        i, j = int(block.i.iloc[0]), int(block.j.iloc[0])
+        self.same = i == j
+        self.left, self.right = (block[block.side == x] for x in (i, j))
+        self.of_left = self.left.comp.to_numpy().copy()
+        self.of_right = self.of_left if self.same else self.right.comp.to_numpy().copy()
+
+    def merge(self, x: int, y: int) -> None:
+        for labels in (self.of_left, self.of_right):
+            labels[labels == max(x, y)] = min(x, y)
+
+    def candidates(self, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row of left with the plausible rows of right that are in another component so far. The caller merges."""
+        least = S.least_equal(threshold)
+        regs = np.frombuffer(b"".join(self.right.registers), np.uint8).reshape(len(self.right), -1)
+        sizes = self.right.n.to_numpy()
+        for at, (n, r) in enumerate(zip(self.left.n, self.left.registers, strict=True)):
+            first, mine = at + 1 if self.same else 0, np.frombuffer(r, np.uint8)
+            other = first + np.flatnonzero(self.of_right[first:] != self.of_left[at])
+            if len(other):
+                rest = other[S.equal(mine, regs[other]) >= least]
+                theirs = regs[rest]
+                yield at, rest[S.plausible((mine > theirs).sum(axis=1), (mine < theirs).sum(axis=1), np.full(len(rest), n), sizes[rest], threshold, regs.shape[1])]
+
+
+def _blocked(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """rows (with comp and size, the rows of the group) dealt to pairs of blocks: columns i, j, side. Rows of a component larger
+    than a block are in blocks of their own, which don't meet each other; i = j is a block with itself."""
+    big = F.col("own") > block
+    number = lambda n: F.pmod(F.xxhash64("id"), F.greatest(F.ceil(n / block), F.lit(1))).cast("long")
+    sizes = stored(rows.groupBy(group, "comp").agg(F.count("*").alias("own")), "sizes")
+    rows = rows.join(sizes, [group, "comp"]).withColumn("large", F.when(big, F.col("comp"))).withColumn("side", F.when(big, F.xxhash64("comp", number(F.col("own")))).otherwise(number(F.col("size"))))
+    rows = stored(rows, "blocked")
+    blocks = stored(rows.select(group, "large", "side").distinct(), "blocks")
+    one, two = (blocks.select(group, F.col("large").alias(f"large_{x}"), F.col("side").alias(x)) for x in "ij")
+    meets = one.join(two, group).where("(large_i IS NULL AND large_j IS NULL AND i <= j) OR (large_i IS NULL AND large_j IS NOT NULL) OR large_i < large_j").select(group, "i", "j")
+    meets = stored(meets, "meets")
+    sides = meets.select(group, "i", "j", F.col("i").alias("side")).unionByName(meets.where("i <> j").select(group, "i", "j", F.col("j").alias("side")))
+    return rows.drop("own", "large", "size").join(sides, [group, "side"])
+
+
+def _clusters(members: DataFrame, threshold: float) -> DataFrame:
+    """Plausible pairs (u, v) of components within each bucket: as many as connect what is plausibly connected, and no more."""
 
     def meet(block: pd.DataFrame) -> pd.DataFrame:
-        left = block[block.side == block.i.iloc[0]]
-        right = block[block.side == block.j.iloc[0]]
-        same = block.i.iloc[0] == block.j.iloc[0]
-        regs = np.frombuffer(b"".join(right.registers), np.uint8).reshape(len(right), -1)
-        ids, comps, sizes = right.id.to_numpy(), right.comp.to_numpy(), right.n.to_numpy()
-        out = []
-        for id_, comp, n, r in zip(left.id, left.comp, left.n, left.registers, strict=True):
-            rest = np.flatnonzero((comps != comp) & ((ids > id_) if same else True))
-            if len(rest):
-                mine, theirs = np.frombuffer(r, np.uint8), regs[rest]
-                ok = S.plausible((mine > theirs).sum(axis=1), (mine < theirs).sum(axis=1), np.full(len(rest), n), sizes[rest], threshold, regs.shape[1])[1]
-                out += [(min(id_, x), max(id_, x)) for x in ids[rest[ok]].tolist()]
+        m, out = _Meeting(block), []
+        for at, rest in m.candidates(threshold):
+            for r in rest.tolist():
+                if m.of_left[at] != m.of_right[r]:
+                    out.append((int(m.of_left[at]), int(m.of_right[r])))
+                    m.merge(*out[-1])
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = members.withColumn("side", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "comp", "n", "registers")
-    return placed.groupBy("bucket", "i", "j").applyInPandas(meet, "u bigint, v bigint").distinct()
+    return _blocked(members, "bucket", BLOCK).groupBy("bucket", "i", "j").applyInPandas(meet, "u bigint, v bigint").distinct()
+
+
+def _linked(members: DataFrame, threshold: float, k: int, percent: int) -> DataFrame:
+    """Verified links (u, v) across components within each cluster: as many as connect what is linked, and no more."""
+
+    def meet(block: pd.DataFrame) -> pd.DataFrame:
+        m, out = _Meeting(block), []
+        numbers: dict[tuple, int] = {}
+        left, right = ([{numbers.setdefault(x, len(numbers)) for x in shingles(t.encode(), k)} for t in side.body] for side in (m.left, m.right))
+        for at, rest in m.candidates(threshold):
+            mine = left[at]
+            for r in rest.tolist():
+                if m.of_left[at] != m.of_right[r]:
+                    both = len(mine & right[r])
+                    if 100 * both >= percent * (len(mine) + len(right[r]) - both):
+                        m.merge(int(m.of_left[at]), int(m.of_right[r]))
+                        out.append((int(m.left.id.iloc[at]), int(m.right.id.iloc[r])))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return _blocked(members, "cluster", TEXTS).groupBy("cluster", "i", "j").applyInPandas(meet, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -174,11 +232,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     bands = S.REGISTERS // S.ROWS
     keys = F.array(*(F.xxhash64(F.lit(j), F.substring("registers", j * S.ROWS + 1, S.ROWS)) for j in range(bands)))
     placed = reps.select("id", F.explode(keys).alias("bucket"))
-    heads = placed.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
-    members = stored(placed.join(stored(heads, "heads"), "bucket"), "members")
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = stored(placed.join(stored(sizes, "sizes"), "bucket"), "shared")
+    # the text that its copies were made from shares more buckets with each of them than they do with each other
+    central = stored(shared.groupBy("id").agg(F.sum("size").alias("weight")), "weights")
+    heads = shared.join(central, "id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("x"))
+    members = stored(shared.join(stored(heads.select("bucket", (-F.col("x.minus")).alias("head")), "heads"), "bucket"), "members")
 
     narrow = reps.select("id", "n", "registers")
-    pairs = members.where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct()
+    pairs = members.where("id <> head").select(F.least("head", "id").alias("u"), F.greatest("head", "id").alias("v")).distinct()
     pairs = stored(pairs, "pairs").join(narrow.select(F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("registers").alias("r_v")), "v")
     pairs = pairs.join(narrow.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("registers").alias("r_u")), "u")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body"))
@@ -190,9 +252,13 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     labelled = stored(labelled, "labelled")
     open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bucket")
     rest = labelled.join(stored(open_, "open"), "bucket").join(narrow, "id")
-    more = stored(_across(rest, threshold), "across")
-    if more.take(1):
-        more = _verified(more, texts, shingle, percent)
+    edges = stored(_clusters(rest, threshold), "plausible")
+    if edges.take(1):
+        clusters = stored(components(edges), "clusters").select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
+        nodes = stored(rest.select("id", "comp", "n", "registers").distinct().join(clusters, "comp"), "nodes")
+        sizes = stored(nodes.groupBy("cluster").agg(F.count("*").alias("size")), "sizes")
+        bodies = texts.where("id IS NOT NULL AND body IS NOT NULL").join(nodes.join(sizes, "cluster"), "id")
+        more = stored(_linked(bodies, threshold, shingle, percent), "links")
         if more.take(1):
             found = stored(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
 

@@ -14,7 +14,7 @@ ROWS = 5  # registers in a band; 40 bands find a pair of similarity 0.8 but for
 BASE = 1.2
 RATE = 20.0
 LIMIT = 255
-PRUNE = 15.0  # log-likelihood: a pair at the threshold is dropped less than once in ten million
+PRUNE = 9.0  # log-likelihood: a pair just at the threshold is dropped once in 90,000, one of 0.85 next to never
 _POWERS = BASE ** -np.arange(LIMIT + 2, dtype=np.float64)
 _U = np.uint64
 
@@ -50,19 +50,54 @@ def sketch(elements: np.ndarray, owner: np.ndarray, sets: int, m: int = REGISTER
     return registers.reshape(sets, m)
 
 
-def plausible(more: np.ndarray, less: np.ndarray, n_u: np.ndarray, n_v: np.ndarray, threshold: float, m: int = REGISTERS, prune: float = PRUNE) -> tuple[np.ndarray, np.ndarray]:
-    """(maximum-likelihood Jaccard estimate, whether the threshold is plausible) from the numbers of registers where U is more and less than V, and the set sizes."""
-    n_u, n_v = n_u.astype(np.float64), n_v.astype(np.float64)
+def _likelihood(more: np.ndarray, less: np.ndarray, n_u: np.ndarray, n_v: np.ndarray, m: int):
+    """The joint log-likelihood of a Jaccard similarity, given in how many registers U is more and less than V, and the set sizes."""
     u, v = n_u / (n_u + n_v), n_v / (n_u + n_v)
-    top = np.minimum(n_u, n_v) / np.maximum(n_u, n_v)
-    grid = np.linspace(0.0, 1.0, 41)[:, None]
-    p = lambda x: -np.log1p(-np.clip(x, 0.0, 1.0) * (BASE - 1) / BASE) / np.log(BASE)
+    p = lambda x: np.maximum(-np.log1p(-np.clip(x, 0.0, 1.0) * (BASE - 1) / BASE) / np.log(BASE), 1e-12)
 
-    def likelihood(j: np.ndarray) -> np.ndarray:
-        a, b = np.maximum(p(u - v * j), 1e-12), np.maximum(p(v - u * j), 1e-12)
+    def at(j: np.ndarray) -> np.ndarray:
+        a, b = p(u - v * j), p(v - u * j)
         return more * np.log(a) + less * np.log(b) + (m - more - less) * np.log(np.maximum(1 - a - b, 1e-12))
 
-    everywhere, above = likelihood(grid * top), likelihood(threshold + grid * np.maximum(top - threshold, 0))
-    best = np.maximum(everywhere.max(axis=0), above.max(axis=0))
-    estimate = (grid * top)[everywhere.argmax(axis=0), np.arange(len(top))]
-    return estimate, (top >= threshold - 1e-9) & (above.max(axis=0) >= best - prune)
+    return at
+
+
+def estimate(more: np.ndarray, less: np.ndarray, n_u: np.ndarray, n_v: np.ndarray, m: int = REGISTERS) -> np.ndarray:
+    """The similarity of maximum likelihood, by golden-section search (the likelihood is concave)."""
+    at, ratio = _likelihood(more, less, n_u, n_v, m), (5**0.5 - 1) / 2
+    low, high = np.zeros(len(more)), np.minimum(n_u, n_v) / np.maximum(n_u, n_v)
+    for _ in range(25):
+        a, b = high - ratio * (high - low), low + ratio * (high - low)
+        right = at(a) < at(b)
+        low, high = np.where(right, a, low), np.where(right, high, b)
+    return (low + high) / 2
+
+
+def plausible(more: np.ndarray, less: np.ndarray, n_u: np.ndarray, n_v: np.ndarray, threshold: float, m: int = REGISTERS, prune: float = PRUNE) -> np.ndarray:
+    """Whether no similarity below the threshold is likelier than the threshold itself by more than ``prune``."""
+    at = _likelihood(more, less, n_u, n_v, m)
+    here = at(np.float64(threshold))
+    good = np.minimum(n_u, n_v) >= (threshold - 1e-9) * np.maximum(n_u, n_v)
+    for j in np.linspace(0.0, threshold, 10, endpoint=False)[4:]:
+        good &= at(j) <= here + prune
+    return good
+
+
+def equal(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """In how many registers each of many sketches equals one; eight registers are compared and summed in a word."""
+    pad = -many.shape[1] % 8
+    same = (many == one).view(np.uint8)
+    same = np.ascontiguousarray(np.pad(same, ((0, 0), (0, pad))) if pad else same).view(np.uint64)
+    total = np.zeros(len(many), np.int64)
+    for at in range(0, same.shape[1], 31):  # a byte holds up to 255
+        part = same[:, at : at + 31].sum(axis=1, dtype=np.uint64)
+        total += sum((part >> _U(8 * i)) & _U(255) for i in range(8)).astype(np.int64)
+    return total
+
+
+def least_equal(threshold: float, m: int = REGISTERS, prune: float = PRUNE) -> int:
+    """Fewer equal registers than this are implausible at the threshold, whatever the set sizes: a bound that costs less than the likelihood.
+
+    Registers of sets at the threshold are equal with that probability or more; the bound is Hoeffding's, exp(-2 t * t / m).
+    """
+    return max(0, int(threshold * m - (prune * m / 2) ** 0.5))

@@ -79,8 +79,9 @@ def test_sketch_merges_and_estimates():
     u, v, both = S.sketch(np.concatenate([a, a[:2000], b, a, b]), own(3000, 3000, 4000), 3)
     assert (S.sketch(np.concatenate([a, a[:2000], b]), own(5000 + 1000), 1)[0] == both).all()
     assert (np.maximum(u, v) == both).all()
-    j, ok = S.plausible(np.array([(u > v).sum()]), np.array([(u < v).sum()]), np.array([3000]), np.array([3000]), 0.8)
-    assert abs(j[0] - 0.5) < 0.12 and not ok[0]
+    seen = np.array([(u > v).sum()]), np.array([(u < v).sum()]), np.array([3000]), np.array([3000])
+    assert abs(S.estimate(*seen)[0] - 0.5) < 0.12 and not S.plausible(*seen, 0.8)[0] and S.plausible(*seen, 0.5)[0]
+    assert (S.equal(u, np.stack([u, v, both])) == [(u == x).sum() for x in (u, v, both)]).all()
 
 
 def test_components(spark):
