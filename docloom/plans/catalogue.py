@@ -5,9 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from docloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,13 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-@query("""
-SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score
-FROM embeddings WHERE vec_id <> 0 ORDER BY score DESC, vec_id LIMIT 10
-""")
-def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = e.where("vec_id = 0").select(F.col("v").alias("q"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = e.where("vec_id <> 0").crossJoin(F.broadcast(q.limit(1))).select("vec_id", F.round(dot("v", "q") / F.sqrt(dot("v", "v") * dot("q", "q")), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "vec_id").limit(10)
+from docloom.plans import conversations, documents, evaluation, records, vectors  # noqa: E402, F401  (they register)
