@@ -146,7 +146,7 @@ def without_thoughts(text: ColumnOrName) -> Column:
 
 def fenced(text: ColumnOrName) -> Column:
     """What stands in the first ``` fence, else the text."""
-    inner = F.regexp_extract(col(text), r"(?s)```(?:[A-Za-z]+)?\s*\n?(.*?)```", 1)
+    inner = F.regexp_extract(col(text), r"(?s)```(?:[A-Za-z]+)?\s*(.*?)\s*```", 1)
     return F.when(col(text).contains("```"), F.trim(inner)).otherwise(F.trim(col(text)))
 
 
