@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, neardup, packing, pii, quality, sharding, tokenscan, toxicity, urls, warc
+from docloom.llm import decontaminate, neardup, packing, pii, quality, sharding, sql, tokenscan, toxicity, urls, warc
 from docloom.session import stored, table
 
 
@@ -16,7 +16,6 @@ def contamination(found: DataFrame, key: str = "doc_id") -> DataFrame:
         key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-        F.size("near").cast("long").alias("n_near_items"),
     )
 
 
@@ -106,22 +105,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_spans": op9_spans,
     "op10_inverted_index": op10_inverted_index,
 }
-SQL: dict[str, str] = {
-    "op4_host_trie": r"""
-WITH p AS (
-  SELECT page_id,
-    translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
-  FROM pages
-), r AS (
-  SELECT *, CASE
-    WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/en/7') THEN 'example.com/en/7'
-    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/en/') THEN 'com/en/'
-    WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/de/8') THEN 'example.net/de/8'
-    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/de/') THEN 'net/de/'
-    WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/es/') THEN 'org/es/' END AS rule
-  FROM p
-)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' ELSE 'allow' END AS verdict FROM r
-""",
-}
+SQL: dict[str, str] = dict(sql.SQL)
