@@ -30,8 +30,10 @@ def readable_ids(nodes: DataFrame, name: str = "name") -> DataFrame:
 
 def single_end(edges: DataFrame, which: str) -> DataFrame:
     """The one first or last node; no row if there are none or several."""
+    if which not in ("first", "last"):
+        raise ValueError(f"no end {which!r}")
     ends = nodes_like(edges).where(which).select("node")
-    return ends.withColumn("__n", F.count("*").over(Window.partitionBy(F.lit(1)))).where("__n = 1").drop("__n") if which in ("first", "last") else ends.limit(0)
+    return ends.crossJoin(F.broadcast(ends.agg(F.count("*").alias("__n")))).where("__n = 1").drop("__n")
 
 
 def as_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
