@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from docloom.plans import conversations, documents, evaluation, more, records, vectors  # noqa: E402, F401  (they register)
+from docloom.plans import conversations, documents, evaluation, extra, more, records, vectors  # noqa: E402, F401  (they register)
