@@ -2,13 +2,14 @@
 
 ``Encoder`` gives the ids that the tokenizers library gives for the same vocabulary file, without added tokens. Most
 text is single words between single spaces, and a piece of such text always begins at a space, so encoded words are
-kept and looked up again; texts with other white space next to a space are encoded whole.
+kept and looked up again; so are words about a single line break. Texts with other white space next to a space are encoded whole.
 """
 
 from __future__ import annotations
 
 import json
-import re
+import sys
+from array import array
 
 import numpy as np
 import tiktoken
@@ -16,7 +17,12 @@ import tiktoken
 #: The pre-tokenisation pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE = 300_000
-_UNEVEN = re.compile(r" \s|\s ")
+MARKS = frozenset(".,;:!?")
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+
+
+class _Uneven(Exception):
+    """A space has other white space beside it."""
 
 
 def default_vocabulary() -> str:
@@ -43,22 +49,48 @@ class Encoder(dict):
         byte = _byte_of()
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.special = tuple(special)
+        self.bare: dict[str, bytes] = {}
         self.bpe = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.newline = self.whole("\n")
+        self.marks = {c: self.whole(c) for c in MARKS}
 
     def whole(self, text: str) -> bytes:
         ids = self.bpe.encode(text, allowed_special="all") if any(s in text for s in self.special) else self.bpe.encode_ordinary(text)
-        return np.array(ids, np.uint32).astype("<u4").tobytes()
+        return array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Uneven
+        first, *lines = word.split("\n")
+        if lines:  # a line break between two words is a piece of its own; such pairs seldom come again, so only their words are kept
+            return b"".join([self[first], *(x for line in lines for x in (self.newline, self.at_line(line)))])
+        if word[-1] in MARKS and word[-2:-1].isalpha():  # a mark after a letter begins a piece
+            ids = self[word[:-1]] + self.marks[word[-1]]
+        else:
+            ids = self.whole(" " + word)
         if len(self) >= CACHE:
             self.clear()
-        self[word] = ids = self.whole(" " + word)
+        self[word] = ids
+        return ids
+
+    def at_line(self, word: str) -> bytes:
+        """Ids of a word that no space stands before."""
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Uneven
+        ids = self.bare.get(word)
+        if ids is None:
+            if len(self.bare) >= CACHE:
+                self.bare.clear()
+            self.bare[word] = ids = self.whole(word)
         return ids
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _UNEVEN.search(text):
-            return self.whole(text)
-        words = text.split(" ")
-        return self.whole(words[0]) + b"".join(map(self.__getitem__, words[1:]))
+        first, *words = text.split(" ")
+        if not first[-1:].isspace():
+            try:
+                return self.whole(first) + b"".join(map(self.__getitem__, words))
+            except _Uneven:
+                pass
+        return self.whole(text)
