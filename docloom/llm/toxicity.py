@@ -3,8 +3,8 @@
 ``learn`` takes at most ``SAMPLE`` labelled rows (those with the smallest hash of their id; a fixed number however large the
 table) and derives the lexicon from word and stem counts in them: entries far commoner in toxic texts than in others. A
 stem entry matches any word that begins with it. A word of a text is looked up by running the Levenshtein automaton of
-the word over the trie, which finds entries at distance ``DISTANCE`` at most for words long enough; first letters or
-a pair of letters near an entry's end must agree, which any single edit leaves intact in one of the two.
+the word over the trie, which finds entries of ``FROM`` letters or more at distance ``DISTANCE`` at most; it is run for words that
+share half of an entry only, as a single edit leaves the other half whole.
 
 A hit's weight depends on its context window: inside quotation marks, or next to words of reporting, it counts less;
 next to other hits it counts more. A logistic model over a text's summed weights gives the score.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from docloom.session import stored
 
 SAMPLE = 20_000
-LEXICON = 2000
-LEAST = 4  # toxic texts of the sample that an entry must occur in
+LEXICON = 200
+LEAST, SHARE = 4, 0.01  # an entry must occur in so many toxic texts of the sample, and in this share of them
 ODDS = 3.5  # and the logarithm of how much commoner it must be there
 STEM = (4, 5, 6)
 DISTANCE, FROM = 1, 5
@@ -82,12 +82,25 @@ class Lexicon:
             for c in entry:
                 node = node.setdefault(c, {})
             node[""] = node.get("", False) or stem
-        self.heads = {e[:2] for e in (*words, *stems) if len(e) >= FROM}
-        self.tails: dict[int, set[str]] = {}
-        for e in (*words, *stems):
+        # an edit leaves one half of an entry whole: the first at its place, the second at most one place off
+        self.heads: dict[int, dict[str, list[tuple[int, bool]]]] = {}
+        self.tails: dict[tuple[int, int], dict[str, list[tuple[int, bool]]]] = {}
+        for e, stem in [*((w, False) for w in words), *((s, True) for s in stems)]:
             if len(e) >= FROM:
-                for place in range(len(e) - 2 - DISTANCE, len(e) - 1 + DISTANCE):
-                    self.tails.setdefault(place, set()).add(e[-2:])
+                half = len(e) // 2
+                self.heads.setdefault(half, {}).setdefault(e[:half], []).append((len(e), stem))
+                for place in range(half - DISTANCE, half + DISTANCE + 1):
+                    self.tails.setdefault((place, place + len(e) - half), {}).setdefault(e[half:], []).append((len(e), stem))
+
+    def _may(self, word: str) -> bool:
+        fits = lambda found: any(stem or abs(len(word) - n) <= DISTANCE for n, stem in found)
+        for n, heads in self.heads.items():
+            if (found := heads.get(word[:n])) and fits(found):
+                return True
+        for (a, b), tails in self.tails.items():
+            if (found := tails.get(word[a:b])) and fits(found):
+                return True
+        return False
 
     def exact(self, word: str) -> bool:
         node = self.trie
@@ -101,7 +114,7 @@ class Lexicon:
 
     def near(self, word: str) -> bool:
         """Whether an entry of FROM letters or more is within DISTANCE of the word (of its beginning, for a stem)."""
-        if len(word) < FROM - DISTANCE or not (word[:2] in self.heads or any(word[p : p + 2] in t for p, t in self.tails.items())):
+        if len(word) < FROM - DISTANCE or not self._may(word):
             return False
         automaton = Levenshtein(word, DISTANCE)
         stack = [(self.trie, automaton.start(), 0)]
@@ -203,11 +216,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "label").limit(sample)
     # SAMPLE ids at most: the texts aren't shuffled for them
     rows = stored(docs.select(F.col(key).alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id").select("text", "label"), "labelled")
+    # copies of a text would make all of its words look like terms
+    rows = stored(rows.groupBy(F.xxhash64("text"), F.md5("text")).agg(F.max("label").alias("label"), F.any_value("text").alias("text")).select("text", "label"), "distinct")
     size = {r["label"]: r["n"] for r in rows.groupBy(F.when(F.col("label") != 0, 1).otherwise(0).alias("label")).agg(F.count("*").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return None
     odds = F.log((F.col("toxic") + 0.5) / (size[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (size[0] + 1.0))
-    best = _counts(rows).where((F.col("toxic") >= LEAST) & (odds >= ODDS)).withColumn("odds", odds).orderBy(F.desc("odds"), "entry", "stem").limit(LEXICON)
+    best = _counts(rows).where((F.col("toxic") >= max(LEAST, SHARE * size[1])) & (odds >= ODDS)).withColumn("odds", odds).orderBy(F.desc("odds"), "entry", "stem").limit(LEXICON)
     found = best.collect()
     stems: list[str] = []
     words = {r["entry"] for r in found if not r["stem"]}
