@@ -4,7 +4,7 @@ A flat file is nothing but little-endian unsigned token ids, with an end-of-docu
 (path, offset, length) are scanned independently: one vector comparison and one search for the end ids of a block. An
 exclusive prefix scan over the blocks' summaries (ends so far, last end so far) then gives each block the number of its
 first document and where that document started, which may be many blocks earlier. Only summaries of 40 bytes a block meet
-in the scan; ends stay with their block. A block holds ``BLOCK`` tokens (4 MB) however long the file is.
+in the scan; ends stay with their block. A block holds ``BLOCK`` tokens (2 MB) however long the file is.
 
 Files are listed by Spark's binary reader (sizes only) and read at an offset through pyarrow.fs, which takes
 file, hdfs, viewfs, s3 and gs paths.
@@ -30,7 +30,7 @@ from docloom.session import fresh_path, stored
 
 END = 50256
 BLOCK = 1 << 20
-WIDTH = 4
+WIDTH = 2  # bytes of an id; vocabularies of up to 65,536 ids fit
 
 
 def opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -39,14 +39,15 @@ def opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return (pyarrow.fs.LocalFileSystem(), path) if path.startswith("/") else pyarrow.fs.FileSystem.from_uri(path)
 
 
-def write_flat(docs: DataFrame, folder: str, *, text: str = "text", vocabulary: str | None = None, end: int = END) -> DataFrame:
+def write_flat(docs: DataFrame, folder: str, *, text: str = "text", vocabulary: str | None = None, end: int = END, width: int = WIDTH) -> DataFrame:
     """Encodes texts, in their partitions' order, into one flat file for each partition. Runs at once; gives (path, docs, tokens).
 
     A task writes under a name of its own and then renames, so a repeated or doubled task leaves one whole file. A text
     that spells the end token is encoded as ordinary text.
     """
     path = vocabulary or default_vocabulary()
-    tail = np.array([end], "<u4").tobytes()
+    kind = f"<u{width}"
+    tail = np.array([end], kind).tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
@@ -58,23 +59,23 @@ def write_flat(docs: DataFrame, folder: str, *, text: str = "text", vocabulary:
         with fs.open_output_stream(own) as out:
             for batch in batches:
                 for body in batch.column(0):
-                    ids = encoder.encode(body.as_py()) + tail
+                    ids = np.frombuffer(encoder.encode(body.as_py()), "<u4").astype(kind).tobytes() + tail
                     out.write(ids)
-                    n, size = n + 1, size + len(ids) // WIDTH
+                    n, size = n + 1, size + len(ids) // width
         fs.move(own, name)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([size])], ["path", "docs", "tokens"])
 
     return stored(docs.select(text).mapInArrow(write, "path string, docs bigint, tokens bigint"), "flat")
 
 
-def blocks(spark: SparkSession, folder: str, block: int = BLOCK) -> DataFrame:
+def blocks(spark: SparkSession, folder: str, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
     """(path, block, offset, length) over all files of a folder, in tokens."""
-    files = spark.read.format("binaryFile").load(folder).select("path", (F.col("length") / WIDTH).cast("long").alias("size")).where("size > 0")
+    files = spark.read.format("binaryFile").load(folder).select("path", (F.col("length") / width).cast("long").alias("size")).where("size > 0")
     cut = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / block))))
     return cut.select("path", "block", (F.col("block") * block).alias("offset"), F.least(F.lit(block).cast("long"), F.col("size") - F.col("block") * block).alias("length"))
 
 
-def scan(cut: DataFrame, end: int = END) -> DataFrame:
+def scan(cut: DataFrame, end: int = END, width: int = WIDTH) -> DataFrame:
     """Each block's end ids: ends (places in the block), n_ends and last_end (place in the file)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,8 +83,8 @@ def scan(cut: DataFrame, end: int = END) -> DataFrame:
             for path, number, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fs, name = opened(path)
                 with fs.open_input_file(name) as f:
-                    f.seek(offset * WIDTH)
-                    ids = np.frombuffer(f.read(length * WIDTH), "<u4")
+                    f.seek(offset * width)
+                    ids = np.frombuffer(f.read(length * width), f"<u{width}")
                 ends = np.flatnonzero(ids == end).astype(np.int32)
                 last = offset + int(ends[-1]) if len(ends) else None
                 yield pa.RecordBatch.from_arrays(
@@ -96,9 +97,9 @@ def scan(cut: DataFrame, end: int = END) -> DataFrame:
     return cut.repartition(n, "path", "block").mapInArrow(find, "path string, block bigint, offset bigint, length bigint, n_ends bigint, last_end bigint, ends array<int>")
 
 
-def documents(spark: SparkSession, folder: str, *, end: int = END, block: int = BLOCK) -> DataFrame:
+def documents(spark: SparkSession, folder: str, *, end: int = END, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
     """A row for each document: path, doc_no (within its file), start, n_tokens (without the end id), closed."""
-    found = stored(scan(blocks(spark, folder, block), end), "ends")
+    found = stored(scan(blocks(spark, folder, block, width), end, width), "ends")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = found.select("path", "block", F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("first_doc"), (F.coalesce(F.max("last_end").over(before), F.lit(-1)) + 1).alias("open_start"))
     rows = found.where("n_ends > 0").join(stored(stitched, "stitched"), ["path", "block"])

@@ -21,7 +21,7 @@ def test_any_block_size_matches_brute_force(spark, tmp_path):
         if start < len(ids):
             want.append((name, doc, start, len(ids) - start, False))
     for block in (1, 7, 64, 1000):
-        got = T.documents(spark, f"file://{tmp_path}", end=9, block=block).collect()
+        got = T.documents(spark, f"file://{tmp_path}", end=9, block=block, width=4).collect()
         assert sorted((x["path"].rsplit("/", 1)[1][:-4], *tuple(x)[1:]) for x in got) == sorted(want)
 
 
