@@ -13,6 +13,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from docloom.functions import vectors as V
 from docloom.functions.text import count_of
 
 FEW = 10_000
+BLOCK = 8192  # rows of a block of near_vectors
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank", offset: int = 0) -> DataFrame:
@@ -118,13 +121,41 @@ def bm25(docs: DataFrame, terms: list[str], *, text: str = "text", row_id: str =
     return joined.select(row_id, reduce(lambda x, y: x + y, [part(i) for i in range(len(terms))]).alias("score"))
 
 
-def near_vectors(rows: DataFrame, *, above: float = 0.95, row_id: str = "id", vector: str = "embedding", bucket: str | None = None) -> DataFrame:
-    """Ids of rows that have a row of smaller id with a cosine above the limit; within buckets if a column is given (exact then
-    for pairs of one bucket only)."""
-    a = rows.select(F.col(row_id).alias("a"), F.col(vector).alias("va"), *([F.col(bucket).alias("ba")] if bucket else []))
-    b = rows.select(F.col(row_id).alias("b"), F.col(vector).alias("vb"), *([F.col(bucket).alias("bb")] if bucket else []))
-    on = (F.col("a") < F.col("b")) & (F.col("ba") == F.col("bb")) if bucket else F.col("a") < F.col("b")
-    return a.join(b, on).where(V.cosine("va", "vb") > above).select(F.col("b").alias(row_id)).distinct()
+def near_vectors(rows: DataFrame, *, above: float = 0.95, row_id: str = "id", vector: str = "embedding") -> DataFrame:
+    """Ids of rows that have a row of smaller id with a cosine above the limit, over the whole table and exactly.
+
+    Rows are dealt by their id into blocks of about ``BLOCK``, and each pair of blocks is one group, which multiplies its
+    matrices and returns ids, not pairs: a large group of alike vectors yields no more rows than a block has. Each row is
+    shuffled once for each block.
+    """
+    rows = rows.select(F.col(row_id).alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    kind = rows.schema["id"].dataType.simpleString()
+    n = max(1, -(-rows.count() // BLOCK))
+    each = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("o"))
+    pairs = each.select("id", "v", "k", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
+
+    def near(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        if len(set(pc.list_value_length(t["v"]).to_pylist())) > 1:
+            raise ValueError("vector widths differ")
+        m = np.asarray(pc.list_flatten(t["v"]).to_numpy(), float).reshape(len(t), -1)
+        with np.errstate(all="ignore"):
+            size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            m = m / size
+        m[~np.isfinite(m).all(axis=1)] = 0.0  # as for cosine(): 0 where it isn't a number
+        order = pc.rank(t["id"], tiebreaker="dense").to_numpy()
+        k = t["k"].to_numpy()
+        one, two = np.flatnonzero(k == t["i"][0].as_py()), np.flatnonzero(k == t["j"][0].as_py())
+        found = np.zeros(len(t), bool)
+        for start in range(0, len(one), 512):
+            part = one[start : start + 512]
+            alike = m[part] @ m[two].T > above
+            less = order[part][:, None] < order[two][None, :]
+            found[two] |= (alike & less).any(axis=0)
+            found[part] |= (alike & (order[part][:, None] > order[two][None, :])).any(axis=1)
+        return t.select(["id"]).filter(pa.array(found))
+
+    return pairs.groupBy("i", "j").applyInArrow(near, f"id {kind}").distinct().withColumnRenamed("id", row_id)
 
 
 def rerank(pairs: DataFrame, score: Column, *, n: int = 3, query_id: str = "query_id", row_id: str = "id") -> DataFrame:

@@ -115,7 +115,7 @@ def mmr_topk(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT DISTINCT b.vec_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
 WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.5""")
 def redundant_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return search.near_vectors(table(spark, d, "embeddings"), above=0.5, row_id="vec_id", bucket="label")
+    return search.near_vectors(table(spark, d, "embeddings"), above=0.5, row_id="vec_id")
 
 
 @query(f"""{_Q}, s AS (SELECT query_id, vec_id, list_cosine_similarity(v, qv) AS score FROM q, e),
