@@ -13,7 +13,7 @@ _Q = "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embed
 
 def _queries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings")
-    return e, e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    return e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
 
 
 def _top(sql_where: str, score: str, k: int, order: str = "DESC") -> str:
@@ -29,10 +29,8 @@ def _rounded(df: DataFrame) -> DataFrame:
 @query("""SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score
 FROM embeddings ORDER BY score DESC, vec_id LIMIT 10""")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("query_embedding"))
-    scored = search.score_pairs(e.select("vec_id", "embedding"), q)
-    return _rounded(scored).orderBy(F.desc("score"), "vec_id").limit(10)
+    e, q = _queries(spark, d)
+    return _rounded(search.top_k(e, q, row_id="vec_id", k=10).drop("rank"))
 
 
 @query(_top("", "list_cosine_similarity(v, qv)", 4))

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 #: what is cut in the registered SQL, and what stands there for the whole job
 CUTS = {
     "redundant_vectors": [("a.label = b.label AND ", "")],
-}
+} | dict.fromkeys("vector_topk_multi vector_topk_filtered vector_topk_euclidean vector_topk_inner_product score_threshold embeddings_filter offset_paging long_context_order vector_distances relevance_scores".split(), [("vec_id < 5", "vec_id % 20 = 0")])
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +43,17 @@ def test_near_vectors_across_blocks(spark, monkeypatch):
     u = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
     want = {f"{j:03d}" for j in range(100) if (u[:j] @ u[j] > 0.9).any()}
     assert {r["id"] for r in search.near_vectors(df, above=0.9).collect()} == want and "050" in want
+
+
+@pytest.mark.parametrize("name, table, key", [("vector_topk", "embeddings", "vec_id"), ("mmr_topk", "embeddings", "vec_id")])
+def test_all_queries_are_answered(spark, name, table, key):
+    ids = {r[key] for r in spark.read.parquet(f"{SF}/{table}.parquet").where(f"{key} % 20 = 0").select(key).collect()}
+    got = QUERIES[name](spark, SF).collect()
+    assert {r["query_id"] for r in got} == ids and len(got) == len(ids) * (10 if name == "vector_topk" else 4)
+
+
+def test_vector_topk_by_brute_force(spark):
+    e = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    cosine = lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b)))
+    want = {(q, i) for q in e if q % 20 == 0 for i in sorted(e, key=lambda i: (-cosine(e[i], e[q]), i))[:10]}
+    assert {(r["query_id"], r["vec_id"]) for r in QUERIES["vector_topk"](spark, SF).collect()} == want
