@@ -59,12 +59,14 @@ def multi_query(rows: DataFrame, queries: DataFrame, embed: Column, **how) -> Da
     return hits.withColumn("query_id", F.substring_index("query_id", "#", 1)).groupBy("query_id", row_id).agg(F.min("rank").alias("rank"))
 
 
-def hybrid(rows: DataFrame, query: DataFrame, terms: list[str], *, k: int = 4, fetch: int = 20, row_id: str = "id", text: str = "text", weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
-    """Dense and sparse search of one query (one row with query_embedding), fused by reciprocal ranks."""
-    dense = search.top_k(rows, query.select(F.lit(0).alias("query_id"), "query_embedding"), k=fetch, row_id=row_id).select(F.lit(1).alias("list_id"), row_id, "rank")
+def hybrid(rows: DataFrame, queries: DataFrame, terms: list[str], *, k: int = 4, fetch: int = 20, row_id: str = "id", query_id: str = "query_id", text: str = "text", weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
+    """Dense and sparse search of each query (query_id and query_embedding; the terms are the same), fused by reciprocal ranks."""
+    dense = search.top_k(rows, queries, k=fetch, row_id=row_id, query_id=query_id).select(query_id, F.lit(1).alias("list_id"), row_id, "rank")
     sparse = search.bm25(rows, terms, text=text, row_id=row_id).orderBy(F.desc("score"), row_id).limit(fetch)
     sparse = search.ranked(sparse, [], [F.desc("score"), F.col(row_id)], fetch).select(F.lit(2).alias("list_id"), row_id, "rank")
-    return fusion.reciprocal_rank_fusion(dense.unionByName(sparse), dict(zip((1, 2), weights, strict=True)), key=row_id).orderBy("position").limit(k)
+    sparse = queries.select(query_id).crossJoin(F.broadcast(sparse))
+    fused = fusion.reciprocal_rank_fusion(dense.unionByName(sparse), dict(zip((1, 2), weights, strict=True)), key=row_id, by=[query_id])
+    return fused.where(F.col("position") <= k)
 
 
 def cluster_representatives(rows: DataFrame, n: int, *, row_id: str = "id", vector: str = "embedding", seed: int = 1) -> DataFrame:

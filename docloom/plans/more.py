@@ -94,8 +94,8 @@ def cluster_representatives(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("doc_id < 500").select("doc_id", "text").withColumn("embedding", search.fake_embedding(16)("text"))
-    q = docs.where("doc_id = 3").select(F.col("embedding").alias("query_embedding"))
+    docs = table(spark, d, "documents").select("doc_id", "text").withColumn("embedding", search.fake_embedding(16)("text"))
+    q = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     return models.hybrid(docs, q, ["thandedble", "anea"], row_id="doc_id")
 
 
