@@ -124,6 +124,6 @@ def as_of_join(spark: SparkSession, d: str) -> DataFrame:
     from docloom.operators.fusion import as_of
 
     e = table(spark, d, "events")
-    views = e.where("event_type = 'view' AND event_id < 300").select("event_id", "user_id", "ts")
+    views = e.where("event_type = 'view'").select("event_id", "user_id", "ts")
     bought = e.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("last_value"))
     return as_of(views, bought, by=["user_id"], time="ts", values=["last_value"]).select("event_id", "last_value")

@@ -168,7 +168,7 @@ def prompt_template(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT lang, string_agg(substr(text, 1, 20), chr(10) || chr(10) ORDER BY doc_id) AS body FROM documents WHERE doc_id < 50 GROUP BY lang""")
 def stuff_documents(spark: SparkSession, d: str) -> DataFrame:
-    rows = _docs(spark, d).where("doc_id < 50").select("lang", F.struct("doc_id", F.substring("text", 1, 20).alias("t")).alias("x"))
+    rows = _docs(spark, d).select("lang", F.struct("doc_id", F.substring("text", 1, 20).alias("t")).alias("x"))
     return rows.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n\n").alias("body"))
 
 

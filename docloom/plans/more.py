@@ -23,7 +23,7 @@ def usage_difference(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT lang, key, string_agg(v, ', ' ORDER BY doc_id) AS value FROM (SELECT lang, doc_id, 'source' AS key, source AS v FROM documents WHERE doc_id < 40 UNION ALL SELECT lang, doc_id, 'n_chars', n_chars::VARCHAR FROM documents WHERE doc_id < 40) GROUP BY lang, key""")
 def collapsed_metadata(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("doc_id < 40").withColumn("metadata", F.create_map(F.lit("source"), F.col("source"), F.lit("n_chars"), F.col("n_chars").cast("string")))
+    docs = table(spark, d, "documents").withColumn("metadata", F.create_map(F.lit("source"), F.col("source"), F.lit("n_chars"), F.col("n_chars").cast("string")))
     return merge.collapsed_metadata(docs, ["lang"], "doc_id")
 
 
@@ -49,7 +49,7 @@ def cached_values(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH RECURSIVE t AS (SELECT event_id, event_id AS trace_id, 0 AS depth FROM events WHERE event_id % 8 = 0 AND event_id < 800
 UNION ALL SELECT e.event_id, t.trace_id, t.depth + 1 FROM events e JOIN t ON t.event_id = (e.event_id - 1) WHERE e.event_id % 8 <> 0) SELECT event_id, trace_id, depth FROM t""")
 def run_tree(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id < 800").select("event_id", F.when(F.col("event_id") % 8 != 0, F.col("event_id") - 1).alias("parent_id"), "ts")
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 8 != 0, F.col("event_id") - 1).alias("parent_id"), "ts")
     return graph.run_tree(e, run="event_id", parent="parent_id", order="ts").select("event_id", "trace_id", "depth")
 
 
@@ -78,7 +78,7 @@ def page_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def folded_json(spark: SparkSession, d: str) -> DataFrame:
-    return merge.folded_json(table(spark, d, "events").where("event_id < 2000"), "user_id", "event_id", "props")
+    return merge.folded_json(table(spark, d, "events"), "user_id", "event_id", "props")
 
 
 @query()

@@ -84,7 +84,7 @@ def collection_get(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT avg(l_quantity) AS mean FROM lineitem WHERE l_orderkey < 1000")
 def frame_mean(spark: SparkSession, d: str) -> DataFrame:
-    return filters.frame_query(table(spark, d, "lineitem").where("l_orderkey < 1000"), "mean:l_quantity", "l_orderkey")
+    return filters.frame_query(table(spark, d, "lineitem"), "mean:l_quantity", "l_orderkey")
 
 
 @query("SELECT p_size FROM part ORDER BY p_partkey LIMIT 3 OFFSET 1")
@@ -94,7 +94,7 @@ def frame_column(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_totalprice * 2 AS twice, o_totalprice + 1 AS more, upper(o_orderstatus) AS status FROM orders WHERE o_custkey < 50")
 def assign_and_pick(spark: SparkSession, d: str) -> DataFrame:
-    chain = algebra.node(lambda df: df.where("o_custkey < 50")) | algebra.assign(twice=F.col("o_totalprice") * 2, more=F.col("o_totalprice") + 1, status=F.upper("o_orderstatus")) | algebra.pick("o_orderkey", "twice", "more", "status", "absent")
+    chain = algebra.assign(twice=F.col("o_totalprice") * 2, more=F.col("o_totalprice") + 1, status=F.upper("o_orderstatus")) | algebra.pick("o_orderkey", "twice", "more", "status", "absent")
     return chain(table(spark, d, "orders"))
 
 

@@ -1,7 +1,9 @@
 """Queries over their whole tables, on sf0.01: against their SQL with its cuts taken out, or against brute force."""
 
+import json
 import math
 import re
+from functools import reduce
 from pathlib import Path
 
 import duckdb
@@ -9,12 +11,20 @@ import numpy as np
 import pytest
 from test_oracles import QUERIES, SQL, rows
 
-from docloom.operators import search
+from docloom.operators import merge, search
 
 SF = "/root/testdata/sf0.01"
 #: what is cut in the registered SQL, and what stands there for the whole job
 CUTS = {
     "redundant_vectors": [("a.label = b.label AND ", "")],
+    "string_distances": [(" WHERE p_partkey < 500", "")],
+    "as_of_join": [(" AND a.event_id < 300", "")],
+    "verdicts": [(" WHERE event_id < 500", "")],
+    "collapsed_metadata": [(" WHERE doc_id < 40", "")],
+    "run_tree": [(" AND event_id < 800", "")],
+    "frame_mean": [(" WHERE l_orderkey < 1000", "")],
+    "assign_and_pick": [(" WHERE o_custkey < 50", "")],
+    "stuff_documents": [(" WHERE doc_id < 50", "")],
 } | dict.fromkeys("vector_topk_multi vector_topk_filtered vector_topk_euclidean vector_topk_inner_product score_threshold embeddings_filter offset_paging long_context_order vector_distances relevance_scores".split(), [("vec_id < 5", "vec_id % 20 = 0")])
 
 
@@ -86,3 +96,14 @@ def test_hybrid_search_by_brute_force(spark):
         assert 1 <= r["position"] <= 4
     assert {q: [round(-s, 8) for s, _, _ in w] for q, w in want.items()} == {q: [s for _, s in sorted(x)] for q, x in got.items()}
     assert max(i for _, i in sparse) >= 500
+
+
+def test_json_queries_take_all_events(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id", "props").collect()
+    got = QUERIES["json_equality"](spark, SF).collect()
+    assert {r["event_id"] for r in got} == {r["event_id"] for r in events} and len(got) == len(events)
+    assert all(r["same"] for r in got)
+    folded, want = {r["user_id"]: r["props"] and json.loads(r["props"]) for r in QUERIES["folded_json"](spark, SF).collect()}, {}
+    for r in sorted(events, key=lambda r: r["event_id"]):
+        want.setdefault(r["user_id"], []).append(r["props"])
+    assert folded == {u: reduce(merge.deep_merge, map(json.loads, p)) for u, p in want.items()}
