@@ -24,7 +24,9 @@ CUTS = {
     "run_tree": [(" AND event_id < 800", "")],
     "frame_mean": [(" WHERE l_orderkey < 1000", "")],
     "assign_and_pick": [(" WHERE o_custkey < 50", "")],
-    "stuff_documents": [(" WHERE doc_id < 50", "")],
+    "stuff_documents": [(" WHERE doc_id < 50", ""), ("substr(text, 1, 20)", "text")],
+    "dedup_composite_key": [("substr(text, 1, 50)", "text")],
+    "prompt_template": [("substr(text, 1, 40)", "text")],
 } | dict.fromkeys("vector_topk_multi vector_topk_filtered vector_topk_euclidean vector_topk_inner_product score_threshold embeddings_filter offset_paging long_context_order vector_distances relevance_scores".split(), [("vec_id < 5", "vec_id % 20 = 0")])
 
 
