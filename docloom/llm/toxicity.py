@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from docloom.session import stored
 
 SAMPLE = 20_000
-LEXICON = 200
-LEAST, SHARE = 4, 0.01  # an entry must occur in so many toxic texts of the sample, and in this share of them
-ODDS = 3.5  # and the logarithm of how much commoner it must be there
+LEXICON = 2000
+LEAST = 4  # toxic texts of the sample that an entry must occur in
+ODDS = 3.5  # and the logarithm of how much commoner it must be there: with LEAST, beyond chance at one in 1000 (likelihood ratio 12.3)
 STEM = (4, 5, 6)
 DISTANCE, FROM = 1, 5
 WINDOW = 8
@@ -222,7 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     if not size.get(0) or not size.get(1):
         return None
     odds = F.log((F.col("toxic") + 0.5) / (size[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (size[0] + 1.0))
-    best = _counts(rows).where((F.col("toxic") >= max(LEAST, SHARE * size[1])) & (odds >= ODDS)).withColumn("odds", odds).orderBy(F.desc("odds"), "entry", "stem").limit(LEXICON)
+    best = _counts(rows).where((F.col("toxic") >= LEAST) & (odds >= ODDS)).withColumn("odds", odds)
     found = best.collect()
     stems: list[str] = []
     words = {r["entry"] for r in found if not r["stem"]}
@@ -231,7 +231,11 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         # a stem stands for several words; one that a single word makes up is left to the word
         if not any(s.startswith(x) for x in stems) and len(covered) != 1:
             stems.append(s)
-    words = sorted(w for w in words if not any(w.startswith(s) for s in stems))
+    # the limit counts terms: their words and longer stems are folded by now
+    odds_of = {(r["entry"], r["stem"]): r["odds"] for r in found}
+    terms = [*((w, False) for w in words if not any(w.startswith(s) for s in stems)), *((s, True) for s in stems)]
+    terms = sorted(terms, key=lambda t: (-odds_of[t], t))[:LEXICON]
+    words, stems = sorted(w for w, stem in terms if not stem), sorted(s for s, stem in terms if stem)
     shared = docs.sparkSession.sparkContext.broadcast((words, stems))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,3 +57,16 @@ def test_quotation_counts_less():
     match = T.Matcher(T.Lexicon(["idiot"], []))
     plain, quoted, told = (T.features(t, match)[0] for t in ("you idiot there", 'the word "idiot" there', "he said idiot there"))
     assert quoted < plain and told < plain
+
+
+def test_learns_many_rare_terms(spark):
+    r = random.Random(3)
+    terms = ["".join(r.choice("bcdfghklmnprst") + r.choice("aeiou") for _ in range(5)) for _ in range(300)]
+    texts = [["alpha", f"n{i}"] for i in range(2600)]
+    for n, t in enumerate(terms):
+        for i in range(5):
+            texts[(n + 97 * i) % 600].append(t)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = T.learn(docs, spark.createDataFrame([(i, int(i < 600)) for i in range(2600)], "doc_id long, toxic int"))
+    lexicon = T.Lexicon(model.words, model.stems)
+    assert all(lexicon.exact(t) for t in terms)
