@@ -11,16 +11,18 @@ from docloom.llm import decontaminate, neardup, packing, pii, quality, sharding,
 from docloom.session import stored, table
 
 
-def contamination(found: DataFrame, key: str = "doc_id") -> DataFrame:
+def contamination(found: DataFrame, key: str = "doc_id", near: bool = False) -> DataFrame:
+    """near: with the items whose rarest words lie near each other, too."""
     return found.select(
         key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        *((F.size("near").cast("long").alias("n_near_items"), F.array_sort("near").alias("near_items")) if near else ()),
     )
 
 
 def op10_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return contamination(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")), near=True)
 
 
 def op2_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
