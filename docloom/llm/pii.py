@@ -42,7 +42,7 @@ KINDS = (
     Kind("card", r"[0-9](?<![0-9]{2})(?<![0-9][ -][0-9])(?:[ -]?+[0-9]){11,18}+(?![ -]?[0-9])", None, 0.7, "card|credit|visa|payment|konto|tarjeta|carte", "order|tracking|serial", True),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", 0.6, "phone|tel|call|mobile|fax", None, True),
     Kind("iban", r"[A-Z](?<![A-Za-z0-9].)[A-Z][0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", None, 0.9, "iban|bank|account|konto"),
-    Kind("secret", r"[0-9a-f](?<![A-Za-z0-9].)[0-9a-f]{31,127}+(?![A-Za-z0-9])", None, 0.3, "token|secret|password|passwd|api.?key|credential"),
+    Kind("secret", r"[0-9a-fA-F](?<![A-Za-z0-9].)[0-9a-fA-F]{31,127}+(?![A-Za-z0-9])", None, 0.3, "token|secret|password|passwd|api.?key|credential"),
 )
 RANK = {k.name: i for i, k in enumerate(KINDS)}
 

@@ -74,3 +74,9 @@ def test_redaction(spark):
 def test_context_scores(spark):
     df = spark.createDataFrame([("server address 10.0.0.1",), ("version 10.0.0.1",), ("so 10.0.0.1",)], "text string")
     assert [round(r["spans"][0]["score"], 2) for r in pii.with_spans(df).collect()] == [0.9, 0.3, 0.6]
+
+
+def test_upper_case_secrets(spark):
+    df = spark.createDataFrame([(1, 'my TOKEN = "04DBEBAB91AB85687D33EEAAF9AC699E1188F962"')], "doc_id long, text string")
+    assert Q.personal_data(df).first()["spans"] == "secret:12:52"
+    assert pii.redact(df).first()["text"] == 'my TOKEN = "[SECRET]"'
