@@ -4,9 +4,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from docloom.llm import quality as K
 from docloom.llm import queries as Q
+from docloom.session import stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -91,6 +93,27 @@ def test_matches_brute_force(spark):
     assert rejected <= 60
 
 
+def test_many_estimates_are_joined_with_salts(spark):
+    docs = [d for d in make() for _ in range(3 if d[0] == 9 else 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(3)
+    rows = stored(K.with_statistics(df), "statistics")
+    plain = K.judge(rows, K.fit(rows))
+    fitted = K.fit(rows, few=0)
+    salted = K.judge(rows, fitted, few=0)
+    value = lambda df: sorted((str(r["doc_id"]), r["kept"], round(r["distance"], 6)) for r in df.collect())
+    assert value(plain) == value(salted)
+    good = rows.select(F.lit("a").alias("g"), *K.X)
+    plan = K._joined(good, fitted, "g", few=0).groupBy("g").agg(*K._moments())._jdf.queryExecution().toString()
+    assert "__salt" in plan and "SortMergeJoin" in plan
+    aggregates = plan.split("== Physical Plan ==")[1]
+    assert aggregates.index("partial_count") > aggregates.index("HashAggregate"), "aggregated before the shuffle on the group"
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "en", "s", 7, "x")], "doc_id long, text string, lang string, source string, n_words long, x0 string")
+    assert K.with_statistics(df).first()["n_words"] == 2
+
+
 def test_small_and_empty_tables(spark):
     text = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, text, "en", "a"), (2, "few words", None, None)], "doc_id long, text string, lang string, source string")
