@@ -1,24 +1,29 @@
 """Personal data: regular expressions propose spans, validators confirm them, nearby words adjust their score.
 
 Column expressions only. A span's place comes from two built-in calls: ``regexp_extract_all`` gives the matches and
-``split`` by the same pattern the text between them. Patterns are possessive and can start in one place of a run
-only, so a long run of digits or letters costs time in proportion to its length.
+``split`` by the same pattern the text between them, whose lengths are summed in blocks. Patterns are possessive and can
+start in one place of a run only, and context is read from blocks of the text, so neither a long run of digits or letters
+nor a text with a hundred thousand matches costs more than about its length.
 
 Kinds: email, ip, card and phone are base kinds (a valid match is always reported); iban must pass mod 97; secret, a
 long hexadecimal string, is reported only if words such as "token" stand near it. score: the kind's own score, raised by
 words of the kind nearby and lowered by words that speak against it, within 0 and 1.
 
 Defined cases: a null text is an empty one; overlapping spans of different kinds are all reported, and redacted as
-one; places are code points, ends exclusive. Each row is handled by itself: no shuffle, other columns are untouched.
+one; places are code points, ends exclusive. Each row is handled by itself: no shuffle, other columns are untouched; one with the
+name of the new column is replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.arrays import in_blocks, piece, running
+
 BEFORE, AFTER = 40, 25
 REPORT = 0.5
 
@@ -70,23 +75,17 @@ def _valid(kind: str, value: Column) -> Column:
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"
 
 
-def _spans(k: Kind, text: Column, found: Column) -> Column:
+def _spans(k: Kind, found: Column, starts: Column, blocks: Column) -> Column:
     """The confirmed spans among the matches found."""
-    pieces = F.split(text, F.lit(k.pattern), -1)
-    empty = F.lit(None).cast("array<struct<start:int,value:string>>")
-    step = lambda acc, i: F.struct(
-        (acc.at + F.length(F.get(pieces, i)) + F.length(F.get(found, i))).alias("at"),
-        F.concat(acc.out, F.array(F.struct((acc.at + F.length(F.get(pieces, i))).alias("start"), F.get(found, i).alias("value")))).alias("out"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast("array<struct<start:int,value:string>>")).alias("out"))
-    placed = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc.out)
+    placed = F.zip_with(F.slice(starts, 1, F.size(found)), found, lambda s, m: F.struct(s.alias("start"), m.alias("value")))
 
     def span(m: Column) -> Column:
-        around = F.lower(F.concat_ws(" ", F.substring(text, F.greatest(m.start - BEFORE, F.lit(0)) + 1, F.least(m.start, F.lit(BEFORE))), F.substring(text, m.start + F.length(m.value) + 1, F.lit(AFTER))))
+        end = m.start + F.length(m.value)
+        around = F.lower(F.concat_ws(" ", piece(blocks, F.greatest(m.start - BEFORE, F.lit(0)), F.least(m.start, F.lit(BEFORE))), piece(blocks, end, F.lit(AFTER))))
         score = F.lit(k.score) + F.when(around.rlike(k.near), 0.3).otherwise(0.0)
         if k.against:
             score = score - F.when(around.rlike(k.against), 0.3).otherwise(0.0)
-        return F.struct(m.start.alias("start"), F.lit(RANK[k.name]).alias("rank"), F.lit(k.name).alias("kind"), (m.start + F.length(m.value)).alias("end"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
+        return F.struct(m.start.alias("start"), F.lit(RANK[k.name]).alias("rank"), F.lit(k.name).alias("kind"), end.alias("end"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
 
     spans = F.transform(F.filter(placed, lambda m: _valid(k.name, m.value)), span)
     if not k.base:
@@ -96,18 +95,26 @@ def _spans(k: Kind, text: Column, found: Column) -> Column:
 
 def with_spans(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """df with a column of spans (start, rank, kind, end, score), by start, then kind as listed."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    name = lambda what: f"__pii_{what}"
+    names = [c for c in df.columns if c != out]
+    of = lambda what, k=None: f"__pii_{what}" + (f"_{k.name}" if k else "")
     none = F.array().cast("array<string>")
 
     def propose(k: Kind) -> Column:
-        found = F.regexp_extract_all(name("text"), F.lit(k.pattern), F.lit(0))
-        return F.when(F.contains(F.col(name("text")), F.lit(k.needs)), found).otherwise(none) if k.needs else found
-
-    df = df.withColumn(name("text"), body)
-    df = df.withColumns({name(k.name): propose(k) for k in KINDS})
-    df = df.withColumn(out, F.array_sort(F.concat(*(_spans(k, F.col(name("text")), F.col(name(k.name))) for k in KINDS))))
-    return df.drop(name("text"), *(name(k.name) for k in KINDS))
+        found = F.regexp_extract_all(of("text"), F.lit(k.pattern), F.lit(0))
+        return F.when(F.contains(F.col(of("text")), F.lit(k.needs)), found).otherwise(none) if k.needs else found
+
+    df = df.withColumn(of("text"), F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumns({of("found", k): propose(k) for k in KINDS})
+    some = lambda k: F.size(of("found", k)) > 0
+    df = df.withColumns({
+        of("blocks"): F.when(reduce(lambda a, b: a | b, map(some, KINDS)), in_blocks(F.col(of("text")))).otherwise(none),
+        **{of("gaps", k): F.when(some(k), F.transform(F.split(of("text"), F.lit(k.pattern), -1), lambda g: F.length(g))).otherwise(F.array().cast("array<int>")) for k in KINDS},
+    })
+    steps = {of("before", k): F.zip_with(of("gaps", k), of("found", k), lambda g, m: g + F.coalesce(F.length(m), F.lit(0))) for k in KINDS}
+    df = running(df, steps, lambda a, b: a + b)
+    df = df.withColumns({of("starts", k): F.zip_with(of("gaps", k), of("before", k), lambda g, s: g + s) for k in KINDS})
+    found = [_spans(k, F.col(of("found", k)), F.col(of("starts", k)), F.col(of("blocks"))) for k in KINDS]
+    return df.select(*names, F.array_sort(F.concat(*found)).alias(out))
 
 
 def base(spans: Column) -> Column:
@@ -119,16 +126,15 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span (overlapping ones as one) replaced by its kind in brackets; a null text stays null."""
-    step = lambda acc, s: F.when(s.end <= acc.at, acc).otherwise(
-        F.struct(s.end.alias("at"), F.when(s.start < acc.at, acc.out).otherwise(F.concat(acc.out, F.substring(text, acc.at + 1, s.start - acc.at), F.lit("["), F.upper(s.kind), F.lit("]"))).alias("out"))
-    )
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(done)
-
-
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with its spans redacted in place; columns as before."""
-    mark = "__pii_spans"
-    return with_spans(df, text, mark).withColumn(text, F.when(F.col(text).isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col(mark)))).drop(mark)
+    """df with its spans redacted in place, overlapping ones as one, by the kind of the first in brackets; a null text stays null."""
+    names = df.columns
+    df = with_spans(df, text, "__spans")
+    df = running(df, {"__reach": F.transform("__spans", lambda s: s.end)}, lambda a, b: F.greatest(a, b))
+    df = df.withColumn("__blocks", F.when(F.size("__spans") > 0, in_blocks(F.col(text))).otherwise(F.array().cast("array<string>")))
+    # a span that begins where all before it have ended opens a group
+    opens = F.filter(F.zip_with("__spans", F.slice("__reach", 1, F.size("__spans")), lambda s, r: F.struct(r.alias("after"), s.start.alias("start"), s.kind.alias("kind"))), lambda x: x.start >= x.after)
+    blocks, all_ = F.col("__blocks"), F.element_at("__reach", -1)
+    parts = F.transform(opens, lambda x: F.concat(piece(blocks, x.after, x.start - x.after), F.lit("["), F.upper(x.kind), F.lit("]")))
+    done = F.concat(F.array_join(parts, ""), piece(blocks, all_, F.length(text) - all_))
+    return df.withColumn("__done", F.when(F.size("__spans") == 0, F.col(text)).otherwise(done)).select(*((F.col("__done") if c == text else F.col(c)).alias(c) for c in names))

@@ -53,7 +53,7 @@ _KINDS = (
     ("card", r"[0-9]([\x20-]?[0-9])+", "length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(0, length(d)), lambda i: CASE WHEN i % 2 = 1 THEN (2 * d[length(d) - i]::INT) // 10 + (2 * d[length(d) - i]::INT) % 10 ELSE d[length(d) - i]::INT END)) % 10 = 0"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 9 AND 15"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b", "list_reduce(list_prepend(0, list_transform(string_split(array_to_string(list_transform(string_split(substr(replace(v, ' ', ''), 5) || substr(v, 1, 4), ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN (ascii(c) - 55)::VARCHAR ELSE c END), ''), ''), lambda c: c::INT)), lambda a, b: (a * 10 + b) % 97) = 1"),
-    ("secret", r"[A-Za-z0-9]+", "regexp_full_match(v, '[0-9a-f]{32,128}') AND regexp_matches(lower(substr(text, greatest(s - 40, 0) + 1, least(s, 40)) || ' ' || substr(text, s + length(v) + 1, 25)), 'token|secret|password|passwd|api.?key|credential')"),
+    ("secret", r"[A-Za-z0-9]+", "regexp_full_match(v, '[0-9a-fA-F]{32,128}') AND regexp_matches(lower(substr(text, greatest(s - 40, 0) + 1, least(s, 40)) || ' ' || substr(text, s + length(v) + 1, 25)), 'token|secret|password|passwd|api.?key|credential')"),
 )
 
 

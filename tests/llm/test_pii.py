@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -38,7 +39,7 @@ def texts():
     r = random.Random(4)
     bits = ["a@b.co", "_x@y.com", "@", ".", "..", "a.b@c", "1.2.3.4", "255.255.255.256", "0001.0.0.00255", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111  1111", "+1 (212) 555-0100", "+49 30 1234567", "+1+2", "12", "-", " ", "é", "x", "9", "4845168114407329", "😀", "\n", "+", "(", "a%b+c@d-e.f-g.h"]
     out = ["".join(r.choice(bits) for _ in range(r.randint(1, 25))) for _ in range(400)]
-    return [*out, None, "", "a" * 100_000, "1" * 100_000, "1.2" * 20_000, "a@b" + ".c" * 20_000, "+" + "1 " * 20_000, "1 " * 50_000, "ab@" * 20_000, "1.1.1.1 " * 800]
+    return [*out, None, "", "a" * 100_000, "1" * 100_000, "1.2" * 20_000, "a@b" + ".c" * 20_000, "+" + "1 " * 20_000, "1 " * 50_000, "ab@" * 20_000, "1.1.1.1 " * 800, "é a@b.co +49 30 1234567\n" * 5000]
 
 
 def test_base_spans_match_brute_force(spark):
@@ -80,3 +81,19 @@ def test_upper_case_secrets(spark):
     df = spark.createDataFrame([(1, 'my TOKEN = "04DBEBAB91AB85687D33EEAAF9AC699E1188F962"')], "doc_id long, text string")
     assert Q.personal_data(df).first()["spans"] == "secret:12:52"
     assert pii.redact(df).first()["text"] == 'my TOKEN = "[SECRET]"'
+
+
+def test_a_hundred_thousand_matches_in_one_text(spark):
+    text = "".join(f"é u{i}@b.co 1.2.3.{i % 300}\n" for i in range(100_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    assert tuple(Q.personal_data(df).first())[1:6] == brute(text)
+    want = re.sub(r"1\.2\.3\.(\d+)", lambda m: "[IP]" if int(m[1]) < 256 else m[0], re.sub(r"u\d+@b\.co", "[EMAIL]", text))
+    assert pii.redact(df).first()["text"] == want
+    assert time.time() - began < 60
+
+
+def test_overlapping_spans_are_redacted_as_one(spark):
+    text = "x 4111111111111111@b.co y " + "z" * 2500 + " 1.2.3.4.5 a@1.2.3.4 end"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.redact(df).first()["text"] == "x [EMAIL] y " + "z" * 2500 + " [IP].5 [EMAIL] end"
