@@ -27,13 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.arrays import running
 from docloom.session import stored
 
 WINDOW = 13
 SLOP = 20
 RAREST = 3
 BLOCK_WORDS = 1_000_000
-SLICE_WORDS = 2_000_000
+SLICE_WORDS = 500_000  # at most as many windows: 60 MB in each Python worker
 VOCABULARY = 2_000_000
 CANDIDATES = 2_000_000
 GAP = 64  # between the documents of a block, so that no match spans two
@@ -124,7 +125,7 @@ class Queries:
         windows = [w for w in owners if all(t in frequency for t in w)]
         self.size = np.array([len(w) for w in windows], np.int64)
         self.terms = np.zeros((len(windows), window), np.uint64)
-        self.offsets = np.zeros((len(windows), window), np.int64)
+        self.offsets = np.zeros((len(windows), window), np.int16)
         for i, w in enumerate(windows):
             order = sorted(range(len(w)), key=lambda j: often(w[j]))
             self.terms[i, : len(w)] = [w[j] for j in order]
@@ -238,11 +239,14 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
         df = df.unionByName(more)
     df = df.groupBy("block", "place", "key", "n_words").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
     pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda i: F.struct(F.get("runs", i).alias("a"), F.get("runs", i + 1).alias("b"))))
-    joined = F.aggregate(
-        pairs, F.lit(None).cast("array<int>"),
-        lambda out, p: F.when(out.isNull(), F.array(p.a, p.b)).when(p.a <= F.element_at(out, -1), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.greatest(F.element_at(out, -1), p.b)))).otherwise(F.concat(out, F.array(p.a, p.b))),
-    )
-    return df.withColumn("runs", F.when(F.size("runs") == 0, F.col("runs")).otherwise(joined))
+    df = df.withColumn("__pairs", F.when(F.size("runs") > 0, pairs).otherwise(F.array().cast("array<struct<a:int,b:int>>")))
+    df = running(df, {"__reach": F.transform("__pairs", lambda p: p.b)}, lambda x, y: F.greatest(x, y))
+    # a run begins where all before it have ended; it goes on to where the next one's predecessors have ended
+    first = F.zip_with("__pairs", F.slice("__reach", 1, F.size("__pairs")), lambda p, r: F.struct(p.a.alias("a"), r.alias("after")))
+    df = df.withColumn("__first", F.filter(first, lambda x, i: (i == 0) | (x.a > x.after)))
+    ends = F.concat(F.slice(F.transform("__first", lambda x: x.after), 2, F.greatest(F.size("__first") - 1, F.lit(0))), F.slice("__reach", -1, 1))
+    joined = F.flatten(F.zip_with("__first", ends, lambda x, e: F.array(x.a, e)))
+    return df.withColumn("runs", F.when(F.size("__pairs") > 0, joined).otherwise(F.col("runs"))).drop("__pairs", "__reach", "__first")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, slice_words: int = SLICE_WORDS, vocabulary: int = VOCABULARY) -> DataFrame:

@@ -87,3 +87,14 @@ def test_query_returns_near_items(spark, tmp_path):
     spark.createDataFrame([(7, " ".join(words))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r["doc_id"]: (r["n_items"], r["n_near_items"], r["near_items"]) for r in Q.op10_inverted_index(spark, str(tmp_path)).collect()}
     assert got == {1: (0, 1, ["7"]), 2: (0, 0, []), 3: (0, 0, [])}
+
+
+def test_a_text_with_very_many_runs_in_several_slices(spark):
+    items = [(i, f"a{i} b{i} c{i}") for i in range(20)]
+    text = " x ".join(items[i % 20][1] + " " + items[(i + 7) % 20][1] for i in range(15_000))
+    d = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    found = D.find_contamination(d, b, slice_words=10)
+    assert rows(Q.contamination(found)) == sorted(brute([(1, text), (2, None)], items), key=repr)
+    runs = {r["doc_id"]: r["runs"] for r in found.collect()}
+    assert runs[2] == [] and runs[1] == [x for i in range(15_000) for x in (7 * i, 7 * i + 6)]
