@@ -49,6 +49,7 @@ class Encoder(dict):
         byte = _byte_of()
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.special = tuple(special)
+        self.most = max([*ranks.values(), *special.values()], default=0)
         self.bare: dict[str, bytes] = {}
         self.bpe = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.newline = self.whole("\n")

@@ -7,10 +7,12 @@ first document and where that document started, which may be many blocks earlier
 in the scan; ends stay with their block. A block holds ``BLOCK`` tokens (2 MB) however long the file is.
 
 Files are listed by Spark's binary reader (sizes only) and read at an offset through pyarrow.fs, which takes
-file, hdfs, viewfs, s3 and gs paths.
+file, hdfs, viewfs, s3, abfs and gs paths. A folder is made a full path by Hadoop's file system first, so one without a scheme is
+in the cluster's default file system for writer and readers alike. An id takes two bytes where the vocabulary has no id beyond
+65,535, else four; an id that doesn't fit the width asked for is an error.
 
 Defined cases: an empty file has no documents; documents may be empty; tokens after the last end id are an unclosed
-document; bytes after the last whole id are ignored.
+document; bytes after the last whole id are ignored; null texts are empty documents; other columns of a table are ignored.
 """
 
 from __future__ import annotations
@@ -20,34 +22,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.llm.files import opened, qualified
 from docloom.llm.tokens import Encoder, default_vocabulary
 from docloom.session import fresh_path, stored
 
 END = 50256
 BLOCK = 1 << 20
-WIDTH = 2  # bytes of an id; vocabularies of up to 65,536 ids fit
+WIDTH = 2  # bytes of an id
 
 
-def opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    return (pyarrow.fs.LocalFileSystem(), path) if path.startswith("/") else pyarrow.fs.FileSystem.from_uri(path)
+def width_of(vocabulary: str | None = None) -> int:
+    """Bytes of an id that hold every id of a vocabulary."""
+    return 2 if Encoder(vocabulary or default_vocabulary()).most < 1 << 16 else 4
+
+
+def fixed(ids: np.ndarray, width: int) -> bytes:
+    if len(ids) and int(ids.max()) >> (8 * width):
+        raise ValueError(f"token id {int(ids.max())} doesn't fit {width} bytes")
+    return ids.astype(f"<u{width}").tobytes()
 
 
 def write_flat(docs: DataFrame, folder: str, *, text: str = "text", vocabulary: str | None = None, end: int = END, width: int = WIDTH) -> DataFrame:
     """Encodes texts, in their partitions' order, into one flat file for each partition. Runs at once; gives (path, docs, tokens).
 
-    A task writes under a name of its own and then renames, so a repeated or doubled task leaves one whole file. A text
+    folder: as ``qualified`` gives it. A task writes under a name of its own and then renames, so a repeated or doubled task leaves one whole file. A text
     that spells the end token is encoded as ordinary text.
     """
     path = vocabulary or default_vocabulary()
-    kind = f"<u{width}"
-    tail = np.array([end], kind).tobytes()
+    tail = fixed(np.array([end], np.int64), width)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
@@ -59,7 +65,7 @@ def write_flat(docs: DataFrame, folder: str, *, text: str = "text", vocabulary:
         with fs.open_output_stream(own) as out:
             for batch in batches:
                 for body in batch.column(0):
-                    ids = np.frombuffer(encoder.encode(body.as_py()), "<u4").astype(kind).tobytes() + tail
+                    ids = fixed(np.frombuffer(encoder.encode(body.as_py()), "<u4"), width) + tail
                     out.write(ids)
                     n, size = n + 1, size + len(ids) // width
         fs.move(own, name)
@@ -110,10 +116,11 @@ def documents(spark: SparkSession, folder: str, *, end: int = END, block: int =
     return closed.unionByName(tail.where("start < size").select("path", "doc_no", "start", (F.col("size") - F.col("start")).alias("n_tokens"), F.lit(False).alias("closed")))
 
 
-def scan_table(docs: DataFrame, **how) -> DataFrame:
+def scan_table(docs: DataFrame, *, vocabulary: str | None = None, end: int = END, **how) -> DataFrame:
     """Writes a table's texts as flat token files in the shared folder and scans them; file_no is the file's number."""
-    folder = fresh_path(docs.sparkSession, "tokens")
-    if not write_flat(docs, folder, **how).take(1):  # a table without partitions
-        return docs.sparkSession.createDataFrame([], "file_no int, doc_no bigint, start bigint, n_tokens bigint, closed boolean")
-    found = documents(docs.sparkSession, folder)
+    spark, width = docs.sparkSession, width_of(vocabulary)
+    folder = qualified(spark, fresh_path(spark, "tokens"))
+    if not write_flat(docs, folder, vocabulary=vocabulary, end=end, width=width, **how).take(1):  # a table without partitions
+        return spark.createDataFrame([], "file_no int, doc_no bigint, start bigint, n_tokens bigint, closed boolean")
+    found = documents(spark, folder, end=end, width=width)
     return found.select(F.regexp_extract("path", r"tokens-(\d+)\.bin$", 1).cast("int").alias("file_no"), "doc_no", "start", "n_tokens", "closed")
