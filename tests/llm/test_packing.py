@@ -70,6 +70,7 @@ def test_pack(spark):
     df = spark.createDataFrame([(k, t, 1) for k, t in docs], "doc_id long, text string, start int").repartition(3)
     rows = P.pack(df, with_ids=False).collect()
     assert verify(rows, docs, 2048) <= 3 * 2048
+    assert all(r["settled"] == (r["sequence_id"] >= P.SECOND) or not r["settled"] for r in rows)
     assert P.pack(df.limit(0)).collect() == []
     with_ids = P.pack(df).where("doc_id = 202").collect()
     assert all(zlib.crc32(bytes(x["ids"])) == x["ids_crc32"] for x in with_ids)
@@ -101,9 +102,33 @@ def test_few_are_open():
     for i in range(2000):
         s = r.choice([1, 33, 40, 41, 63])
         tokens += s
-        for _, pieces in packer.add(i, b"\0" * 4 * s):
+        for _, pieces in [*packer.add(i, b"\0" * 4 * s), *(packer.settle(8) if packer.open > packer.most else ())]:
             assert sum(len(p[2]) // 4 for p in pieces) == 64
             full += 1
         assert packer.open <= 17
     last = [sum(len(p[2]) // 4 for p in pieces) for _, pieces in packer.settle()]
     assert full * 64 + sum(last) == tokens and sum(x < 64 for x in last) <= 1
+
+
+def test_rests_are_handed_on_from_many_small_tasks(spark, monkeypatch):
+    r = random.Random(5)
+    docs = [(i, "a " * r.randint(1, 100)) for i in range(900)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(9)
+    rows = P.pack(df, with_ids=False, size=64).collect()
+    assert verify(rows, docs, 64) <= 64
+    of = defaultdict(set)
+    for x in rows:
+        of[x["settled"]].add(x["sequence_id"])
+    assert len(of[True]) < 0.15 * len(of[False]), "most sequences come from the rule"
+    monkeypatch.setattr(P, "ROUND", 1 << 10)
+    assert verify(P.pack(df, with_ids=False, size=64).collect(), docs, 64) <= 64 * 16
+
+
+def test_releasing_keeps_the_counts_right():
+    packer = P.Packer(size=64, most=16)
+    for i in range(40):
+        list(packer.place((i, 0, b"\0" * 4 * (1 + i % 13), 99)))
+    had = packer.open
+    out = list(packer.release(3))
+    assert packer.open == 3 < had and packer.count.sum() == 3 and sum(map(len, packer.at)) == 3
+    assert len(out) + sum(len(s) for level in packer.at for s in level) == 40 or packer.made
