@@ -1,7 +1,7 @@
 """Near-duplicate groups of documents by SetSketch registers, bands, a joint likelihood and full verification.
 
-1. Each text becomes its set of word shingles, a 128-bit fingerprint of it, and SetSketch registers. Equal sets get one
-   representative (the smallest id), so copies never meet in pairs.
+1. Each text becomes its set of word shingles, a 128-bit fingerprint of it, and SetSketch registers. Each distinct set is
+   a node with a number of its own and one representative text, so copies never meet in pairs.
 2. Bands of registers are bucket keys. In each bucket every member is paired with the one that shares most buckets, in
    all, with others: a star, not all pairs.
 3. Pairs whose joint likelihood rules the threshold out are dropped; the rest are decided on the full sets of both texts.
@@ -10,12 +10,14 @@
    A pair is left out once its ends are connected, and a block gives the edges that connect it, not the pairs it tried.
 5. Components of the links, by stars again.
 
-Pairs are only joined on ids and bucket keys, in joins that the adaptive planner can split; a hot group costs work in
-proportion to its members unless they are mutually close but not linked, and then pairs are tried in blocks.
+Pairs are only joined on nodes and bucket keys, in joins that the adaptive planner can split; a hot group costs work in
+proportion to its members unless they are mutually close but not linked, and then pairs are tried in blocks, which are
+dealt to tasks by their number. Texts are shuffled once to find those of nodes with a partner, and those then to their pairs.
 
 Defined cases: a text without words (or null) has an empty set, links with nothing and is its own component; with fewer
 words than a shingle has, the whole sequence is the one shingle; a row with a null id takes the component of the rows
-with its set (null without any) and is kept; rows with equal ids are judged each by its own text. Other columns are ignored.
+with its set (null without any) and is kept; rows with equal ids are judged each by its own text: keys name rows in the
+result only, links are between sets. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,13 +74,13 @@ def _hashed(word_hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """id, n (set size), print (fingerprint of the set) and registers of each row."""
+    """key, th (hash of the text), n (set size), print (fingerprint of the set) and registers of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
         look = cache.__getitem__
 
-        def out(keys: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        def out(keys: list, hashes: list, sets: list[np.ndarray]) -> pa.RecordBatch:
             prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             first: dict[bytes, int] = {}
             for i, p in enumerate(prints):
@@ -89,23 +91,24 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
             flat = np.concatenate([sets[i] for i in chosen]) if chosen else np.empty(0, np.uint64)
             registers = S.sketch(flat, own, len(chosen))
             return pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([registers[row[p]].tobytes() for p in prints], pa.binary())],
-                ["id", "n", "print", "registers"],
+                [pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([registers[row[p]].tobytes() for p in prints], pa.binary())],
+                ["key", "th", "n", "print", "registers"],
             )
 
         for batch in batches:
-            keys, sets, total = [], [], 0
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            keys, hashes, sets, total = [], [], [], 0
+            for key, th, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 w = words_of(raw)
                 sets.append(_hashed(np.fromiter(map(look, w), np.uint64, len(w)), k))
                 keys.append(key)
+                hashes.append(th)
                 total += len(w)
                 if total > SLICE_WORDS:
-                    yield out(keys, sets)
-                    keys, sets, total = [], [], 0
-            yield out(keys, sets)
+                    yield out(keys, hashes, sets)
+                    keys, hashes, sets, total = [], [], [], 0
+            yield out(keys, hashes, sets)
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(sign, "id bigint, n bigint, print binary, registers binary")
+    return docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("th"), F.col(text)).mapInArrow(sign, "key bigint, th bigint, n bigint, print binary, registers binary")
 
 
 def _compared(df: DataFrame, threshold: float) -> DataFrame:
@@ -121,7 +124,7 @@ def _compared(df: DataFrame, threshold: float) -> DataFrame:
     return df.where(likely("n_u", "n_v", "r_u", "r_v"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) with 100 * intersection >= percent * union, on the full sets of their texts."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,9 +140,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                     good.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in good], pa.int64()), pa.array([v[i] for i in good], pa.int64())], ["u", "v"])
 
-    t = docs.select("id", "body")
-    joined = pairs.join(t.select(F.col("id").alias("v"), F.col("body").alias("b")), "v").join(t.select(F.col("id").alias("u"), F.col("body").alias("a")), "u")
-    return stored(joined.select("u", "v", "a", "b").mapInArrow(check, "u bigint, v bigint"), "links")
+    v, u = (bodies.select(F.col("id").alias(x), F.col("body").alias(y)) for x, y in ("vb", "ua"))
+    return stored(pairs.join(v, "v").join(u, "u").select("u", "v", "a", "b").mapInArrow(check, "u bigint, v bigint"), "links")
+
+
+def _bodies(nodes: DataFrame, docs: DataFrame, key: str, text: str, repeats: bool) -> DataFrame:
+    """(id, body) of nodes (id, key, th). Rows that repeat both key and text are reduced before they are shuffled."""
+    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("body"))
+    rows = rows.groupBy("key", "th").agg(F.first("body").alias("body")) if repeats else rows
+    return stored(rows.join(nodes, ["key", "th"]).select("id", "body"), "bodies")
 
 
 class _Meeting:
@@ -172,18 +181,21 @@ class _Meeting:
 
 def _blocked(rows: DataFrame, group: str, block: int) -> DataFrame:
     """rows (with comp and size, the rows of the group) dealt to pairs of blocks: columns i, j, side. Rows of a component larger
-    than a block are in blocks of their own, which don't meet each other; i = j is a block with itself."""
+    than a block are in blocks of their own, which don't meet each other; i = j is a block with itself. There are as many
+    tasks as the rows need, so the longest doesn't grow with them."""
     big = F.col("own") > block
     number = lambda n: F.pmod(F.xxhash64("id"), F.greatest(F.ceil(n / block), F.lit(1))).cast("long")
     sizes = stored(rows.groupBy(group, "comp").agg(F.count("*").alias("own")), "sizes")
     rows = rows.join(sizes, [group, "comp"]).withColumn("large", F.when(big, F.col("comp"))).withColumn("side", F.when(big, F.xxhash64("comp", number(F.col("own")))).otherwise(number(F.col("size"))))
     rows = stored(rows, "blocked")
-    blocks = stored(rows.select(group, "large", "side").distinct(), "blocks")
-    one, two = (blocks.select(group, F.col("large").alias(f"large_{x}"), F.col("side").alias(x)) for x in "ij")
-    meets = one.join(two, group).where("(large_i IS NULL AND large_j IS NULL AND i <= j) OR (large_i IS NULL AND large_j IS NOT NULL) OR large_i < large_j").select(group, "i", "j")
-    meets = stored(meets, "meets")
+    blocks = stored(rows.groupBy(group, "large", "side").agg(F.count("*").alias("n")), "blocks")
+    one, two = (blocks.select(group, F.col("large").alias(f"large_{x}"), F.col("side").alias(x), F.col("n").alias(f"n_{x}")) for x in "ij")
+    meets = one.join(two, group).where("(large_i IS NULL AND large_j IS NULL AND i <= j) OR (large_i IS NULL AND large_j IS NOT NULL) OR large_i < large_j")
+    meets = stored(meets.select(group, "i", "j", (F.col("n_i") + F.col("n_j")).alias("n")), "meets")
     sides = meets.select(group, "i", "j", F.col("i").alias("side")).unionByName(meets.where("i <> j").select(group, "i", "j", F.col("j").alias("side")))
-    return rows.drop("own", "large", "size").join(sides, [group, "side"])
+    total = meets.agg(F.sum("n").alias("n")).first()["n"] or 0
+    tasks = max(1, total // block, min(total // 50, 4 * rows.sparkSession.sparkContext.defaultParallelism))
+    return rows.drop("own", "large", "size").join(sides, [group, "side"]).repartition(tasks, group, "i", "j")
 
 
 def _clusters(members: DataFrame, threshold: float) -> DataFrame:
@@ -225,9 +237,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """For each row: key, n_shingles, component_id (smallest key of its group), kept (whether the key is that one)."""
     threshold = percent / 100
     signed = stored(signatures(docs, key, text, shingle), "signatures")
-    full = signed.where("n > 0 AND id IS NOT NULL")
-    one = full.groupBy("print").agg(F.min(F.struct("id", "n", "registers")).alias("x"))
-    reps = stored(one.select("print", "x.id", "x.n", "x.registers"), "representatives")
+    one = signed.where("n > 0 AND key IS NOT NULL").groupBy("print").agg(F.min(F.struct("key", "th", "n", "registers")).alias("x"))
+    reps = stored(one.select(F.monotonically_increasing_id().alias("id"), "print", "x.key", "x.th", "x.n", "x.registers"), "representatives")
 
     bands = S.REGISTERS // S.ROWS
     keys = F.array(*(F.xxhash64(F.lit(j), F.substring("registers", j * S.ROWS + 1, S.ROWS)) for j in range(bands)))
@@ -240,12 +251,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     members = stored(shared.join(stored(heads.select("bucket", (-F.col("x.minus")).alias("head")), "heads"), "bucket"), "members")
 
     narrow = reps.select("id", "n", "registers")
-    pairs = members.where("id <> head").select(F.least("head", "id").alias("u"), F.greatest("head", "id").alias("v")).distinct()
-    pairs = stored(pairs, "pairs").join(narrow.select(F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("registers").alias("r_v")), "v")
-    pairs = pairs.join(narrow.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("registers").alias("r_u")), "u")
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body"))
+    # a head outweighs its members, so a pair comes in one order only
+    pairs = stored(members.where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct(), "pairs")
+    for x in "vu":
+        pairs = pairs.join(narrow.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}")), x)
     pairs = stored(_compared(pairs, threshold).select("u", "v"), "plausible")
-    links = _verified(pairs, texts, shingle, percent)
+    paired = stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "paired")
+    names = reps.select("id", "key", "th")
+    repeats = bool(signed.where("n > 0 AND key IS NOT NULL").groupBy("key", "th").agg(F.count("*").alias("n")).where("n > 1").take(1))
+    links = _verified(pairs, _bodies(names.join(paired, "id"), docs, key, text, repeats), shingle, percent)
     found = stored(components(links), "components")
 
     labelled = members.where("size > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("comp"))
@@ -257,13 +271,16 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         clusters = stored(components(edges), "clusters").select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
         nodes = stored(rest.select("id", "comp", "n", "registers").distinct().join(clusters, "comp"), "nodes")
         sizes = stored(nodes.groupBy("cluster").agg(F.count("*").alias("size")), "sizes")
-        bodies = texts.where("id IS NOT NULL AND body IS NOT NULL").join(nodes.join(sizes, "cluster"), "id")
+        bodies = _bodies(names.join(nodes.select("id"), "id"), docs, key, text, repeats).join(nodes.join(sizes, "cluster"), "id")
         more = stored(_linked(bodies, threshold, shingle, percent), "links")
         if more.take(1):
             found = stored(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
 
-    rep = reps.select("print", F.col("id").alias("rep")).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
-    rows = signed.select("id", "n", "print").join(stored(rep, "classes"), "print", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    rows = rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    # nodes to keys: a component is named by its smallest key
+    rep = stored(reps.select("id", "print", "key").join(found.withColumnRenamed("node", "id"), "id", "left").select("print", "key", F.coalesce("component", "id").alias("component")), "members")
+    least = stored(rep.groupBy("component").agg(F.min("key").alias("component_id")), "names")
+    classes = stored(rep.join(least, "component").select("print", "component_id"), "classes")
+    rows = signed.select("key", "n", "print").join(classes, "print", "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
+    rows = rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))

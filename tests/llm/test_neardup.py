@@ -72,6 +72,13 @@ def test_null_and_repeated_keys(spark):
     assert N.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_rows_of_one_key_with_different_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    df = spark.createDataFrame([(3, a), (3, b), (1, a + " o"), (2, b + " r"), (2, b + " r")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in N.near_duplicates(df).collect())
+    assert got == [(1, 1), (2, 2), (2, 2), (3, 1), (3, 2)]
+
+
 def test_sketch_merges_and_estimates():
     r = np.random.default_rng(1)
     a, b = r.integers(0, 2**63, 3000).astype(np.uint64), r.integers(0, 2**63, 1000).astype(np.uint64)
