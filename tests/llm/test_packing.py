@@ -126,9 +126,8 @@ def test_rests_are_handed_on_from_many_small_tasks(spark, monkeypatch):
 
 def test_releasing_keeps_the_counts_right():
     packer = P.Packer(size=64, most=16)
-    for i in range(40):
-        list(packer.place((i, 0, b"\0" * 4 * (1 + i % 13), 99)))
+    closed = [x for i in range(40) for x in packer.place((i, 0, b"\0" * 4 * (40 + i % 13), 99))]
     had = packer.open
     out = list(packer.release(3))
     assert packer.open == 3 < had and packer.count.sum() == 3 and sum(map(len, packer.at)) == 3
-    assert len(out) + sum(len(s) for level in packer.at for s in level) == 40 or packer.made
+    assert len(out) + sum(len(s) for level in packer.at for s in level) + sum(len(pieces) for _, pieces in closed) == 40

@@ -46,7 +46,7 @@ def redacted(text):
     near = next(k for k in pii.KINDS if k.name == "secret").near
     for m in re.finditer("[A-Za-z0-9]+", t):
         around = t[max(0, m.start() - 40) : m.start()] + " " + t[m.end() : m.end() + 25]
-        if re.fullmatch("[0-9a-f]{32,128}", m[0]) and re.search(near, around.lower()):
+        if re.fullmatch("[0-9a-fA-F]{32,128}", m[0]) and re.search(near, around.lower()):
             spans.append((m.start(), 5, "secret", m.end()))
     out, at = "", 0
     for a, _, kind, b in sorted(spans):
@@ -98,3 +98,19 @@ def test_redaction_twice_changes_nothing_more(spark, text):
     df = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
     once = P.personal_data(spark, df, SF)
     assert once.first() == P.personal_data(spark, once, SF).first() and once.select(F.length("text") == F.col("n_chars")).first()[0]
+
+
+def test_null_and_shared_ids_and_missing_columns(spark):
+    say = lambda x, n=80: " ".join(f"{x}{i}" for i in range(n))
+    docs = [(None, say("a")), (1, say("a")), (1, say("b")), (1, say("b")), (2, say("b") + " more"), (3, "too short"), (None, "too short"), (3, say("c")), (None, say("d")), (None, say("d") + " end")]
+    df = stored(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, distance string"), "docs")
+    value = lambda df: sorted(((r["doc_id"] or 0), r["text"]) for r in df.collect())
+    good = P.quality_rules(spark, df, SF)
+    assert good.columns == df.columns and value(good) == sorted((k or 0, t) for k, t in docs if t != "too short")
+    one = P.near_duplicates(spark, stored(good, "stage"), SF)
+    assert one.columns == df.columns and len(value(one)) == 4
+    assert {(1, say("a")), (1, say("b")), (3, say("c"))} < set(value(one)) and {t for k, t in value(one) if not k} < {say("d"), say("d") + " end"}
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first()["text"]
+    mixed = spark.createDataFrame([(None, item, "x"), (7, item, "x"), (7, say("e"), "x"), (None, None, "x")], df.schema)
+    assert {(r["doc_id"], r["text"]) for r in P.decontamination(spark, mixed, SF).collect()} == {(None, None), (7, say("e"))}
+    assert P.personal_data(spark, mixed, SF).columns == df.columns
