@@ -1,8 +1,11 @@
 """A corpus pipeline: quality rules, near-duplicates, benchmark decontamination, personal data, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. Rejected
-documents are found as ids and removed by an anti join. Rows that share an id count as one document: they stay or go
-together; a row with a null id can't be named and stays.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. A stage names
+rows by a hash of what its verdict rests on (id, text, language and source) and removes rejected ones by an anti join on
+it, so rows that share an id are judged each by its own text, and a row with a null id like any other.
+
+Defined cases: a table without lang or source has one group of each; n_chars follows the text where there is such a
+column; of rows with the same id, text, language and source one stays, if they have words; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,34 +17,55 @@ from docloom.llm import decontaminate, neardup, packing, pii, quality
 from docloom.llm.queries import contamination
 from docloom.session import stored, table
 
+ROW = "__row"
+GROUPS = ("lang", "source")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with ROW. A hash skips nulls, so it takes in which columns are null."""
+    given = ["doc_id", "text", *(c for c in GROUPS if c in docs.columns)]
+    return docs.withColumn(ROW, F.xxhash64(*given, *(F.col(c).isNull() for c in given)))
+
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    return _named(docs).join(rows, ROW, "left_anti").select(docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and aren't outliers of their language and source."""
-    rows = quality.with_statistics(docs.select("doc_id", "text", "lang", "source"))
+    groups = [c if c in docs.columns else F.lit(None).cast("string").alias(c) for c in GROUPS]
+    rows = quality.with_statistics(_named(docs).select(ROW, "text", *groups))
     rows = stored(rows.drop("text"), "statistics")
     judged = quality.judge(rows, quality.fit(rows))
-    return _without(docs, stored(judged.where("NOT kept").select("doc_id").distinct(), "rejected"))
+    return _without(docs, stored(judged.where("NOT kept").select(ROW).distinct(), "rejected"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
-    found = neardup.near_duplicates(docs)
-    return _without(docs, stored(found.where("NOT kept").select("doc_id").distinct(), "duplicates"))
+    """One document of each group of near-duplicates (the smallest id): five-word shingles, similarity 0.8."""
+    named = _named(docs)
+    found = neardup.near_duplicates(named.select(ROW, "text"), key=ROW).where("n_shingles > 0")
+    found = stored(found.groupBy(ROW).agg(F.first("component_id").alias("component"), F.count("*").alias("copies")), "found")
+    ids = found.join(named.select(ROW, "doc_id").distinct(), ROW)
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("x"))
+    kept = stored(first.select(F.col(f"x.{ROW}").alias(ROW)), "first")
+    out = named.join(stored(found.join(kept, ROW, "left_anti").select(ROW), "duplicates"), ROW, "left_anti")
+    repeated = stored(found.join(kept, ROW, "left_semi").where("copies > 1").select(ROW), "repeated")
+    if repeated.take(1):
+        out = out.join(repeated, ROW, "left_anti").unionByName(out.join(repeated, ROW, "left_semi").dropDuplicates([ROW]))
+    return out.select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth lies in windows of the benchmark."""
-    found = contamination(decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")))
-    return _without(docs, stored(found.where("contaminated").select("doc_id").distinct(), "contaminated"))
+    found = contamination(decontaminate.find_contamination(_named(docs).select(ROW, "text"), table(spark, sf_dir, "benchmark"), key=ROW), key=ROW)
+    return _without(docs, stored(found.where("contaminated").select(ROW).distinct(), "contaminated"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; n_chars follows the text."""
     clean = pii.redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
 
 
