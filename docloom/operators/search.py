@@ -1,14 +1,16 @@
 """Vector, term and hybrid search over tables, exact, for many queries at once.
 
-Queries are a table like the rows are. ``top_k`` pairs every query with every row in a nested-loop join that streams the
-rows past the queries; the queries are the broadcast side only while they are few (``FEW``, checked), and else are cut
-into that many at a time. A rank limit per query is pushed below the exchange by Spark (window group limit), so that k rows
-per query and task are shuffled.
+Queries are a table like the rows are. Scores are matrix products of Arrow batches of rows with the queries, and each batch
+gives its k best rows for each query, so that what is shuffled to find the best of all is a small part of the rows,
+whatever their number. The queries are broadcast while they are few and small (``FEW`` and ``BYTES``, checked); more of
+them meet the rows in pairs of blocks, each one group.
+
+Rows and queries without a vector or id are left out. Scores are rounded to 12 places, so that equal vectors tie.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 from docloom.functions import vectors as V
 from docloom.functions.text import count_of
 
-FEW = 10_000
-BLOCK = 8192  # rows of a block of near_vectors
+FEW = 10_000  # queries that are broadcast
+BYTES = 64_000_000  # and what their vectors may take
+BLOCK = 8192  # rows of a block
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank", offset: int = 0) -> DataFrame:
@@ -31,9 +34,68 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], k: int, name: str
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name).between(offset + 1, offset + k))
 
 
-def score_pairs(rows: DataFrame, queries: DataFrame, *, vector: str = "embedding", query_vector: str = "query_embedding", metric: str = "cosine", name: str = "score") -> DataFrame:
-    """Every row with every query and their score."""
-    return rows.crossJoin(F.broadcast(queries)).withColumn(name, V.METRICS[metric](vector, query_vector)).drop(query_vector, vector)
+def scores(metric: str, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """The score of each row (first axis) with each query."""
+    if metric in V.SIMILARITIES:
+        out = rows @ queries.T
+        if metric == "cosine":
+            with np.errstate(all="ignore"):
+                out = out / np.sqrt((rows * rows).sum(axis=1)[:, None] * (queries * queries).sum(axis=1)[None, :])
+            out[~np.isfinite(out)] = 0.0  # a vector of zeros, or not a number
+        return np.round(out, 12)
+    each = {
+        "l2": lambda d: np.sqrt((d * d).sum(axis=1)),
+        "l1": lambda d: np.abs(d).sum(axis=1),
+        "linf": lambda d: np.abs(d).max(axis=1),
+        "hamming": lambda d: (d != 0).mean(axis=1),
+    }[metric]
+    return np.round(np.stack([each(rows - q) for q in queries], axis=1), 12) if len(queries) else np.empty((len(rows), 0))
+
+
+def matrix(vectors: pa.Array | pa.ChunkedArray, width: int | None = None) -> np.ndarray:
+    """Vectors of one width as rows of a matrix; another width is an error."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    found = set(pc.unique(pc.list_value_length(vectors)).to_pylist()) | ({width} if width is not None else set())
+    if len(found) > 1:
+        raise ValueError(f"vector widths differ: {sorted(map(str, found))}")
+    return np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), float).reshape(len(vectors), next(iter(found), 0))
+
+
+def _best(score: np.ndarray, order: np.ndarray, k: int, best_high: bool, keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, queries) of the k best rows of each query; ties by order."""
+    value = -score if best_high else score
+    if keep is not None:
+        value = np.where(keep, value, np.inf)
+    limit = np.partition(value, k - 1, axis=0)[k - 1] if k < len(value) else np.full(value.shape[1], np.inf)
+    at, of = [], []
+    for q in range(value.shape[1]):
+        i = np.flatnonzero((value[:, q] <= limit[q]) & np.isfinite(value[:, q]))
+        at.append(i[np.lexsort((order[i], value[i, q]))[:k]])
+        of.append(np.full(len(at[-1]), q))
+    return (np.concatenate(at), np.concatenate(of)) if at else (np.empty(0, int), np.empty(0, int))
+
+
+def _scored(rows: pa.Array, vectors: np.ndarray, ids: pa.Array, asked: np.ndarray, k: int, metric: str, threshold: float | None, strict: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The k best of some rows for each query, some queries at a time."""
+    high = metric in V.SIMILARITIES
+    order = pc.rank(rows, tiebreaker="dense").to_numpy()
+    for start in range(0, len(asked), 256):
+        score = scores(metric, vectors, asked[start : start + 256])
+        keep = None
+        if threshold is not None:
+            keep = (score > threshold if strict else score >= threshold) if high else (score < threshold if strict else score <= threshold)
+        at, of = _best(score, order, k, high, keep)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(of + start)), rows.take(pa.array(at)), pa.array(score[at, of], pa.float64())], names)
+
+
+def few_vectors(df: DataFrame, key: str, vector: str) -> tuple[pa.Array, np.ndarray] | None:
+    """Ids and vectors of a small table on the driver; None if it isn't small."""
+    df = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    size = df.agg(F.count("*").alias("n"), F.sum(F.size("v")).alias("x")).first()
+    if size["n"] > FEW or 8 * (size["x"] or 0) > BYTES:
+        return None
+    t = df.toArrow().combine_chunks()
+    return pa.concat_arrays(t["id"].chunks) if t["id"].chunks else pa.array([], t.schema.field("id").type), matrix(t["v"])
 
 
 def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 4, row_id: str = "id", query_id: str = "query_id", vector: str = "embedding", query_vector: str = "query_embedding", metric: str = "cosine", where: Column | None = None, threshold: float | None = None, strict: bool = False, offset: int = 0) -> DataFrame:
@@ -42,20 +104,70 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 4, row_id: str = "id"
     where: a predicate on rows, applied before scoring (and pushed into the scan). threshold: the least score kept (more than
     it, if strict; for distances the most).
     """
-    rows = (rows if where is None else rows.where(where)).select(row_id, F.col(vector).alias("__v"))
-    queries = queries.select(query_id, F.col(query_vector).alias("__q"))
-    n = queries.count()
-    parts = max(1, -(-n // FEW))
-    slices = [queries] if parts == 1 else [queries.where(F.pmod(F.xxhash64(query_id), F.lit(parts)) == i) for i in range(parts)]
+    if metric not in V.METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    rows = (rows if where is None else rows.where(where)).select(F.col(row_id).alias("r"), F.col(vector).cast("array<double>").alias("v")).where("r IS NOT NULL AND v IS NOT NULL")
+    names = [query_id, row_id, "score"]
+    kinds = [queries.schema[query_id].dataType.simpleString(), rows.schema["r"].dataType.simpleString(), "double"]
+    schema = ", ".join(f"`{n}` {t}" for n, t in zip(names, kinds, strict=True))
+    most, few = k + offset, few_vectors(queries, query_id, query_vector)
+    if few is not None:
+        shared = rows.sparkSession.sparkContext.broadcast(few)
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, asked = shared.value
+            for b in batches:
+                if len(b) and len(asked):
+                    yield from _scored(b.column(0), matrix(b.column(1), asked.shape[1]), ids, asked, most, metric, threshold, strict, names)
+
+        found = rows.mapInArrow(near, schema)
+    else:
+        found = _in_blocks(rows, queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("q IS NOT NULL AND v IS NOT NULL"), most, metric, threshold, strict, names, schema)
     best = F.desc("score") if metric in V.SIMILARITIES else F.asc("score")
-    done = []
-    for part in slices:
-        scored = score_pairs(rows, part, vector="__v", query_vector="__q", metric=metric)
-        if threshold is not None:
-            s, near = F.col("score"), metric in V.SIMILARITIES
-            scored = scored.where((s > threshold if strict else s >= threshold) if near else (s < threshold if strict else s <= threshold))
-        done.append(ranked(scored, [query_id], [best, F.col(row_id)], k, offset=offset))
-    return reduce(DataFrame.unionByName, done)
+    return ranked(found, [query_id], [best, F.col(row_id)], k, offset=offset)
+
+
+def _in_blocks(rows: DataFrame, queries: DataFrame, k: int, metric: str, threshold: float | None, strict: bool, names: list[str], schema: str) -> DataFrame:
+    """The k best of each block of rows for each query, for any number of queries: a group is a block of either side."""
+    n, m = (max(1, -(-df.count() // BLOCK)) for df in (rows, queries))
+    block = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    left = rows.select("r", none(queries, "q"), "v", block("r", n).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
+    right = queries.select(none(rows, "r"), "q", "v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), block("q", m).alias("j"))
+
+    def near(t: pa.Table) -> pa.Table:
+        mine, asked = t.filter(pc.is_valid(t["r"])).combine_chunks(), t.filter(pc.is_valid(t["q"])).combine_chunks()
+        out = []
+        if len(mine) and len(asked):
+            q = matrix(asked["v"])
+            out = list(_scored(pa.concat_arrays(mine["r"].chunks), matrix(mine["v"], q.shape[1]), pa.concat_arrays(asked["q"].chunks), q, k, metric, threshold, strict, names))
+        if not out:
+            return pa.table([pa.array([], t.schema.field("q").type), pa.array([], t.schema.field("r").type), pa.array([], pa.float64())], names)
+        return pa.Table.from_batches(out)
+
+    return left.unionByName(right).groupBy("i", "j").applyInArrow(near, schema)
+
+
+def score_pairs(rows: DataFrame, queries: DataFrame, *, row_id: str = "id", query_id: str = "query_id", vector: str = "embedding", query_vector: str = "query_embedding", metrics: Sequence[str] = ("cosine",)) -> DataFrame:
+    """Every row with every query and a column for each metric. The queries have to be few: the result has a row for each pair."""
+    few = few_vectors(queries, query_id, query_vector)
+    if few is None:
+        raise ValueError("too many queries for a row for each pair; top_k takes any number")
+    rows = rows.select(F.col(row_id).alias("r"), F.col(vector).cast("array<double>").alias("v")).where("r IS NOT NULL AND v IS NOT NULL")
+    shared = rows.sparkSession.sparkContext.broadcast(few)
+    names = [query_id, row_id, *metrics]
+    schema = f"`{query_id}` {queries.schema[query_id].dataType.simpleString()}, `{row_id}` {rows.schema['r'].dataType.simpleString()}, " + ", ".join(f"`{x}` double" for x in metrics)
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asked = shared.value
+        for b in batches:
+            for start in range(0, len(asked) if len(b) else 0, 64):
+                part = asked[start : start + 64]
+                mine = matrix(b.column(1), asked.shape[1])
+                of, at = np.meshgrid(np.arange(start, start + len(part)), np.arange(len(b)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of.ravel())), b.column(0).take(pa.array(at.ravel())), *(pa.array(scores(x, mine, part).ravel()) for x in metrics)], names)
+
+    return rows.mapInArrow(pair, schema)
 
 
 def search_by_text(rows: DataFrame, queries: DataFrame, embed: Column, **how) -> DataFrame:

@@ -119,7 +119,7 @@ def folded_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT a.event_id, (SELECT max(b.value) FROM events b WHERE b.event_type = 'purchase' AND b.user_id = a.user_id AND b.ts = (SELECT max(c.ts) FROM events c WHERE c.event_type = 'purchase' AND c.user_id = a.user_id AND c.ts <= a.ts)) AS last_value
-FROM events a WHERE a.event_type = 'view' AND a.event_id < 300""")
+FROM events a WHERE a.event_type = 'view'""")
 def as_of_join(spark: SparkSession, d: str) -> DataFrame:
     from docloom.operators.fusion import as_of
 

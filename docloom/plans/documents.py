@@ -18,7 +18,7 @@ def dedup_exact(spark: SparkSession, d: str) -> DataFrame:
     return fusion.first_by_key(_docs(spark, d).select("doc_id", "text"), ["text"], ["doc_id"])
 
 
-@query("""SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, substr(text, 1, 50) ORDER BY doc_id) AS n FROM documents) WHERE n = 1""")
+@query("""SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, text ORDER BY doc_id) AS n FROM documents) WHERE n = 1""")
 def dedup_composite_key(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d).select("doc_id", "lang", "source", F.sha2("text", 256).alias("body"))
     return fusion.first_by_key(docs, ["lang", "source", "body"], ["doc_id"]).drop("body")
@@ -161,12 +161,12 @@ def text_normalize(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", X.compact("text").alias("compacted"), X.for_match("text").alias("for_match"), X.preview("text").alias("preview"), X.contains_any("text", ["the", "und"]).alias("marked"))
 
 
-@query("""SELECT doc_id, 'Source: ' || source || ' (' || lang || ')' || chr(10) || substr(text, 1, 40) AS prompt FROM documents""")
+@query("""SELECT doc_id, 'Source: ' || source || ' (' || lang || ')' || chr(10) || text AS prompt FROM documents""")
 def prompt_template(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", X.template("Source: {source} ({lang})\n{text}").alias("prompt"))
 
 
-@query("""SELECT lang, string_agg(substr(text, 1, 20), chr(10) || chr(10) ORDER BY doc_id) AS body FROM documents WHERE doc_id < 50 GROUP BY lang""")
+@query("""SELECT lang, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS body FROM documents GROUP BY lang""")
 def stuff_documents(spark: SparkSession, d: str) -> DataFrame:
     rows = _docs(spark, d).select("lang", F.struct("doc_id", F.col("text").alias("t")).alias("x"))
     return rows.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n\n").alias("body"))

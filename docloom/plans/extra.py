@@ -71,7 +71,7 @@ def parsed_times(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", F.to_timestamp_ntz("t", F.lit("yyyy-MM-dd'T'HH:mm:ss")).alias("parsed"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 3 = 1 THEN 0 END AS grade, CASE event_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' END AS choice, (event_id % 10 + 1) / 10e0 AS score, least(pow(2e0, event_id % 9), 60e0) AS delay FROM events WHERE event_id < 500""")
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 3 = 1 THEN 0 END AS grade, CASE event_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' END AS choice, (event_id % 10 + 1) / 10e0 AS score, least(pow(2e0, event_id % 9), 60e0) AS delay FROM events""")
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     three = F.col("event_id") % 3

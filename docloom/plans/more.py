@@ -21,7 +21,7 @@ def usage_difference(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", merge.usage_less(F.col("event_id") % 10, F.col("event_id") % 7).alias("rest"))
 
 
-@query("""SELECT lang, key, string_agg(v, ', ' ORDER BY doc_id) AS value FROM (SELECT lang, doc_id, 'source' AS key, source AS v FROM documents WHERE doc_id < 40 UNION ALL SELECT lang, doc_id, 'n_chars', n_chars::VARCHAR FROM documents WHERE doc_id < 40) GROUP BY lang, key""")
+@query("""SELECT lang, key, string_agg(v, ', ' ORDER BY doc_id) AS value FROM (SELECT lang, doc_id, 'source' AS key, source AS v FROM documents UNION ALL SELECT lang, doc_id, 'n_chars', n_chars::VARCHAR FROM documents) GROUP BY lang, key""")
 def collapsed_metadata(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").withColumn("metadata", F.create_map(F.lit("source"), F.col("source"), F.lit("n_chars"), F.col("n_chars").cast("string")))
     return merge.collapsed_metadata(docs, ["lang"], "doc_id")
@@ -46,7 +46,7 @@ def cached_values(spark: SparkSession, d: str) -> DataFrame:
     return merge.cached(docs, known, ["n_chars"], "origin", lambda m: m.withColumn("origin", F.lit("computed")))[0].select("doc_id", "n_chars", "origin")
 
 
-@query("""WITH RECURSIVE t AS (SELECT event_id, event_id AS trace_id, 0 AS depth FROM events WHERE event_id % 8 = 0 AND event_id < 800
+@query("""WITH RECURSIVE t AS (SELECT event_id, event_id AS trace_id, 0 AS depth FROM events WHERE event_id % 8 = 0
 UNION ALL SELECT e.event_id, t.trace_id, t.depth + 1 FROM events e JOIN t ON t.event_id = (e.event_id - 1) WHERE e.event_id % 8 <> 0) SELECT event_id, trace_id, depth FROM t""")
 def run_tree(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 8 != 0, F.col("event_id") - 1).alias("parent_id"), "ts")

@@ -8,7 +8,7 @@ from docloom.operators import fusion, search
 from docloom.plans.catalogue import query
 from docloom.session import table
 
-_Q = "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id < 5), e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
+_Q = "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0), e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 
 
 def _queries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -26,8 +26,8 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 6))
 
 
-@query("""SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score
-FROM embeddings ORDER BY score DESC, vec_id LIMIT 10""")
+@query(f"""{_Q}, s AS (SELECT query_id, vec_id, list_cosine_similarity(v, qv) AS score FROM q, e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     e, q = _queries(spark, d)
     return _rounded(search.top_k(e, q, row_id="vec_id", k=10).drop("rank"))
@@ -84,9 +84,8 @@ round(list_sum(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN v[i] <>
 round(list_inner_product(v, qv), 6) AS ip FROM q, e""")
 def vector_distances(spark: SparkSession, d: str) -> DataFrame:
     e, q = _queries(spark, d)
-    rows = e.crossJoin(F.broadcast(q))
-    a, b = "embedding", "query_embedding"
-    return rows.select("query_id", "vec_id", *(F.round(f(a, b), 6).alias(n) for n, f in (("l2", V.euclidean), ("l1", V.manhattan), ("linf", V.chebyshev), ("hamming", V.hamming), ("ip", V.dot))))
+    names = ("l2", "l1", "linf", "hamming", "ip")
+    return search.score_pairs(e, q, row_id="vec_id", metrics=names).withColumns({n: F.round(n, 6) for n in names})
 
 
 @query(f"""{_Q}, s AS (SELECT query_id, vec_id, list_distance(v, qv) AS l2, list_cosine_similarity(v, qv) AS c, list_inner_product(v, qv) AS ip FROM q, e)
@@ -94,8 +93,9 @@ SELECT query_id, vec_id, round(1 - l2 / sqrt(2e0), 6) AS from_l2, round(1 - (1 -
 round(CASE WHEN ip > 0 THEN 1 - ip ELSE -ip END, 6) AS from_ip, round((c + 1) / 2, 6) AS scaled FROM s""")
 def relevance_scores(spark: SparkSession, d: str) -> DataFrame:
     e, q = _queries(spark, d)
-    rows = e.crossJoin(F.broadcast(q)).select("query_id", "vec_id", V.euclidean("embedding", "query_embedding").alias("l2"), V.cosine("embedding", "query_embedding").alias("c"), V.dot("embedding", "query_embedding").alias("ip"))
-    return rows.select("query_id", "vec_id", F.round(V.euclidean_relevance("l2"), 6).alias("from_l2"), F.round(V.cosine_relevance(1 - F.col("c")), 6).alias("from_cosine"), F.round(V.inner_product_relevance("ip"), 6).alias("from_ip"), F.round(V.scaled_cosine_relevance("c"), 6).alias("scaled"))
+    rows = search.score_pairs(e, q, row_id="vec_id", metrics=("l2", "cosine", "ip"))
+    made = {"from_l2": V.euclidean_relevance("l2"), "from_cosine": V.cosine_relevance(1 - F.col("cosine")), "from_ip": V.inner_product_relevance("ip"), "scaled": V.scaled_cosine_relevance("cosine")}
+    return rows.select("query_id", "vec_id", *(F.round(c, 6).alias(n) for n, c in made.items()))
 
 
 @query("""SELECT label, dim - 1 AS dim, round(avg(embedding[dim]::DOUBLE), 6) AS value
@@ -110,7 +110,7 @@ def mmr_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.mmr_search(e, q, row_id="vec_id")
 
 
-@query("""SELECT DISTINCT b.vec_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
+@query("""SELECT DISTINCT b.vec_id FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
 WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.5""")
 def redundant_vectors(spark: SparkSession, d: str) -> DataFrame:
     return search.near_vectors(table(spark, d, "embeddings"), above=0.5, row_id="vec_id")

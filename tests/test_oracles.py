@@ -1,4 +1,4 @@
-"""Every registered query against its SQL, on sf0.001: row counts, column names and values."""
+"""Every registered query against its SQL, on sf0.01: row counts, column names and values."""
 
 import datetime
 import decimal
@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 QUERIES, SQL = entry.catalogue.QUERIES, entry.catalogue.SQL
 
 

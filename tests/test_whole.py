@@ -1,53 +1,18 @@
-"""Queries over their whole tables, on sf0.01: against their SQL with its cuts taken out, or against brute force."""
+"""Queries that SQL can't express, or is too slow for, over whole tables on sf0.01, against brute force."""
 
 import json
 import math
 import re
 from functools import reduce
-from pathlib import Path
 
-import duckdb
 import numpy as np
 import pytest
-from test_oracles import QUERIES, SQL, rows
+from pyspark.sql import functions as F
+from test_oracles import QUERIES
 
-from docloom.operators import merge, search
+from docloom.operators import merge, models, search
 
 SF = "/root/testdata/sf0.01"
-#: what is cut in the registered SQL, and what stands there for the whole job
-CUTS = {
-    "redundant_vectors": [("a.label = b.label AND ", "")],
-    "string_distances": [(" WHERE p_partkey < 500", "")],
-    "as_of_join": [(" AND a.event_id < 300", "")],
-    "verdicts": [(" WHERE event_id < 500", "")],
-    "collapsed_metadata": [(" WHERE doc_id < 40", "")],
-    "run_tree": [(" AND event_id < 800", "")],
-    "frame_mean": [(" WHERE l_orderkey < 1000", "")],
-    "assign_and_pick": [(" WHERE o_custkey < 50", "")],
-    "stuff_documents": [(" WHERE doc_id < 50", ""), ("substr(text, 1, 20)", "text")],
-    "dedup_composite_key": [("substr(text, 1, 50)", "text")],
-    "prompt_template": [("substr(text, 1, 40)", "text")],
-} | dict.fromkeys("vector_topk_multi vector_topk_filtered vector_topk_euclidean vector_topk_inner_product score_threshold embeddings_filter offset_paging long_context_order vector_distances relevance_scores".split(), [("vec_id < 5", "vec_id % 20 = 0")])
-
-
-@pytest.fixture(scope="module")
-def duck():
-    c = duckdb.connect()
-    for p in Path(SF).glob("*.parquet"):
-        c.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
-    return c
-
-
-@pytest.mark.parametrize("name", sorted(CUTS))
-def test_whole(spark, duck, name):
-    sql = SQL[name]
-    for cut, whole in CUTS[name]:
-        sql = sql.replace(cut, whole)
-    got, want = QUERIES[name](spark, SF), duck.sql(sql)
-    assert sorted(got.columns) == sorted(want.columns)
-    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
-
-
 def test_near_vectors_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 16)
     v = np.random.default_rng(1).normal(size=(100, 4))
@@ -109,3 +74,39 @@ def test_json_queries_take_all_events(spark):
     for r in sorted(events, key=lambda r: r["event_id"]):
         want.setdefault(r["user_id"], []).append(r["props"])
     assert folded == {u: reduce(merge.deep_merge, map(json.loads, p)) for u, p in want.items()}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "ip", "l2", "l1", "linf", "hamming"])
+@pytest.mark.parametrize("few", [10_000, 3])
+def test_top_k_by_brute_force(spark, monkeypatch, metric, few):
+    """Broadcast queries and blocks of both sides give the same, with ties, zeros, nulls, a filter and a threshold."""
+    monkeypatch.setattr(search, "FEW", few)
+    monkeypatch.setattr(search, "BLOCK", 16)
+    r = np.random.default_rng(2)
+    v = r.integers(-2, 3, size=(90, 3)).astype(float)
+    df = spark.createDataFrame([(f"{i:03d}", i % 7, x.tolist()) for i, x in enumerate(v)] + [("null", 1, None), (None, 1, [1.0, 2.0, 3.0])], "id string, label int, embedding array<float>").repartition(4)
+    q = spark.createDataFrame([(i, v[i * 5].tolist()) for i in range(12)] + [(99, None)], "query_id long, query_embedding array<double>")
+
+    def score(a, b):
+        if metric == "cosine":
+            n = np.sqrt((a @ a) * (b @ b))
+            return round(a @ b / n, 12) if n else 0.0
+        d = a - b
+        return {"ip": lambda: a @ b, "l2": lambda: round(np.sqrt(d @ d), 12), "l1": lambda: np.abs(d).sum(), "linf": lambda: np.abs(d).max(), "hamming": lambda: round((d != 0).mean(), 12)}[metric]()
+
+    high = metric in ("cosine", "ip")
+    got = search.top_k(df, q, k=3, offset=1, metric=metric, where=F.col("label") != 3, threshold=0.5).collect()
+    want = set()
+    for i in range(12):
+        all_ = sorted(((-s if high else s), f"{j:03d}") for j in range(90) if j % 7 != 3 for s in [score(v[j], v[i * 5])] if (s >= 0.5 if high else s <= 0.5))
+        want |= {(i, j, round(-s if high else s, 9), n) for n, (s, j) in enumerate(all_[:4], 1) if n > 1}
+    assert {(x["query_id"], x["id"], round(x["score"], 9), x["rank"]) for x in got} == want
+    assert search.top_k(df.limit(0), q, metric=metric).collect() == [] and search.top_k(df, q.limit(0), metric=metric).collect() == []
+
+
+def test_nearest_route(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.0, 2.0]), (3, [1.0, 1.0]), (4, None)], "id int, embedding array<double>")
+    routes = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [0.0, 1.0])], "route_id string, embedding array<double>")
+    assert {r["id"]: r["route_id"] for r in models.nearest_route(df, routes).collect()} == {1: "b", 2: "a", 3: "a"}
+    with pytest.raises(Exception, match="widths differ"):
+        models.nearest_route(df, spark.createDataFrame([("c", [1.0])], routes.schema)).collect()
