@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.columns import ColumnOrName, col
 
+#: What the kinds match and how matches are masked (in ``masked``) decides the results and has to agree.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
@@ -29,7 +30,7 @@ def matches(text: ColumnOrName, kind: str, pattern: str | None = None) -> Column
 
 
 def masked(kind: str, match: Column) -> Column:
-    """A match with all but its telling part starred out."""
+    """A match with all but its telling part starred out. The marks are fixed values."""
     if kind == "email":
         return F.concat(F.substring_index(match, "@", 1), F.lit("@****."), F.substring_index(match, ".", -1))
     if kind == "credit_card":

@@ -90,9 +90,14 @@ def line_list(text: ColumnOrName) -> Column:
     return F.filter(F.split(col(text), "\n"), lambda x: F.trim(x) != "")
 
 
+def has_word(text: ColumnOrName, word: str) -> Column:
+    """Whether a word stands alone in a text, in any case. Letters, digits and _ of any script make up words, whatever the regex engine's own idea of a boundary."""
+    return col(text).rlike(rf"(?i)(^|[^\pL\pN_]){regex_quote(word)}([^\pL\pN_]|$)")
+
+
 def yes_no(text: ColumnOrName, true: str = "YES", false: str = "NO") -> Column:
     """True or false by which word occurs; both, or neither, is an error."""
-    has = lambda w: col(text).rlike(rf"(?i)\b{regex_quote(w)}\b")
+    has = lambda w: has_word(text, w)
     wrong = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), F.coalesce(col(text), F.lit("null")))).cast("boolean")
     return F.when(has(true) & has(false), wrong("ambiguous answer")).when(has(true), True).when(has(false), False).otherwise(wrong("no answer"))
 

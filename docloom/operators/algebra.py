@@ -213,10 +213,21 @@ def select_only(spark: SparkSession, sql: str) -> DataFrame:
     body = sql.strip().rstrip(";")
     if not body.upper().startswith(("SELECT", "WITH")) or ";" in body:
         raise ValueError("only a single SELECT is allowed")
-    plan = spark.sql(body)
-    if plan._jdf.queryExecution().logical().getClass().getSimpleName() in ("InsertIntoStatement", "CreateTable", "DropTable"):
-        raise ValueError("only a single SELECT is allowed")
-    return plan
+    # spark.sql runs a command at once, so the statement is parsed first
+    todo, kind = [spark._jsparkSession.sessionState().sqlParser().parsePlan(body)], spark._jvm.java.lang.Class.forName
+    wrong = [kind(f"org.apache.spark.sql.catalyst.plans.logical.{n}") for n in ("Command", "ParsedStatement", "V2WriteCommand")]
+    while todo:
+        plan = todo.pop()
+        if any(k.isInstance(plan) for k in wrong):
+            raise ValueError("only a single SELECT is allowed")
+        inner = [*_items(plan.children()), *_items(plan.innerChildren())]
+        todo += [p for p in inner if kind("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan").isInstance(p)]
+    return spark.sql(body)
+
+
+def _items(seq) -> list:
+    """The items of a Scala sequence."""
+    return [seq.apply(i) for i in range(seq.size())]
 
 
 def table_info(spark: SparkSession, tables: list[str]) -> str:

@@ -54,12 +54,13 @@ def evaluated(contracts: DataFrame, policies: tuple[str, ...] = ("all", "adopted
     c, placed = clauses(contracts), None
     placed = to_clauses(risks(contracts), c)
     found = placed.where("origin <> 'label'")
+    everyone = contracts.select(F.explode(F.map_keys("participants")).alias("origin")).distinct()  # also those without any risk in its place
     out = None
     for policy in policies:
         gold = placed.where("origin = 'label'")
         gold = gold.where(F.col("status").isin(*ADOPTED)) if policy == "adopted" else gold
         pairs = matched(gold, found).select(F.substring_index("grp", "|", 1).alias("origin")).groupBy("origin").agg(F.count("*").alias("tp"))
-        per = found.groupBy("origin").agg(F.count("*").alias("found")).crossJoin(gold.agg(F.count("*").alias("gold"))).join(pairs, "origin", "left").fillna(0, ["tp"])
+        per = everyone.join(found.groupBy("origin").agg(F.count("*").alias("found")), "origin", "left").crossJoin(F.broadcast(gold.agg(F.count("*").alias("gold")))).join(pairs, "origin", "left").fillna(0, ["tp", "found"])
         one = per.select("origin", F.lit(policy).alias("policy"), "tp", (F.col("found") - F.col("tp")).alias("fp"), (F.col("gold") - F.col("tp")).alias("fn"))
         one = one.select("*", *evaluate.ratios("tp", "fp", "fn"))
         out = one if out is None else out.unionByName(one)

@@ -142,30 +142,49 @@ def json_distance(a: Column | str, b: Column | str) -> Column:
     return distance(a, b)
 
 
+TAIL = 9  # what may have to go of a number, a literal or an escape that breaks off, and one more
+
+
 def partial_json(text: str | None) -> object:
-    """The value of JSON text that may break off: open strings and brackets are closed, an unfinished tail is cut off. None if there is none."""
+    """The value of JSON text that may break off: open strings and brackets are closed, an unfinished tail is cut off. None if there is none.
+
+    One pass finds the places where the text can end: after an opening or closing bracket, and before a comma; besides, any of
+    the last ``TAIL``. They are tried from the last on, and the first one nearly always does.
+    """
     if not text:
         return None
     body = text.strip()
-    for end in range(len(body), 0, -1):
-        stack, quoted, escaped = [], False, False
-        for c in body[:end]:
-            if quoted:
-                if escaped:
-                    escaped = False
-                elif c == "\\":
-                    escaped = True
-                elif c == '"':
-                    quoted = False
+    ends: list[tuple[int, bool, tuple | None]] = []
+    quoted = escaped = False
+    open_: tuple | None = None  # (closing bracket, the ones around it)
+    for i, c in enumerate(body):
+        if quoted:
+            if escaped:
+                escaped = False
+            elif c == "\\":
+                escaped = True
             elif c == '"':
-                quoted = True
-            elif c in "{[":
-                stack.append("}" if c == "{" else "]")
-            elif c in "}]":
-                if not stack or stack.pop() != c:
-                    return None
+                quoted = False
+        elif c == '"':
+            quoted = True
+        elif c in "{[":
+            open_ = ("}" if c == "{" else "]", open_)
+            ends.append((i + 1, False, open_))
+        elif c in "}]":
+            if open_ is None or open_[0] != c:
+                return None
+            open_ = open_[1]
+            ends.append((i + 1, False, open_))
+        elif c == "," and i:
+            ends.append((i, False, open_))
+        if i + TAIL >= len(body):
+            ends.append((i + 1, quoted, open_))
+    for end, inside, around in sorted(dict.fromkeys(ends), key=lambda e: -e[0]):
+        closing = '"' * inside
+        while around:
+            closing, around = closing + around[0], around[1]
         try:
-            return json.loads(body[:end] + '"' * quoted + "".join(reversed(stack)), strict=False)
+            return json.loads(body[:end] + closing, strict=False)
         except ValueError:
             continue
     return None

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.numbering import numbered
+
 COMPARATORS = ("eq", "ne", "gt", "gte", "lt", "lte", "contain", "like", "in", "nin")
 OPERATORS = ("and", "or", "not")
 
@@ -187,8 +189,6 @@ def frame_query(df: DataFrame, request: str, order: str) -> DataFrame:
     if not m:
         raise ValueError(f"bad request {request!r}")
     what, name, part = m.groups()
-    from pyspark.sql import Window
-
     places = names = None
     if part and (r := re.fullmatch(r"(\d+)\.\.(\d+)", part)):
         places = F.col("__row").between(int(r[1]), int(r[2]))
@@ -196,8 +196,7 @@ def frame_query(df: DataFrame, request: str, order: str) -> DataFrame:
         places = F.col("__row").isin([int(x) for x in part.split(",")])
     elif part:
         names = [x.strip() for x in part.split(",")]
-    # a place in the whole frame needs one order of all rows
-    rows = df.withColumn("__row", F.row_number().over(Window.orderBy(order)) - 1)
+    rows = numbered(df, [order], "__row") if what == "row" or places is not None else df
     if what == "row":
         if unknown := set(names or []) - set(df.columns):
             raise ValueError(f"unknown columns {sorted(unknown)}")

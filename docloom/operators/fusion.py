@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.numbering import numbered
+
 
 def union_all(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
@@ -19,14 +21,17 @@ def reciprocal_rank_fusion(lists: DataFrame, weights: dict[int, float] | None =
     if weights:
         weight = reduce(lambda c, w: c.when(F.col(list_id) == w[0], float(w[1])), weights.items(), F.when(F.lit(False), 0.0)).otherwise(1.0)
     scored = lists.groupBy(*by, key).agg(F.sum(weight / (F.col(rank) + constant)).alias("score"), F.min(F.struct(list_id, rank)).alias("__first"))
-    w = Window.partitionBy(*by).orderBy(F.desc("score"), "__first")
-    return scored.withColumn("position", F.row_number().over(w)).drop("__first")
+    order = [F.desc("score"), F.col("__first")]
+    if not by:
+        return numbered(scored, order, "position").withColumn("position", (F.col("position") + 1).cast("int")).drop("__first")
+    return scored.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).drop("__first")
 
 
 def interleave(lists: DataFrame, *, list_id: str = "list_id", rank: str = "rank", by: list[str] | None = None) -> DataFrame:
     """Round robin over ranked lists: position from 1, by rank, then list."""
-    w = Window.partitionBy(*(by or [])).orderBy(rank, list_id)
-    return lists.withColumn("position", F.row_number().over(w))
+    if not by:
+        return numbered(lists, [rank, list_id], "position").withColumn("position", (F.col("position") + 1).cast("int"))
+    return lists.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(rank, list_id)))
 
 
 def hours_between(later: Column, earlier: Column) -> Column:
@@ -44,11 +49,15 @@ def decayed_score(last_seen: Column, now: Column, decay: float = 0.01, relevance
 
 
 def first_by_key(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """The first row of each key. The smallest row is found by a partial aggregation, so one hot key shuffles a row per task."""
-    names = df.columns
+    """The first row of each key. The smallest row is found by a partial aggregation, so one hot key shuffles a row per task.
+
+    Rows are grouped by a 256-bit hash of string keys, so that a text that is a key is shuffled once, in its row.
+    """
+    names, kinds = df.columns, dict(df.dtypes)
     rank = F.struct(*(c if isinstance(c, Column) else F.col(c) for c in order))
-    row = df.select(*keys, rank.alias("__rank"), F.struct(*names).alias("__row"))
-    return row.groupBy(*keys).agg(F.min_by("__row", "__rank").alias("__row")).select("__row.*")
+    by = [(F.sha2(k, 256) if kinds.get(k) == "string" else F.col(k)).alias(f"__key{i}") for i, k in enumerate(keys)]
+    row = df.select(*by, rank.alias("__rank"), F.struct(*names).alias("__row"))
+    return row.groupBy(*(f"__key{i}" for i in range(len(keys)))).agg(F.min_by("__row", "__rank").alias("__row")).select("__row.*")
 
 
 def parents(hits: DataFrame, store: DataFrame, *, parent: str = "parent_id", rank: str = "rank", k: int | None = None) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.fusion import nodes_like
+from docloom.session import stored
 
 
 def without_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,21 +46,22 @@ def as_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.crossJoin(e).select(F.to_json(F.struct("nodes", "edges")).alias("graph"))
 
 
-def run_tree(runs: DataFrame, *, depth: int = 25, run: str = "run_id", parent: str = "parent_id", order: Column | str = "start") -> DataFrame:
+def run_tree(runs: DataFrame, *, run: str = "run_id", parent: str = "parent_id", order: Column | str = "start") -> DataFrame:
     """runs with trace_id (the root's id), depth and path: start times and ids from the root, to sort by.
 
-    Level by level: each round joins the last level's children, up to a depth; a run whose parent is missing is a root.
+    Level by level: each round joins the last level's children and stores them, until there are none; a run whose parent is missing
+    is a root, and runs that are their own ancestors have no place.
     """
     key = (F.col(order) if isinstance(order, str) else order).cast("string")
     rows = runs.withColumn("__key", F.concat_ws("", key, F.col(run).cast("string")))
     known = runs.select(F.col(run).alias(parent), F.lit(True).alias("__has"))
     marked = rows.join(known, parent, "left")
-    level = marked.where("__has IS NULL").select(F.col(run).alias("__run"), F.col(run).alias("trace_id"), F.lit(0).alias("depth"), F.col("__key").alias("path"))
-    children = marked.where("__has").select(F.col(run).alias("__child"), F.col(parent).alias("__run"), "__key")
-    placed = level
-    for _ in range(depth):
-        level = children.join(level, "__run").select(F.col("__child").alias("__run"), "trace_id", (F.col("depth") + 1).alias("depth"), F.concat_ws(".", "path", "__key").alias("path"))
-        if not level.take(1):
-            break
-        placed = placed.unionByName(level)
+    level = stored(marked.where("__has IS NULL").select(F.col(run).alias("__run"), F.col(run).alias("trace_id"), F.lit(0).alias("depth"), F.col("__key").alias("path")), "level")
+    children = stored(marked.where("__has").select(F.col(run).alias("__child"), F.col(parent).alias("__run"), "__key"), "children")
+    levels = []
+    while level.take(1):
+        levels.append(level)
+        below = children.join(level, "__run").select(F.col("__child").alias("__run"), "trace_id", (F.col("depth") + 1).alias("depth"), F.concat_ws(".", "path", "__key").alias("path"))
+        level = stored(below, "level")
+    placed = reduce(DataFrame.unionByName, levels) if levels else level
     return runs.join(placed.withColumnRenamed("__run", run), run)

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.numbering import numbered
+
 STATE = "namespace string, key string, group_id string, updated_at double"
 CLEANUPS = (None, "incremental", "full", "scoped_full")
 #: Fixed value: the namespace that name-based identifiers of hashes are made in
@@ -55,8 +57,8 @@ def document_hash(text: Column | str, metadata: Column | str, algorithm: str = "
 
 
 def batches(df: DataFrame, size: int, order: str) -> DataFrame:
-    """df with the number of each row's batch; numbering all rows in one order takes one task, so give it keys only."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("long"))
+    """df with the number of each row's batch."""
+    return numbered(df, [order], "batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
 
 
 def list_keys(state: DataFrame, namespace: str, *, before: float | None = None, after: float | None = None, group_ids: list[str] | None = None, limit: int | None = None) -> DataFrame:

@@ -103,16 +103,20 @@ def newest(df: DataFrame, most: int, order: str) -> DataFrame:
 def rate_limited(df: DataFrame, per_second: float, bucket: float, *, by: str, time: str) -> DataFrame:
     """df with allowed: a token bucket of a size, filled at a rate, for each key; requests in order of time (in seconds).
 
-    A key's times are folded in one column expression; contents don't enter it.
+    A key's times are folded in one pandas call; contents don't enter it.
     """
-    times = df.groupBy(by).agg(F.array_sort(F.collect_list(F.col(time).cast("double"))).alias("t"))
-    start = F.struct(F.lit(None).cast("double").alias("at"), F.lit(float(bucket)).alias("left"), F.array().cast("array<boolean>").alias("ok"))
 
-    def take(acc: Column, t: Column) -> Column:
-        have = F.least(F.lit(float(bucket)), acc["left"] + F.coalesce(t - acc["at"], F.lit(0.0)) * per_second)
-        fits = have >= 1
-        return F.struct(t.alias("at"), F.when(fits, have - 1).otherwise(have).alias("left"), F.concat(acc["ok"], F.array(fits)).alias("ok"))
-
-    placed = times.select(by, F.posexplode(F.aggregate("t", start, take, lambda a: a["ok"])).alias("__n", "allowed"))
+    def take(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("__t", kind="stable")
+        left, last, allowed = float(bucket), None, []
+        for t in group["__t"].tolist():
+            left = min(float(bucket), left + (0.0 if last is None else t - last) * per_second)
+            last = t
+            allowed.append(left >= 1)
+            left -= left >= 1
+        return pd.DataFrame({by: group[by], "__n": range(len(group)), "allowed": allowed})
+
+    times = df.select(by, F.col(time).cast("double").alias("__t"))
+    placed = times.groupBy(by).applyInPandas(take, f"`{by}` {dict(df.dtypes)[by]}, __n int, allowed boolean")
     numbered = df.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(F.col(time).cast("double"))) - 1)
     return numbered.join(placed, [by, "__n"]).drop("__n")

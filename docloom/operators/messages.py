@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,16 +129,23 @@ def call_numbers(df: DataFrame, limit: int, *, by: str, order: str) -> DataFrame
 def pack_consecutive(df: DataFrame, length: Column, most: int, *, by: str, order: str) -> DataFrame:
     """df with group_no from 0: consecutive rows share a group while their lengths sum to ``most`` at most; a longer row is an error.
 
-    The fold needs a group's rows in order; it is a Column fold over the group's lengths, not over its rows' contents.
+    The fold needs a group's rows in order; it gets their places and lengths, not their contents.
     """
-    lengths = df.select(by, F.struct(F.col(order).alias("o"), length.cast("long").alias("n")).alias("x")).groupBy(by).agg(F.array_sort(F.collect_list("x")).alias("x"))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("no"), F.array().cast(f"array<struct<o:{df.schema[order].dataType.simpleString()},no:int>>").alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        full = (acc["sum"] + x["n"] > most) & (acc["sum"] > 0)
-        no = F.when(full, acc["no"] + 1).otherwise(acc["no"])
-        total = F.when(x["n"] > most, F.raise_error(F.lit("a row is longer than a group may be")).cast("long")).when(full, x["n"]).otherwise(acc["sum"] + x["n"])
-        return F.struct(total.alias("sum"), no.alias("no"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), no.alias("no")))).alias("out"))
-
-    placed = lengths.select(by, F.explode(F.aggregate("x", start, add, lambda acc: acc["out"])).alias("g")).select(by, F.col("g.o").alias(order), F.col("g.no").alias("group_no"))
+    kinds = dict(df.dtypes)
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order)
+        total = no = 0
+        numbers = []
+        for n in group["__n"].tolist():
+            if n > most:
+                raise ValueError("a row is longer than a group may be")
+            total += n
+            if total > most:
+                total, no = n, no + 1
+            numbers.append(no)
+        return group[[by, order]].assign(group_no=numbers)
+
+    lengths = df.select(by, order, length.cast("long").alias("__n"))
+    placed = lengths.groupBy(by).applyInPandas(fold, f"`{by}` {kinds[by]}, `{order}` {kinds[order]}, group_no int")
     return df.join(placed, [by, order])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 from docloom.functions import vectors as V
 from docloom.operators import fusion, messages, search
+from docloom.session import stored
 
 Model = Callable[[Column], Column]
 
@@ -109,15 +110,17 @@ def answered(questions: DataFrame, hits: DataFrame, model: Model, *, by: str = "
     return questions.join(context, by, "left").withColumn("answer", model(X.template(template)))
 
 
-def reduced(df: DataFrame, model: Model, length: Callable[[Column], Column], most: int, *, by: str, order: str, text: str = "text", rounds: int = 10) -> DataFrame:
-    """Map-reduce: texts of each group are answered in consecutive packs of ``most`` until one is left."""
-    df = df.select(by, order, model(F.col(text)).alias(text))
-    for _ in range(rounds):
-        if not df.groupBy(by).count().where("count > 1").take(1):
-            break
+def reduced(df: DataFrame, model: Model, length: Callable[[Column], Column], most: int, *, by: str, order: str, text: str = "text") -> DataFrame:
+    """Map-reduce: texts of each group are answered in consecutive packs of ``most`` until one is left. Answers that get no fewer are an error."""
+    df = stored(df.select(by, order, model(F.col(text)).alias(text)), "mapped")
+    n = df.count()
+    while df.groupBy(by).count().where("count > 1").take(1):
         packed = messages.pack_consecutive(df, length(F.col(text)), most, by=by, order=order)
         parts = F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text])
-        df = packed.groupBy(by, "group_no").agg(F.array_join(parts, "\n").alias(text), F.min(order).alias(order)).select(by, order, model(F.col(text)).alias(text))
+        df = stored(packed.groupBy(by, "group_no").agg(F.array_join(parts, "\n").alias(text), F.min(order).alias(order)).select(by, order, model(F.col(text)).alias(text)), "reduced")
+        n, before = df.count(), n
+        if n == before:
+            raise ValueError("the answers are too long to be put together")
     return df
 
 

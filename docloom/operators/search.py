@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import vectors as V
 from docloom.functions.text import count_of
+from docloom.session import stored
 
 FEW = 10_000  # queries that are broadcast
 BYTES = 64_000_000  # and what their vectors may take
@@ -220,12 +221,12 @@ def tokens(text: str | Column) -> Column:
 def bm25(docs: DataFrame, terms: list[str], *, text: str = "text", row_id: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """row_id and score of the rows with any of the terms: Okapi BM25 with idf = ln(1 + (N - n + 0.5) / (n + 0.5)).
 
-    One pass gives each row's length and its counts of the terms (no shuffle of words); corpus figures are one row.
+    One pass over the texts gives each row's length and its counts of the terms, which are stored; corpus figures are one row.
     """
     words = docs.select(row_id, tokens(text).alias("w"))
     times = lambda t: F.size(F.filter("w", lambda x: x == t)).cast("double")
     counts = [times(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = words.select(row_id, F.size("w").cast("double").alias("len"), *counts)
+    rows = stored(words.select(row_id, F.size("w").cast("double").alias("len"), *counts), "counts")
     facts = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))))
     idf = lambda i: F.log(1.0 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
     part = lambda i: idf(i) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))

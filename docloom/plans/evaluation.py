@@ -72,9 +72,9 @@ def pivot_feedback(spark: SparkSession, d: str) -> DataFrame:
     return p.select("user_id", F.round("click", 4).alias("click"), F.round("view", 4).alias("view"))
 
 
-@query("""SELECT doc_id, regexp_matches(text, '(?i)\\byes\\b') AS yes, CASE WHEN regexp_matches(upper(text), 'THE') THEN 1 ELSE 0 END AS has FROM documents""".replace("\\\\", "\\"))
+@query("""SELECT doc_id, regexp_matches(text, '(?i)(^|[^\\pL\\pN_])yes([^\\pL\\pN_]|$)') AS yes, CASE WHEN regexp_matches(upper(text), 'THE') THEN 1 ELSE 0 END AS has FROM documents""".replace("\\\\", "\\"))
 def word_checks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.col("text").rlike(r"(?i)\byes\b").alias("yes"), F.upper("text").contains("THE").cast("int").alias("has"))
+    return table(spark, d, "documents").select("doc_id", X.has_word("text", "yes").alias("yes"), F.upper("text").contains("THE").cast("int").alias("has"))
 
 
 @query("""SELECT p_partkey, lower(regexp_replace(p_brand, '([A-Z])', '_\\1', 'g')) AS raw, CASE WHEN p_type LIKE '%BRASS' THEN 'metal' WHEN p_size > 25 THEN 'big' ELSE 'other' END AS branch FROM part""".replace("\\\\", "\\"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,6 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="docloom-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext._docloom_dir = found
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -47,9 +50,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _made(spark: SparkSession) -> list[str]:
+    return spark.sparkContext.__dict__.setdefault("_docloom_made", [])
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes the tables that ``stored`` has written so far; results that are still to be read from them must be done. Gives their number."""
+    made, conf = _made(spark), spark._jsc.hadoopConfiguration()
+    for path in made:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    n = len(made)
+    made.clear()
+    return n
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    _made(spark).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,13 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-LIMIT = 64_000_000  # bytes of XML of one part
 
 
 def _part(data: bytes, name: str) -> ET.Element | None:
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
-            if name not in z.namelist() or z.getinfo(name).file_size > LIMIT:
+            if name not in z.namelist():
                 return None
             raw = z.read(name)
             return None if b"<!DOCTYPE" in raw[:1000] else ET.fromstring(raw)

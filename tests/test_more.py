@@ -2,6 +2,7 @@
 
 import io
 import json
+import time
 import zipfile
 
 import pytest
@@ -95,3 +96,82 @@ def test_json_evaluators(spark):
     df = spark.createDataFrame([('{"a": [2, 1]}', '{"a": [1, 2]}'), ("x", "x"), (None, "{}")], "p string, r string")
     assert [r[0] for r in df.select(evaluate.json_equal("p", "r")).collect()] == [1, 0, 0]
     assert [r[0] for r in df.select(evaluate.parse_partial_json("p")).collect()] == ['{"a": [2, 1]}', None, None]
+
+
+def _old_partial(text):
+    """By definition: the longest beginning that is JSON once its strings and brackets are closed."""
+    body = text.strip()
+    for end in range(len(body), 0, -1):
+        stack, quoted, escaped = [], False, False
+        for c in body[:end]:
+            if quoted:
+                quoted, escaped = (escaped or c != '"'), c == "\\" and not escaped
+            elif c == '"':
+                quoted = True
+            elif c in "{[":
+                stack.append("}" if c == "{" else "]")
+            elif c in "}]" and (not stack or stack.pop() != c):
+                return None
+        try:
+            return json.loads(body[:end] + '"' * quoted + "".join(reversed(stack)), strict=False)
+        except ValueError:
+            continue
+
+
+def test_partial_json_by_definition_and_in_linear_time():
+    whole = json.dumps({"a": [1, 2.5e3, -7, True, None, {"k": "v\\n\u00e9\"q"}], "long": "x" * 40, "e": {}, "z": [[], [False, ""]]})
+    for text in (whole, whole.replace('"', '"', 1), '[1, 2.', '{"a": tru', '["\\u12', '{"a": 1,', "[1,,2", "]", "{]", "x", '"open', "12", "-"):
+        for n in range(1, len(text) + 1):
+            assert evaluate.partial_json(text[:n]) == _old_partial(text[:n]), text[:n]
+    big = json.dumps([{"key": i, "text": "word " * 20} for i in range(5000)])
+    began = time.time()
+    assert len(evaluate.partial_json(big[: len(big) // 2])) >= 2499 and time.time() - began < 2
+
+
+def test_reduced_goes_on_until_one_is_left_or_fails(spark):
+    texts = spark.createDataFrame([("g", i, "abcd") for i in range(300)], "k string, o int, text string")
+    cut = lambda p: F.substring(p, 1, 4)
+    assert [r["text"] for r in models.reduced(texts, cut, F.length, 8, by="k", order="o").collect()] == ["abcd"]
+    with pytest.raises(ValueError, match="too long"):
+        models.reduced(texts, cut, F.length, 7, by="k", order="o")
+
+
+def test_a_deep_run_tree(spark):
+    runs = spark.createDataFrame([(i, i - 1 if i else None, i) for i in range(40)] + [(100, 101, 1), (101, 100, 1)], "run_id long, parent_id long, start int")
+    got = {r["run_id"]: (r["trace_id"], r["depth"]) for r in graph.run_tree(runs).collect()}
+    assert got == {i: (0, i) for i in range(40)}
+
+
+def test_only_a_select_runs(spark):
+    from docloom.operators import algebra
+
+    spark.sql("CREATE OR REPLACE TEMPORARY VIEW v AS SELECT 1 AS a")
+    spark.sql("CREATE TABLE IF NOT EXISTS only_select (a INT) USING parquet")
+    try:
+        assert algebra.select_only(spark, "WITH s AS (SELECT a FROM v) SELECT a + 1 AS b FROM s WHERE a IN (SELECT a FROM v);").first()["b"] == 2
+        for bad in ("WITH s AS (SELECT 1 AS a) INSERT INTO only_select SELECT a FROM s", "SELECT 1; SELECT 2", "DROP TABLE only_select", "INSERT INTO only_select VALUES (1)", "WITH s AS (SELECT 1 AS a) FROM s INSERT INTO only_select SELECT a"):
+            with pytest.raises(ValueError):
+                algebra.select_only(spark, bad)
+        assert spark.table("only_select").count() == 0
+    finally:
+        spark.sql("DROP TABLE only_select")
+
+
+def test_numbers_of_all_rows(spark):
+    from docloom.operators import fusion
+    from docloom.operators.numbering import numbered
+
+    df = spark.range(1000).select((999 - F.col("id")).alias("k"), F.lit("x").alias("v")).repartition(7)
+    assert all(r["n"] == r["k"] for r in numbered(df, ["k"], "n").collect())
+    lists = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "b")], "list_id int, rank int, key string")
+    assert [(r["key"], r["position"]) for r in fusion.reciprocal_rank_fusion(lists).orderBy("position").collect()] == [("b", 1), ("a", 2)]
+
+
+def test_sweep_deletes_what_is_stored(spark):
+    from docloom import session
+
+    session.sweep(spark)
+    df = session.stored(spark.range(3), "x")
+    assert df.count() == 3 and session.sweep(spark) == 1
+    with pytest.raises(Exception, match="(?i)not.*exist|FILE_NOT_EXIST"):
+        session.stored(spark.range(3), "y").unionByName(df).count()

@@ -43,7 +43,7 @@ def test_character_and_recursive():
         assert all(0 < len(c) <= 12 for c in chunks)
 
 
-@pytest.mark.parametrize("language", [*split.KEYWORDS, *split.MARKUP])
+@pytest.mark.parametrize("language", [*split.LANGUAGES, *split.MARKUP])
 def test_every_language_splits(language):
     seps = split.separators(language)
     assert seps[-4:] == split.PLAIN and len(set(seps)) == len(seps)
