@@ -252,3 +252,38 @@ def greedy_pairs(scored: DataFrame, by: str, threshold: float, *, left_id: str,
         return pd.DataFrame(out, columns=[by, left_id, right_id, "score"])
 
     return scored.groupBy(by).applyInPandas(pair, f"{by} {kinds[by]}, {left_id} {kinds[left_id]}, {right_id} {kinds[right_id]}, score double")
+
+
+def quote_spans(quote: str, context: str, most: int = 100) -> list[tuple[int, int]]:
+    """(start, end) of the places where a quote stands in a text with the fewest edits, ``most`` at most; without overlaps, from the left.
+
+    One row of edit distances slides over the text; a place may begin anywhere, so a row also carries where its match began.
+    """
+    if not quote or not context:
+        return []
+    row = [(j, 0) for j in range(len(quote) + 1)]  # (edits, start of the match) of the quote's beginnings
+    best, ends = min(most, len(quote) - 1) + 1, []
+    for i, c in enumerate(context, 1):
+        above, row = row, [(0, i)]
+        for j, q in enumerate(quote, 1):
+            change = (above[j - 1][0] + (q != c), above[j - 1][1])
+            row.append(min(change, (above[j][0] + 1, above[j][1]), (row[j - 1][0] + 1, row[j - 1][1]), key=lambda x: (x[0], -x[1])))
+        if row[-1][0] < best:
+            best, ends = row[-1][0], []
+        if row[-1][0] == best:
+            ends.append((row[-1][1], i))
+    out: list[tuple[int, int]] = []
+    for start, end in ends:
+        if not out or start >= out[-1][1]:
+            out.append((start, end))
+    return out if best <= most else []
+
+
+def quoted_at(quote: Column | str, context: Column | str, most: int = 100) -> Column:
+    """quote_spans as a column of arrays of struct<start, end>."""
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def spans(q: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "end": b} for a, b in quote_spans(x or "", y or "", most)] for x, y in zip(q, c, strict=True)], dtype=object)
+
+    return spans(quote, context)

@@ -65,3 +65,11 @@ def run_tree(runs: DataFrame, *, run: str = "run_id", parent: str = "parent_id",
         level = stored(below, "level")
     placed = reduce(DataFrame.unionByName, levels) if levels else level
     return runs.join(placed.withColumnRenamed("__run", run), run)
+
+
+def trimmed(nodes: DataFrame, edges: DataFrame, which: str) -> tuple[DataFrame, DataFrame]:
+    """The graph without its one first (or last) node, if just one edge is at it; else the graph as it is."""
+    near, far = ("source", "target") if which == "first" else ("target", "source")
+    end = single_end(edges, which).select(F.col("node").alias(near))
+    once = edges.join(end, near, "left_semi").groupBy(near).agg(F.count(far).alias("__n")).where("__n = 1").select(F.col(near).alias("id"))
+    return without_nodes(nodes, edges, once)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,3 +182,42 @@ def write_report(df: DataFrame, path: str, title: str) -> None:
     row = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)), F.lit(" |"))
     body = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(head)], "n int, value string").unionByName(df.select(F.lit(len(head)).alias("n"), row.alias("value")))
     body.coalesce(1).sortWithinPartitions("n", "value").select("value").write.mode("overwrite").text(f"{path}/markdown")
+
+
+class EncodedStore:
+    """A keyed store of other values: keys and values are columns' encodings (keys to strings, values to JSON bytes and back)."""
+
+    def __init__(self, store: KeyedStore, schema: str, encode: Callable[[Column], Column] | None = None):
+        self.store, self.schema, self.encode = store, schema, encode or (lambda k: F.sha2(k.cast("string"), 256))
+
+    def set(self, rows: DataFrame, key: str, values: list[str]) -> EncodedStore:
+        coded = rows.select(self.encode(F.col(key)).alias("key"), F.encode(F.to_json(F.struct(*values)), "UTF-8").alias("value"))
+        return EncodedStore(self.store.set(coded), self.schema, self.encode)
+
+    def get(self, keys: DataFrame, key: str) -> DataFrame:
+        """A row for each requested key, with the value's columns; nulls for missing ones."""
+        found = keys.withColumn("__key", self.encode(F.col(key))).join(self.store.rows(), F.col("__key") == F.col("key"), "left")
+        return found.select(*keys.columns, F.from_json(F.decode("value", "UTF-8"), self.schema).alias("__v")).select(*keys.columns, "__v.*")
+
+    def delete(self, keys: DataFrame, key: str) -> EncodedStore:
+        return EncodedStore(self.store.delete(keys.select(self.encode(F.col(key)).alias("key"))), self.schema, self.encode)
+
+
+def dump_vectors(table: DataFrame, path: str) -> None:
+    """A vector table as JSON rows."""
+    table.write.mode("errorifexists").json(path)
+
+
+def load_vectors(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def forked(table: DataFrame, path: str) -> DataFrame:
+    """A copy of a table under another name: later changes of either don't show in the other."""
+    table.write.mode("errorifexists").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def stringified(content: Column, kind: str) -> Column:
+    """Scanned content as text: strings as they are, anything else as JSON."""
+    return content if kind == "string" else F.to_json(content) if kind.startswith(("struct", "map", "array")) else content.cast("string")
