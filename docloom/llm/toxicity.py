@@ -1,10 +1,12 @@
 """Toxicity: a learned lexicon in a trie, intersected with Levenshtein automata, and scores of each hit's context.
 
 ``learn`` takes at most ``SAMPLE`` labelled rows (those with the smallest hash of their id; a fixed number however large the
-table) and derives the lexicon from word and stem counts in them: entries far commoner in toxic texts than in others. A
-stem entry matches any word that begins with it. A word of a text is looked up by running the Levenshtein automaton of
+table) and derives the lexicon from word and stem counts in them: entries commoner in toxic texts than chance allows (by a
+likelihood-ratio test), the most telling of nested ones. A stem entry matches any word that begins with it. An entry's
+weight is the logarithm of its odds, so a word that is never innocent counts more than a stem that often is. A word of a text is looked up by running the Levenshtein automaton of
 the word over the trie, which finds entries of ``FROM`` letters or more at distance ``DISTANCE`` at most; it is run for words that
-share half of an entry only, as a single edit leaves the other half whole.
+share half of an entry only, as a single edit leaves the other half whole. Words that the sample's other texts have as their
+own are no misspellings: those near an entry are kept as exceptions.
 
 A hit's weight depends on its context window: inside quotation marks, or next to words of reporting, it counts less;
 next to other hits it counts more. A logistic model over a text's summed weights gives the score.
@@ -18,6 +20,7 @@ both classes every score is 0; null labels are ignored; if an id has several lab
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +34,9 @@ from docloom.session import stored
 SAMPLE = 20_000
 LEXICON = 2000
 LEAST = 4  # toxic texts of the sample that an entry must occur in
-ODDS = 3.5  # and the logarithm of how much commoner it must be there: with LEAST, beyond chance at one in 1000 (likelihood ratio 12.3)
-STEM = (4, 5, 6)
+ODDS = 2.0  # the logarithm of how much commoner it must be there
+CHANCE = 12.3  # and its likelihood ratio (G): beyond chance at one in 2000; four toxic texts of one in nine and no other have 17
+STEM = (3, 4, 5, 6, 7, 8)
 DISTANCE, FROM = 1, 5
 WINDOW = 8
 CACHE = 200_000
@@ -73,15 +77,16 @@ class Levenshtein:
 
 
 class Lexicon:
-    """A trie of entries; a stem entry matches words that begin with it."""
+    """A trie of entries with weights; a stem entry matches words that begin with it. Exceptions match nothing but themselves as entries."""
 
-    def __init__(self, words: list[str], stems: list[str]):
+    def __init__(self, words: list[str], stems: list[str], weights: dict[str, float] | None = None, exceptions: frozenset[str] = frozenset()):
         self.trie: dict = {}
+        self.exceptions, weights = exceptions, weights or {}
         for entry, stem in [*((w, False) for w in words), *((s, True) for s in stems)]:
             node = self.trie
             for c in entry:
                 node = node.setdefault(c, {})
-            node[""] = node.get("", False) or stem
+            node[""] = (node[""][0] or stem if "" in node else stem, weights.get(entry, 1.0))
         # an edit leaves one half of an entry whole: the first at its place, the second at most one place off
         self.heads: dict[int, dict[str, list[tuple[int, bool]]]] = {}
         self.tails: dict[tuple[int, int], dict[str, list[tuple[int, bool]]]] = {}
@@ -102,34 +107,37 @@ class Lexicon:
                 return True
         return False
 
-    def exact(self, word: str) -> bool:
-        node = self.trie
+    def exact(self, word: str) -> float:
+        """The weight of the entry that the word is, or of the longest stem it begins with; 0 without one."""
+        node, found = self.trie, 0.0
         for c in word:
-            if node.get(""):
-                return True
+            if "" in node and node[""][0]:
+                found = node[""][1]
             node = node.get(c)
             if node is None:
-                return False
-        return "" in node
+                return found
+        return node[""][1] if "" in node else found
 
-    def near(self, word: str) -> bool:
-        """Whether an entry of FROM letters or more is within DISTANCE of the word (of its beginning, for a stem)."""
-        if len(word) < FROM - DISTANCE or not self._may(word):
-            return False
+    def near(self, word: str) -> float:
+        """The largest weight of entries of FROM letters or more within DISTANCE of the word (of its beginning, for a stem)."""
+        if len(word) < FROM - DISTANCE or word in self.exceptions or not self._may(word):
+            return 0.0
         automaton = Levenshtein(word, DISTANCE)
-        stack = [(self.trie, automaton.start(), 0)]
+        stack, found = [(self.trie, automaton.start(), 0)], 0.0
         while stack:
             node, state, depth = stack.pop()
-            if "" in node and depth >= FROM and (automaton.accepts(state) is not None or node[""] and automaton.nearest(state) is not None):
-                return True
+            if "" in node and depth >= FROM and (automaton.accepts(state) is not None or node[""][0] and automaton.nearest(state) is not None):
+                found = max(found, node[""][1])
             for c, below in node.items():
                 if c and (then := automaton.step(state, c)):
                     stack.append((below, then, depth + 1))
-        return False
+        return found
 
-    def __call__(self, word: str) -> int:
-        """2 exact, 1 misspelled, 0 no entry."""
-        return 2 if self.exact(word) else 1 if self.near(word) else 0
+    def __call__(self, word: str) -> tuple[int, float]:
+        """(2 exact, 1 misspelled, 0 no entry; weight)."""
+        if weight := self.exact(word):
+            return 2, weight
+        return (1, weight) if (weight := self.near(word)) else (0, 0.0)
 
 
 class Matcher(dict):
@@ -137,42 +145,68 @@ class Matcher(dict):
         super().__init__()
         self.lexicon = lexicon
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> tuple[int, float]:
         if len(self) >= CACHE:
             self.clear()
         self[word] = found = self.lexicon(word)
         return found
 
 
-FEATURES = 5
+FEATURES = 6
 NEAR = 0.7  # of a misspelled hit against an exact one; labelled texts correct it where there are any with misspellings
+QUOTE = 400  # letters that a quotation may have
+
+
+def quotations(text: str) -> tuple[list[int], list[int]]:
+    """(starts, ends) of stretches between a mark and the next one, within a paragraph and ``QUOTE`` letters; a stray mark opens nothing."""
+    starts, ends, opened = [], [], None
+    for m in QUOTES.finditer(text):
+        at = m.start()
+        if opened is not None and at - opened <= QUOTE and "\n\n" not in text[opened:at]:
+            starts.append(opened)
+            ends.append(at)
+            opened = None
+        else:
+            opened = at
+    return starts, ends
 
 
 def features(text: str | None, match: Matcher) -> list[float]:
-    """Summed context weights of all hits, whether there are any, the part of misspelled and of quoted ones, and the most company that a hit has."""
+    """Summed context weights of all hits, as they are and by the text's length, whether there are any, the part of misspelled and of quoted ones, and the most company that a hit has."""
     low = (text or "").lower()
     words = WORD.findall(low)
-    found = [(i, m) for i, m in enumerate(map(match.__getitem__, words)) if m]
+    found = [(i, m, w) for i, (m, w) in enumerate(map(match.__getitem__, words)) if m]
     if not found:
         return [0.0] * FEATURES
-    places = [m.span() for m in WORD.finditer(low)]
-    marks = [m.start() for m in QUOTES.finditer(low)]
+    wanted = iter([i for i, _, _ in found])
+    places, next_ = [], next(wanted)
+    for i, m in enumerate(WORD.finditer(low)):
+        if i == next_:
+            places.append(m.start())
+            next_ = next(wanted, -1)
+    starts, ends = quotations(low)
     total = near = quoted = most = 0.0
-    for n, (i, m) in enumerate(found):
-        inside = int(np.searchsorted(marks, places[i][0])) % 2 == 1 if marks else False
-        told = any(w in REPORTING for w in words[max(0, i - WINDOW) : i + WINDOW + 1])
-        company = sum(abs(j - i) <= WINDOW for j, _ in found[max(0, n - WINDOW) : n + WINDOW + 1]) - 1
-        weight = (0.4 if inside or told else 1.0) * (NEAR if m == 1 else 1.0) * (1 + 0.25 * company)
+    for n, (i, m, w) in enumerate(found):
+        at = bisect_right(starts, places[n]) - 1
+        inside = at >= 0 and places[n] < ends[at]
+        told = any(x in REPORTING for x in words[max(0, i - WINDOW) : i + WINDOW + 1])
+        company = sum(abs(j - i) <= WINDOW for j, _, _ in found[max(0, n - WINDOW) : n + WINDOW + 1]) - 1
+        weight = w * (0.4 if inside or told else 1.0) * (NEAR if m == 1 else 1.0) * (1 + 0.25 * company)
         total, near, quoted, most = total + weight, near + weight * (m == 1), quoted + (inside or told), max(most, company)
-    return [float(np.log1p(total)), 1.0, float(np.log1p(near)), float(np.log1p(quoted)), float(np.log1p(most))]
+    return [float(np.log1p(total)), float(np.log1p(100 * total / len(words))), 1.0, float(np.log1p(near)), float(np.log1p(quoted)), float(np.log1p(most))]
 
 
 @dataclass
 class Model:
     words: list[str]
     stems: list[str]
+    entries: dict[str, float]  # their weights
+    exceptions: frozenset[str]
     weights: np.ndarray  # of the features, then the constant; None: no model
 
+    def matcher(self) -> Matcher:
+        return Matcher(Lexicon(self.words, self.stems, self.entries, self.exceptions))
+
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
@@ -222,24 +256,42 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     if not size.get(0) or not size.get(1):
         return None
     odds = F.log((F.col("toxic") + 0.5) / (size[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (size[0] + 1.0))
-    best = _counts(rows).where((F.col("toxic") >= LEAST) & (odds >= ODDS)).withColumn("odds", odds)
-    found = best.collect()
-    stems: list[str] = []
-    words = {r["entry"] for r in found if not r["stem"]}
-    for s in sorted((r["entry"] for r in found if r["stem"]), key=lambda s: (len(s), s)):
-        covered = [w for w in words if w.startswith(s)]
-        # a stem stands for several words; one that a single word makes up is left to the word
-        if not any(s.startswith(x) for x in stems) and len(covered) != 1:
-            stems.append(s)
-    # the limit counts terms: their words and longer stems are folded by now
-    odds_of = {(r["entry"], r["stem"]): r["odds"] for r in found}
-    terms = [*((w, False) for w in words if not any(w.startswith(s) for s in stems)), *((s, True) for s in stems)]
-    terms = sorted(terms, key=lambda t: (-odds_of[t], t))[:LEXICON]
-    words, stems = sorted(w for w, stem in terms if not stem), sorted(s for s, stem in terms if stem)
-    shared = docs.sparkSession.sparkContext.broadcast((words, stems))
+    t, c = F.col("toxic").cast("double"), F.col("clean").cast("double")
+    share = lambda n, of: F.when(n > 0, n * F.log(n / of)).otherwise(0.0)
+    all_, n1, n0 = size[0] + size[1], float(size[1]), float(size[0])
+    has, without = t + c, F.lit(float(all_)) - t - c
+    ratio = 2 * (share(t, has * n1 / all_) + share(c, has * n0 / all_) + share(n1 - t, without * n1 / all_) + share(n0 - c, without * n0 / all_))
+    counts = stored(_counts(rows).withColumn("odds", odds), "entries")
+    found = counts.where((F.col("toxic") >= LEAST) & (F.col("odds") >= ODDS) & (ratio >= CHANCE)).collect()
+    chosen: dict[tuple[str, bool], float] = {}
+    taken: set[str] = set()  # chosen stems, and all beginnings of chosen entries: of nested entries the most telling one stays
+    begun: set[str] = set()
+    for r in sorted(found, key=lambda r: (-r["toxic"] * r["odds"], r["stem"], r["entry"])):
+        entry = r["entry"]
+        if any(entry[:n] in taken for n in range(1, len(entry) + 1)) or (r["stem"] and entry in begun):
+            continue
+        chosen[entry, r["stem"]] = r["odds"]
+        begun.update(entry[:n] for n in range(1, len(entry) + 1))
+        if r["stem"]:
+            taken.add(entry)
+        if len(chosen) == LEXICON:
+            break
+    words, stems = sorted(w for w, stem in chosen if not stem), sorted(w for w, stem in chosen if stem)
+    entries = {w: o for (w, _), o in chosen.items()}
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((words, stems, entries))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(*shared.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if not lexicon.exact(w) and lexicon.near(w)], pa.string())], ["entry"])
+
+    innocent = counts.where((F.col("clean") >= LEAST) & (F.col("odds") < ODDS) & ~F.col("stem")).select("entry").mapInArrow(own, "entry string")
+    exceptions = frozenset(r["entry"] for r in innocent.collect())  # words of the sample that are one edit from an entry
+    shared_model = spark.sparkContext.broadcast(Model(words, stems, entries, exceptions, np.zeros(FEATURES + 1)))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = Matcher(Lexicon(*shared.value))
+        match = shared_model.value.matcher()
         for batch in batches:
             x = [features(t, match) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
@@ -247,7 +299,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     got = rows.mapInArrow(vectors, "x array<double>, label int").groupBy("x", F.when(F.col("label") != 0, 1).otherwise(0).alias("y")).agg(F.count("*").alias("n")).orderBy("x", "y").collect()
     x = np.repeat(np.array([r["x"] for r in got]), [r["n"] for r in got], axis=0)
     y = np.repeat(np.array([r["y"] for r in got], float), [r["n"] for r in got])
-    return Model(words, stems, regression(x, y))
+    return Model(words, stems, entries, exceptions, regression(x, y))
 
 
 def score(docs: DataFrame, model: Model | None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,7 +309,7 @@ def score(docs: DataFrame, model: Model | None, *, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        match = Matcher(Lexicon(model.words, model.stems)) if model else None
+        match = model.matcher() if model else None
         for batch in batches:
             texts = batch.column(1)
             x = np.array([features(t.as_py(), match) for t in texts]).reshape(-1, FEATURES) if model else None
