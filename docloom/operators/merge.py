@@ -100,8 +100,8 @@ def newest(df: DataFrame, most: int, order: str) -> DataFrame:
     return df.orderBy(F.desc(order)).limit(most)
 
 
-def rate_limited(df: DataFrame, per_second: float, bucket: float, *, by: str, time: str) -> DataFrame:
-    """df with allowed: a token bucket of a size, filled at a rate, for each key; requests in order of time (in seconds).
+def rate_limited(df: DataFrame, per_second: float, bucket: float, *, by: str, time: str, order: str | None = None) -> DataFrame:
+    """df with allowed: a token bucket of a size, filled at a rate, for each key; requests in order of time (in seconds), then of ``order``.
 
     A key's times are folded in one pandas call; contents don't enter it.
     """
@@ -118,5 +118,6 @@ def rate_limited(df: DataFrame, per_second: float, bucket: float, *, by: str, ti
 
     times = df.select(by, F.col(time).cast("double").alias("__t"))
     placed = times.groupBy(by).applyInPandas(take, f"`{by}` {dict(df.dtypes)[by]}, __n int, allowed boolean")
-    numbered = df.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(F.col(time).cast("double"))) - 1)
+    first = [F.col(time).cast("double"), *([F.col(order)] if order else [])]
+    numbered = df.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(*first)) - 1)
     return numbered.join(placed, [by, "__n"]).drop("__n")

@@ -142,7 +142,20 @@ def pii_cards(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.explode(personal.matches("text", "credit_card")).alias("card"))
 
 
-@query()
+def _replaced(text: str, pattern: str, new: str) -> str:
+    """SQL for a text with each match m[i] of a pattern replaced."""
+    pieces, found = f"string_split_regex({text}, '{pattern}')", f"regexp_extract_all({text}, '{pattern}', 0)"
+    return f"(SELECT array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i > len(m) THEN '' ELSE {new} END), '') FROM (SELECT {pieces} AS p, {found} AS m))"
+
+
+_HASH = "'<{0}_hash:' || substr(sha256(m[i]), 1, 8) || '>'"
+_LUHN = "list_sum(list_transform(range(0, 16), lambda j: CASE WHEN j % 2 = 0 THEN (2 * regexp_replace(m[i], '[^0-9]', '', 'g')[j + 1]::INT) // 10 + (2 * regexp_replace(m[i], '[^0-9]', '', 'g')[j + 1]::INT) % 10 ELSE regexp_replace(m[i], '[^0-9]', '', 'g')[j + 1]::INT END)) % 10 = 0"
+_MARK = "CASE WHEN contains(m[i], '-') THEN '-' WHEN contains(m[i], ' ') THEN ' ' ELSE '' END"
+
+
+@query(f"""WITH a AS (SELECT doc_id, {_replaced("coalesce(text, '')", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", _HASH.format("email"))} AS t FROM documents),
+b AS (SELECT doc_id, {_replaced("t", r"\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\b", _HASH.format("ip"))} AS t FROM a)
+SELECT doc_id, {_replaced("t", r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", f"CASE WHEN {_LUHN} THEN '****' || {_MARK} || '****' || {_MARK} || '****' || {_MARK} || right(regexp_replace(m[i], '[^0-9]', '', 'g'), 4) ELSE m[i] END")} AS text FROM b""")
 def pii_hash(spark: SparkSession, d: str) -> DataFrame:
     return personal.rules(_docs(spark, d).select("doc_id", "text"), "text", {"email": "hash", "ip": "hash", "credit_card": "mask"})
 

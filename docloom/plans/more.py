@@ -81,10 +81,13 @@ def folded_json(spark: SparkSession, d: str) -> DataFrame:
     return merge.folded_json(table(spark, d, "events"), "user_id", "event_id", "props")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT event_id, user_id, floor(epoch(ts))::DOUBLE AS sec, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
+f AS (SELECT event_id, user_id, sec, n, 1e0 AS rest, true AS allowed FROM r WHERE n = 1 UNION ALL
+SELECT r.event_id, r.user_id, r.sec, r.n, h.have - CASE WHEN h.have >= 1 THEN 1 ELSE 0 END, h.have >= 1 FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1, LATERAL (SELECT least(2e0, f.rest + (r.sec - f.sec) * (1 / 3600e0)) AS have) h)
+SELECT event_id, allowed FROM f""")
 def rate_limit(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double"))
-    return merge.rate_limited(e.select("event_id", "user_id", "at"), 1 / 3600, 2, by="user_id", time="at").select("event_id", "allowed")
+    return merge.rate_limited(e.select("event_id", "user_id", "at"), 1 / 3600, 2, by="user_id", time="at", order="event_id").select("event_id", "allowed")
 
 
 @query()

@@ -1,5 +1,6 @@
 """Queries that SQL can't express, or is too slow for, over whole tables on sf0.01, against brute force."""
 
+import html
 import json
 import math
 import re
@@ -110,3 +111,88 @@ def test_nearest_route(spark):
     assert {r["id"]: r["route_id"] for r in models.nearest_route(df, routes).collect()} == {1: "b", 2: "a", 3: "a"}
     with pytest.raises(Exception, match="widths differ"):
         models.nearest_route(df, spark.createDataFrame([("c", [1.0])], routes.schema)).collect()
+
+
+def greedy(vectors, q, k, fetch, weight):
+    """Maximal marginal relevance among the nearest rows, by its definition."""
+    unit = lambda x: x / np.linalg.norm(x)
+    near = sorted(vectors, key=lambda i: (-round(float(unit(vectors[i]) @ unit(q)), 12), i))[:fetch]
+    taken = []
+    while len(taken) < k:
+        def value(i):
+            s = float(unit(vectors[i]) @ unit(q))
+            return s if not taken else weight * s - (1 - weight) * max(float(unit(vectors[i]) @ unit(vectors[j])) for j in taken)
+        taken.append(max((i for i in near if i not in taken), key=lambda i: (round(value(i), 11), -i)))
+    return taken
+
+
+@pytest.mark.parametrize("name, place, k, fetch, weight", [("mmr_topk", "position", 4, 20, 0.5), ("retriever_mmr", "rank", 3, 12, 0.3)])
+def test_mmr_by_brute_force(spark, name, place, k, fetch, weight):
+    e = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    got = {}
+    for r in QUERIES[name](spark, SF).collect():
+        got.setdefault(r["query_id"], {})[r[place]] = r["vec_id"]
+    assert {q: [v[i] for i in sorted(v)] for q, v in got.items()} == {q: greedy(e, e[q], k, fetch, weight) for q in e if q % 20 == 0}
+
+
+def test_cluster_representatives_are_nearest(spark):
+    e = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    got = models.cluster_representatives(spark.read.parquet(f"{SF}/embeddings.parquet"), 5, row_id="vec_id").collect()
+    assert len({r["cluster"] for r in got}) == len(got) == 5 and len({r["vec_id"] for r in got}) == 5
+    assert {r["cluster"] for r in QUERIES["cluster_representatives"](spark, SF).collect()} == set(range(5))
+    near = {i: min(got, key=lambda r: np.linalg.norm(e[i] - e[r["vec_id"]]))["cluster"] for i in e}
+    assert set(near.values()) == set(range(5))
+
+
+def test_json_split_by_brute_force(spark):
+    """Each chunk is JSON; together a row's chunks hold just its leaves."""
+    leaves = lambda v, p=(): [x for k, y in v.items() for x in leaves(y, (*p, k))] if isinstance(v, dict) and v else [(*p, json.dumps(v))]
+    events = {r["event_id"]: json.loads(r["props"]) for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id", "props").collect() if r["props"]}
+    got = {}
+    for r in QUERIES["json_split"](spark, SF).collect():
+        got.setdefault(r["event_id"], []).append(json.loads(r["chunk"]))
+    assert {i: sorted(x for c in got[i] for x in leaves(c)) for i in got} == {i: sorted(leaves(v)) for i, v in events.items() if v}
+
+
+def test_links_and_pages_by_brute_force(spark):
+    from urllib.parse import urldefrag, urljoin
+
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {}
+    for r in QUERIES["absolute_links"](spark, SF).collect():
+        got.setdefault(r["page_id"], set()).add(r["link"])
+    for i, links in got.items():
+        hrefs = {urldefrag(urljoin(pages[i]["url"], h))[0] for h in re.findall("href=[\"']([^\"']*)", pages[i]["html"])}
+        assert links <= hrefs, i
+    for r in QUERIES["page_markdown"](spark, SF).collect():
+        words = re.sub(r"<!--.*?-->|<(script|style|noscript|title).*?</\1>", " ", pages[r["page_id"]]["html"] or "", flags=re.S)
+        words = re.findall(r"\w{4,}", re.sub("<[^>]*>", " ", words))
+        assert not words or sum(w in r["text"] for w in words) >= 0.9 * len(words)
+
+
+@pytest.mark.parametrize("name, size", [("recursive_split", 1000), ("character_split", 500), ("sentence_split", 400)])
+def test_splits_keep_the_text(spark, name, size):
+    """Chunks in order lie one after the other in the text, with nothing but white space lost between them, and hold to the size where the text can be cut."""
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = {}
+    for r in QUERIES[name](spark, SF).collect():
+        got.setdefault(r["doc_id"], []).append((r["chunk_no"], r["text"] if "text" in r else r["chunk"]))
+    squeeze = lambda t: "".join(t.split())
+    for i, text in docs.items():
+        whole, upto = squeeze(text), 0
+        for _, chunk in sorted(got.get(i, [])):
+            body = squeeze(chunk)
+            at = whole.rfind(body, 0, upto + len(body))
+            assert 0 <= at <= upto, (i, chunk[:50])
+            upto = max(upto, at + len(body))
+            assert len(chunk) <= size or "\n" not in chunk.strip() or name == "sentence_split"
+        assert upto == len(whole), i
+
+
+def test_sections_of_pages_hold_their_text(spark):
+    rows = QUERIES["html_header_split"](spark, SF).collect()
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert rows and all(set(r["metadata"]) <= {"h1", "h2", "h3"} for r in rows)
+    for r in rows:
+        plain = re.sub("<[^>]*>", "", re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", pages[r["page_id"]], flags=re.S))
+        assert "".join(r["content"].split()) in "".join(html.unescape(plain).split()), r["page_id"]
