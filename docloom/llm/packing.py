@@ -193,7 +193,7 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary
             rows.extend(_rows(packer.settle(), mine, with_ids, True))
             yield batch(rows, key_type)
 
-    done = stored(docs.select(F.col(key), F.col(text)).mapInArrow(first, schema), "packed")
+    done = stored(docs.select(F.col(key), F.col(text)).mapInArrow(first, schema), "packed", "zstd")  # ids are half zeros
     rests = done.where("sequence_id IS NULL")
     total = rests.agg(F.sum("length").alias("n")).first()["n"] or 0
     # dealt and ordered by what a rest is, so that a repeated task meets the same rests in the same order
