@@ -19,6 +19,7 @@ from docloom.session import stored, table
 
 ROW = "__row"
 GROUPS = ("lang", "source")
+FEW = 500_000  # row names that are broadcast: some 20 MB
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -27,8 +28,13 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW, F.xxhash64(*given, *(F.col(c).isNull() for c in given)))
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Names of rows (stored), broadcast while they are few; a shuffle join takes any number."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    return _named(docs).join(rows, ROW, "left_anti").select(docs.columns)
+    return _named(docs).join(_few(rows), ROW, "left_anti").select(docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +54,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = found.join(named.select(ROW, "doc_id").distinct(), ROW)
     first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("x"))
     kept = stored(first.select(F.col(f"x.{ROW}").alias(ROW)), "first")
-    out = named.join(stored(found.join(kept, ROW, "left_anti").select(ROW), "duplicates"), ROW, "left_anti")
+    out = named.join(_few(stored(found.join(kept, ROW, "left_anti").select(ROW), "duplicates")), ROW, "left_anti")
     repeated = stored(found.join(kept, ROW, "left_semi").where("copies > 1").select(ROW), "repeated")
     if repeated.take(1):
+        repeated = _few(repeated)
         out = out.join(repeated, ROW, "left_anti").unionByName(out.join(repeated, ROW, "left_semi").dropDuplicates([ROW]))
     return out.select(docs.columns)
 

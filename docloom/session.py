@@ -65,10 +65,10 @@ def sweep(spark: SparkSession) -> int:
     return n
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     _made(spark).append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
