@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +86,75 @@ def status(text: Column | str) -> Column:
     t = F.col(text) if isinstance(text, str) else text
     has = lambda *ms: t.rlike("|".join(ms))
     return F.when(has("部分采纳", "部分接受", "partial"), "partial").when(has("不采纳", "未采纳", "拒绝", "reject"), "reject").when(has("采纳", "接受", "accept"), "accept").otherwise("other")
+
+
+def _risk_items(text: str | None) -> list[dict[str, str]]:
+    """The risks a model's answer holds: the list "risks" of the last JSON object that has one; of broken JSON, what its lines say field by field."""
+    body = (text or "").rsplit("</think>", 1)[-1].strip()
+    decode = json.JSONDecoder().raw_decode
+    at = len(body)
+    while (at := body.rfind("{", 0, at)) >= 0:
+        try:
+            value = decode(body, at)[0]
+        except ValueError:
+            continue
+        if isinstance(value, dict) and isinstance(value.get("risks"), list):
+            return [{f: str(x.get(f) or "").strip() for f in FIELDS} for x in value["risks"] if isinstance(x, dict)]
+    items: list[dict[str, str]] = [{}]
+    line = re.compile(rf'"({"|".join(FIELDS)})":\s*(?:"(.*)"|"?(.*?)),?\s*$')
+    for raw in (text or "")[max(0, (text or "").rfind('"risks"')) :].splitlines() if '"risks"' in (text or "") else ():
+        if raw.strip() in ("{", "}", "},"):
+            items.append({})
+        elif m := line.match(raw.strip()):
+            items[-1][m[1]] = (m[2] if m[2] is not None else m[3]).strip()
+    return [{f: x.get(f, "") for f in FIELDS} for x in items if any(x.values())]
+
+
+def risks_in(answer: Column | str) -> Column:
+    """The risks in a model's answer: an array of structs of the four fields."""
+
+    @F.pandas_udf("array<struct<title:string,clause_text:string,explanation:string,suggestion:string>>")
+    def items(x: pd.Series) -> pd.Series:
+        return pd.Series([_risk_items(t) for t in x], dtype=object)
+
+    return items(answer)
+
+
+def dataset(texts: DataFrame, labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Contracts in the shape of ``SCHEMA``: texts (contract_id, full_contract_text), labels and found (with participant) risks as rows."""
+    names = [f.split(":")[0] for f in RISK.split(",")]
+    row = F.struct(*(F.col(n).cast("string").alias(n) for n in names))
+    gold = labels.groupBy("contract_id").agg(F.array_sort(F.collect_list(row)).alias("labels"))
+    each = found.groupBy("contract_id", "participant").agg(F.array_sort(F.collect_list(row)).alias("rs"))
+    people = each.groupBy("contract_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("participant", "rs")))).alias("participants"))
+    none = f"array<struct<{RISK}>>"
+    joined = texts.join(gold, "contract_id", "left").join(people, "contract_id", "left")
+    return joined.select("contract_id", "full_contract_text", F.coalesce("labels", F.array().cast(none)).alias("labels"), F.coalesce("participants", F.create_map().cast(f"map<string,{none}>")).alias("participants"))
+
+
+def chosen_file(files: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """The first file of each contract and participant by priority."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return files.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def comment_notes(comments: DataFrame, *, by: str = "contract_id", anchor: str = "anchor", text: str = "text", order: str = "comment_id") -> DataFrame:
+    """by, number and note: comments whose anchor begins with a risk's number, joined by " | " in order."""
+    rows = comments.withColumn("number", F.regexp_extract(anchor, r"^\s*(\d+)\s*[.、)）]", 1).try_cast("int")).where("number IS NOT NULL")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text])
+    return rows.groupBy(by, "number").agg(F.array_join(parts, " | ").alias("note"))
+
+
+def side_by_side(placed: DataFrame, participants: list[str]) -> DataFrame:
+    """contract_id, clause_id and a column of titles for each participant, joined by "; ": what each found in a clause."""
+    rows = placed.groupBy("contract_id", "clause_id").pivot("origin", participants).agg(F.array_join(F.array_sort(F.collect_list("title")), "; "))
+    return rows.select("contract_id", "clause_id", *(F.coalesce(F.col(f"`{p}`"), F.lit("")).alias(p) for p in participants))
+
+
+def annotated(lines: DataFrame, notes: DataFrame, *, by: str = "contract_id", order: str = "line_no", text: str = "text") -> DataFrame:
+    """lines with the notes (by, quoted, note) whose quoted text they hold put behind them as "[note: ...]", each at its first line."""
+    a, b = for_match(text), for_match("quoted")
+    hits = lines.select(by, order, text).join(notes, by).where(F.contains(a, b) & (F.length(b) > 0))
+    first = hits.groupBy(by, "quoted", "note").agg(F.min(order).alias(order))
+    joined = first.groupBy(by, order).agg(F.array_join(F.transform(F.array_sort(F.collect_set("note")), lambda n: F.concat(F.lit(" [note: "), n, F.lit("]"))), "").alias("__notes"))
+    return lines.join(joined, [by, order], "left").withColumn(text, F.concat(text, F.coalesce("__notes", F.lit("")))).drop("__notes")

@@ -128,3 +128,46 @@ def few_shot(examples: DataFrame, keep: int, similarity: Column, order: str) ->
     """The examples most similar to an input, the best last."""
     w = Window.orderBy(F.desc("__s"), order)
     return examples.withColumn("__s", similarity).orderBy(F.desc("__s"), order).limit(keep).withColumn("rank", F.row_number().over(w)).drop("__s")
+
+
+def routed(df: DataFrame, model: Model, template: str, routes: dict[str, Column], default: str) -> DataFrame:
+    """df with the destination that a model names for each row, and that route's answer; names that aren't routes go to the default."""
+    if default not in routes:
+        raise ValueError(f"no route {default!r}")
+    said = F.trim(model(X.template(template)))
+    rows = df.withColumn("destination", F.when(said.isin(list(routes)), said).otherwise(default))
+    answer = F.lit(None).cast("string")
+    for name, value in routes.items():
+        answer = F.when(F.col("destination") == name, value).otherwise(answer)
+    return rows.withColumn("answer", answer)
+
+
+def tagged(df: DataFrame, template: str, model: Model, schema: str) -> DataFrame:
+    """df with the fields of a schema that a model's JSON answer gives; null where it isn't JSON of that shape."""
+    return df.withColumn("__v", F.from_json(model(X.template(template)), schema)).select(*df.columns, "__v.*")
+
+
+def questions(chunks: DataFrame, model: Model, template: str) -> DataFrame:
+    """Question and answer pairs that a model makes of each chunk (a JSON array of question and answer)."""
+    pairs = F.from_json(model(X.template(template)), "array<struct<question:string,answer:string>>")
+    return chunks.select("*", F.posexplode(pairs).alias("pair_no", "__p")).select(*chunks.columns, "pair_no", "__p.question", "__p.answer")
+
+
+def revised(df: DataFrame, principles: list[tuple[Model, Callable[[Column, Column], Column]]], *, answer: str = "answer") -> DataFrame:
+    """df with its answers critiqued and revised by each principle in turn: a critique (null: nothing to say), and a revision from answer and critique."""
+    for critique, revise in principles:
+        said = critique(F.col(answer))
+        df = df.withColumn(answer, F.when(said.isNull(), F.col(answer)).otherwise(revise(F.col(answer), said)))
+    return df
+
+
+def allowed_url(url: Column | str, domains: list[str]) -> Column:
+    """Whether a url's host is one of the domains; anything but http and https isn't."""
+    u = F.col(url) if isinstance(url, str) else url
+    good = F.try_parse_url(u, F.lit("HOST")).isin(domains) & F.lower(F.try_parse_url(u, F.lit("PROTOCOL"))).isin("http", "https")
+    return F.coalesce(good, F.lit(False))
+
+
+def random_embedding(size: int, seed: int) -> Column:
+    """Normal values, new for each row; the seed makes them repeatable for the same rows in the same partitions."""
+    return F.array(*(F.randn(seed + i) for i in range(size)))
