@@ -262,21 +262,21 @@ def quote_spans(quote: str, context: str, most: int = 100) -> list[tuple[int, in
     if not quote or not context:
         return []
     row = [(j, 0) for j in range(len(quote) + 1)]  # (edits, start of the match) of the quote's beginnings
-    best, ends = min(most, len(quote) - 1) + 1, []
+    best, ends = min(most, len(quote) - 1), []
     for i, c in enumerate(context, 1):
         above, row = row, [(0, i)]
         for j, q in enumerate(quote, 1):
             change = (above[j - 1][0] + (q != c), above[j - 1][1])
             row.append(min(change, (above[j][0] + 1, above[j][1]), (row[j - 1][0] + 1, row[j - 1][1]), key=lambda x: (x[0], -x[1])))
-        if row[-1][0] < best:
+        if row[-1][0] < best or not ends and row[-1][0] == best:
             best, ends = row[-1][0], []
-        if row[-1][0] == best:
+        if row[-1][0] <= best:
             ends.append((row[-1][1], i))
     out: list[tuple[int, int]] = []
     for start, end in ends:
         if not out or start >= out[-1][1]:
             out.append((start, end))
-    return out if best <= most else []
+    return out
 
 
 def quoted_at(quote: Column | str, context: Column | str, most: int = 100) -> Column:

@@ -120,7 +120,7 @@ def commented(data: bytes, notes: list[tuple[str, str]], author: str) -> tuple[b
         ET.SubElement(ET.SubElement(p, w("r")), w("commentReference"), mark)
         comment = ET.SubElement(old, w("comment"), mark | {w("author"): author})
         ET.SubElement(ET.SubElement(ET.SubElement(comment, w("p")), w("r")), w("t")).text = note
-    files["word/document.xml"], files["word/comments.xml"] = ET.tostring(body, "utf-8", True), ET.tostring(old, "utf-8", True)
+    files["word/document.xml"], files["word/comments.xml"] = (ET.tostring(x, "utf-8", xml_declaration=True) for x in (body, old))
     kinds = files.get("[Content_Types].xml")
     if kinds and b"/word/comments.xml" not in kinds:
         files["[Content_Types].xml"] = kinds.replace(b"</Types>", b'<Override PartName="/word/comments.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.comments+xml"/></Types>')
