@@ -132,3 +132,16 @@ def text_udf(f, returns: str = "string"):
         return pd.Series([None if t is None else f(t) for t in x], dtype=object)
 
     return run
+
+
+def headers_by_size(page: str, sizes: dict[str, float] | None = None) -> str:
+    """The page with elements that are headers by their style's font size (in px or pt, 4/3 of a px) as h1, h2, ... elements."""
+    limits = sorted((sizes or {"h1": 24.0, "h2": 20.0}).items(), key=lambda x: -x[1])
+
+    def change(m: re.Match) -> str:
+        size = re.search(r"font-size:\s*([\d.]+)\s*(px|pt)", m[2], re.I)
+        value = float(size[1]) * (4 / 3 if size[2].lower() == "pt" else 1) if size else 0.0
+        tag = next((t for t, least in limits if value >= least), None)
+        return f"<{tag}>{m[3]}</{tag}>" if tag else m[0]
+
+    return re.sub(r"<(span|div|p|font)\b([^>]*)>((?:(?!<\1\b).)*?)</\1\s*>", change, page, flags=re.S | re.I)

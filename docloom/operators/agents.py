@@ -69,3 +69,31 @@ def loop(tasks: DataFrame, model: Callable[[Column], Column], parse: Callable[[C
             return answers, steps
         live = done.select("run_id", "question", F.concat("pad", "log", F.lit("\nObservation: "), "observation", F.lit("\nThought: ")).alias("pad"))
     return answers.unionByName(live.select("run_id", F.lit(None).cast("string").alias("answer"), F.lit(most).alias("rounds"))), steps
+
+
+def allowed_tools(asked: DataFrame, chosen: Column, tools: list[str], most: int | None = None, always: tuple[str, ...] = ()) -> DataFrame:
+    """asked with the tools a model has chosen (an array of names, best first): known ones, ``most`` at most, and some always."""
+    known = F.array_distinct(F.filter(chosen, lambda t: t.isin(tools) & ~t.isin(*always) if always else t.isin(tools)))
+    kept = known if most is None else F.slice(known, 1, most)
+    return asked.withColumn("tools", F.concat(kept, F.array(*map(F.lit, always)).cast("array<string>")))
+
+
+def decided(calls: DataFrame, decisions: DataFrame, *, key: str = "call_id", args: str = "args") -> DataFrame:
+    """calls after people have looked at them (key, decision, args, message): approved ones as they are, edited ones with new
+    arguments, rejected ones with a message and run = false. A call without a decision waits: it has no row."""
+    d = decisions.select(key, "decision", F.col(args).alias("__args"), "message")
+    known = F.col("decision").isin("approve", "edit", "reject")
+    checked = F.when(known, F.col("decision")).otherwise(F.raise_error(F.concat(F.lit("no such decision: "), F.coalesce("decision", F.lit("null")))))
+    rows = calls.join(d, key).withColumn("decision", checked)
+    rows = rows.withColumn(args, F.when(F.col("decision") == "edit", F.col("__args")).otherwise(F.col(args)))
+    return rows.withColumn("run", F.col("decision") != "reject").withColumn("message", F.when(F.col("decision") == "reject", F.coalesce("message", F.lit("rejected")))).drop("__args")
+
+
+TODO = ("pending", "in_progress", "completed")
+
+
+def todos(state: DataFrame, changes: DataFrame, *, by: str = "run_id", item: str = "item", order: str = "step") -> DataFrame:
+    """by, item, status: a to-do list after changes in order; the last status of an item counts, an unknown one is an error."""
+    ok = F.when(F.col("status").isin(*TODO), F.col("status")).otherwise(F.raise_error(F.concat(F.lit("no such status: "), F.coalesce("status", F.lit("null")))))
+    new = changes.groupBy(by, item).agg(F.max_by("status", order).alias("status")).withColumn("status", ok)
+    return state.join(new, [by, item], "left_anti").select(by, item, "status").unionByName(new)

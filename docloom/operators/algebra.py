@@ -246,3 +246,31 @@ def merged_config(*configs: dict | None) -> dict:
         for k, v in c.items():
             out[k] = sorted({*out.get(k, ()), *v}) if k == "tags" else out.get(k, {}) | v if isinstance(v, dict) else v
     return json.loads(json.dumps(out))
+
+
+def generator(f: Callable[[dict], typing.Iterable[dict]], schema: str) -> Node:
+    """A Python generator from a row to rows as a node: one input row gives any number of output rows. Works on streams."""
+
+    def run(df: DataFrame) -> DataFrame:
+        names = T.StructType.fromDDL(schema).names
+
+        def rows(batches):
+            for part in batches:
+                yield pd.DataFrame([x for row in part.to_dict("records") for x in f(row)], columns=names)
+
+        return df.mapInPandas(rows, schema)
+
+    return Node(run, getattr(f, "__name__", "generator"))
+
+
+def dumped(name: str, **how) -> str:
+    """A node's name and arguments as JSON; only plain values can be arguments."""
+    return json.dumps({"node": name, "how": how}, sort_keys=True)
+
+
+def loaded(text: str, known: dict[str, Callable[..., NodeLike]]) -> Node:
+    """The node that ``dumped`` has written, made by the function of that name; names that aren't known are an error, and nothing else runs."""
+    spec = json.loads(text)
+    if spec.get("node") not in known:
+        raise ValueError(f"no node {spec.get('node')!r}")
+    return node(known[spec["node"]](**spec.get("how", {})))

@@ -7,6 +7,7 @@ quotes, true and false, dates (2024-01-31), date-times (2024-01-31T10:00:00Z) an
 from __future__ import annotations
 
 import datetime
+import json
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -209,3 +210,22 @@ def frame_query(df: DataFrame, request: str, order: str) -> DataFrame:
     if what not in REDUCERS:
         raise ValueError(f"unknown operation {what!r}")
     return (df if places is None else rows).agg(REDUCERS[what](name).alias(what))
+
+
+NO_FILTER = "NO_FILTER"
+
+
+def from_answer(answer: str, attributes: Iterable[str] | None = None) -> StructuredQuery:
+    """A query, filter and limit from a model's JSON answer (bare or fenced). An empty query is a space; NO_FILTER means none."""
+    fence = re.search(r"```(?:json)?\s*(.*?)\s*```", answer, re.S)
+    given = json.loads(fence[1] if fence else answer)
+    text, expression, limit = given.get("query") or " ", given.get("filter"), given.get("limit")
+    found = None if not expression or expression == NO_FILTER else parse(expression, attributes=list(attributes) if attributes is not None else None)
+    return StructuredQuery(text, found, int(limit) if limit is not None else None)
+
+
+def self_query(rows: DataFrame, queries: DataFrame, asked: StructuredQuery, k: int = 4, **how) -> DataFrame:
+    """Nearest rows among those that the structured query's filter lets through; its limit goes before k."""
+    from docloom.operators import search
+
+    return search.top_k(rows, queries, k=k if asked.limit is None else asked.limit, where=None if asked.filter is None else to_column(asked.filter), **how)

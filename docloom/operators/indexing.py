@@ -19,6 +19,7 @@ from docloom.operators.numbering import numbered
 
 STATE = "namespace string, key string, group_id string, updated_at double"
 CLEANUPS = (None, "incremental", "full", "scoped_full")
+DEALT = 64  # groups of the later rows of one key
 #: Fixed value: the namespace that name-based identifiers of hashes are made in
 UUID_NAMESPACE = uuid.UUID(int=1984)
 
@@ -85,12 +86,19 @@ def update_records(state: DataFrame, namespace: str, keys: DataFrame, now: float
 
 
 def classify(batch: DataFrame, state: DataFrame, namespace: str, *, key: str = "key", force: bool = False, order: str | None = None) -> DataFrame:
-    """batch with action: added, updated (known, forced), skipped (known), or duplicate (of an earlier row of the batch)."""
-    w = Window.partitionBy(key).orderBy(order or key)
+    """batch with action: added, updated (known, forced), skipped (known), or duplicate (of an earlier row of the batch).
+
+    The first place of each key is found by a partial aggregation; only rows at that place are numbered, and later ones of
+    a key are dealt over ``DEALT`` groups, so that a key with very many rows isn't one task's.
+    """
+    at = F.col(order or key)
+    first = batch.groupBy(key).agg(F.min(at).alias("__first"))
     known = state.where(F.col("namespace") == namespace).select(F.col("key").alias(key), F.lit(True).alias("__known"))
-    rows = batch.withColumn("__n", F.row_number().over(w)).join(known, key, "left")
-    action = F.when(F.col("__n") > 1, "duplicate").when(F.col("__known").isNull(), "added").otherwise("updated" if force else "skipped")
-    return rows.withColumn("action", action).drop("__n", "__known")
+    rows = batch.join(first, key, "left").withColumn("__late", F.coalesce(at > F.col("__first"), F.lit(False)))
+    w = Window.partitionBy(key, F.when(F.col("__late"), F.pmod(F.xxhash64(at), F.lit(DEALT)))).orderBy(at)
+    rows = rows.withColumn("__n", F.row_number().over(w)).join(known, key, "left")
+    action = F.when((F.col("__n") > 1) | F.col("__late"), "duplicate").when(F.col("__known").isNull(), "added").otherwise("updated" if force else "skipped")
+    return rows.withColumn("action", action).drop("__n", "__known", "__first", "__late")
 
 
 @dataclass

@@ -171,3 +171,23 @@ def allowed_url(url: Column | str, domains: list[str]) -> Column:
 def random_embedding(size: int, seed: int) -> Column:
     """Normal values, new for each row; the seed makes them repeatable for the same rows in the same partitions."""
     return F.array(*(F.randn(seed + i) for i in range(size)))
+
+
+def moderated(df: DataFrame, flagged: Model, *, text: str = "text", message: str = "This text can't be shown.", error: bool = False) -> DataFrame:
+    """df with texts that a model flags (a boolean column of the text) replaced by a message, or refused with an error."""
+    bad = F.coalesce(flagged(F.col(text)), F.lit(False))
+    wrong = F.raise_error(F.lit("text was flagged")).cast("string") if error else F.lit(message)
+    return df.withColumn(text, F.when(bad, wrong).otherwise(F.col(text)))
+
+
+def standalone(questions_: DataFrame, history: DataFrame, model: Model, *, by: str = "conv_id", question: str = "question", template: str = "{history}\nFollow up: {question}") -> DataFrame:
+    """Questions that stand alone: those with a history (by, transcript) are rewritten by a model, others stay."""
+    joined = questions_.join(history.select(by, F.col("transcript").alias("history")), by, "left")
+    return joined.withColumn(question, F.when(F.col("history").isNull(), F.col(question)).otherwise(model(X.template(template)))).drop("history")
+
+
+def with_sources(answers: DataFrame, hits: DataFrame, *, by: str = "query_id", source: str = "source") -> DataFrame:
+    """answers with the distinct sources of the hits they rest on, in order of rank, joined by commas."""
+    first = hits.groupBy(by, source).agg(F.min("rank").alias("r"))
+    listed = first.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", source))), lambda x: x[source]), ", ").alias("sources"))
+    return answers.join(listed, by, "left").withColumn("sources", F.coalesce("sources", F.lit("")))

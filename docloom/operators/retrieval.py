@@ -103,3 +103,16 @@ def children(documents: DataFrame, split: Column, *, key: str = "doc_id", parent
     rest = [c for c in documents.columns if c not in (key, text)]
     rows = documents.select(F.col(key).alias(parent), *rest, F.posexplode(split).alias("part_no", text))
     return rows.withColumn(key, F.concat_ws(":", F.col(parent).cast("string"), F.col("part_no").cast("string")))
+
+
+def chosen_examples(retriever: Retriever, inputs: DataFrame, fields: list[str], *, name: str = "examples") -> DataFrame:
+    """inputs (query_id, query_embedding, ...) with the examples a retriever finds for each, in order, as an array of structs: few-shot selection."""
+    hits = retriever(inputs.select("query_id", "query_embedding"))
+    listed = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(*fields).alias("e")))), lambda x: x["e"]).alias(name))
+    return inputs.join(listed, "query_id", "left")
+
+
+def indexed(documents: DataFrame, split: Column, embed: Callable[[Column], Column], *, key: str = "doc_id", text: str = "text", **how) -> Retriever:
+    """A retriever over the parts of documents: split, embedded, and kept with their document's key."""
+    parts = children(documents, split, key=key, text=text)
+    return Retriever(parts.withColumn("embedding", embed(F.col(text))), row_id=key, how=how)

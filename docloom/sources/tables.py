@@ -221,3 +221,32 @@ def forked(table: DataFrame, path: str) -> DataFrame:
 def stringified(content: Column, kind: str) -> Column:
     """Scanned content as text: strings as they are, anything else as JSON."""
     return content if kind == "string" else F.to_json(content) if kind.startswith(("struct", "map", "array")) else content.cast("string")
+
+
+def examples(rows: DataFrame, content_key: str, *, key: str = "example_id", where: Column | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Documents of a dataset's examples: the text is what a dotted key leads to, strings as they are and anything else as JSON; the rest is metadata."""
+    df = rows if where is None else rows.where(where)
+    if limit is not None or offset:
+        df = df.orderBy(key)
+        df = df.offset(offset) if offset else df
+        df = df if limit is None else df.limit(limit)
+    kind = df.select(F.col(content_key).alias("c")).schema["c"].dataType.simpleString()
+    rest = F.to_json(F.struct(*(c for c in df.columns if c != key)))
+    return df.select(F.col(key).cast("string").alias("id"), stringified(F.col(content_key), kind).alias("text"), F.create_map(F.lit("example"), rest).alias("metadata"))
+
+
+def images(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Rows for a vector table of images: id and text are the file's content in base 64 and its path is metadata."""
+    files = blobs(spark, path, glob=glob)
+    return files.select(F.sha2("content", 256).alias("id"), F.base64("content").alias("text"), F.create_map(F.lit("uri"), F.col("path")).alias("metadata"))
+
+
+def document_store(store: KeyedStore) -> EncodedStore:
+    """A keyed store of documents (text and metadata) under their ids as they are."""
+    return EncodedStore(store, "text string, metadata map<string,string>", lambda k: k.cast("string"))
+
+
+def write_log(events: DataFrame, path: str, *, time: str = "ts", event: str = "event", run: str = "run_id", data: str = "data") -> None:
+    """An event log as text lines, in order of time within each file."""
+    line = F.concat_ws(" ", F.col(time).cast("string"), event, F.col(run).cast("string"), data)
+    events.sortWithinPartitions(time, event).select(line.alias("value")).write.mode("append").text(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 import json
+import xml.etree.ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -141,3 +142,38 @@ def wanted(events: DataFrame, *, names: list[str] | None = None, types: list[str
 def branches(stream: DataFrame, **made: Column) -> DataFrame:
     """One stream's rows through several branches at once: branch and value (string), all of the same input row. Works on streams."""
     return stream.select(*stream.columns, F.explode(F.array(*(F.struct(F.lit(n).alias("branch"), c.cast("string").alias("value")) for n, c in made.items()))).alias("__b")).select(*stream.columns, "__b.branch", "__b.value")
+
+
+def xml_elements(chunks: DataFrame, *, run: str = "run_id", seq: str = "seq", text: str = "text") -> DataFrame:
+    """run, seq, item_no, path and value: the leaf elements of streamed XML, each with the chunk that closes it. Reading ends at the first
+    error; documents with a doctype have none."""
+    kinds = dict(chunks.dtypes)
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        parser, out, above, inner = ET.XMLPullParser(["start", "end"]), [], [], []
+        for s, t in group.sort_values(seq)[[seq, text]].itertuples(index=False):
+            try:
+                if "<!" in (t or ""):
+                    raise ET.ParseError("doctype")
+                parser.feed(t or "")
+                for event, node in parser.read_events():
+                    if event == "start":
+                        above.append(node.tag)
+                        inner.append(0)
+                        continue
+                    if not inner.pop():
+                        out.append((group[run].iloc[0], s, len(out), "/".join(above), node.text or ""))
+                    above.pop()
+                    if inner:
+                        inner[-1] += 1
+            except ET.ParseError:
+                break
+        return pd.DataFrame(out, columns=[run, seq, "item_no", "path", "value"])
+
+    return chunks.select(run, seq, text).groupBy(run).applyInPandas(fold, f"`{run}` {kinds[run]}, `{seq}` {kinds[seq]}, item_no int, path string, value string")
+
+
+def collected(events: DataFrame, *, run: str = "run_id", order: str = "ts") -> DataFrame:
+    """run, events (array of structs in order) and n: all that was traced of each run."""
+    rest = [c for c in events.columns if c not in (run, order)]
+    return events.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("events"), F.count("*").alias("n"))
