@@ -23,6 +23,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import erfc
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ LEXICON = 2000
 LEAST = 4  # toxic texts of the sample that an entry must occur in
 ODDS = 2.0  # the logarithm of how much commoner it must be there
 CHANCE = 12.3  # and its likelihood ratio (G): beyond chance at one in 2000; four toxic texts of one in nine and no other have 17
+FALSE = 0.05  # of the entries that may be chance, as so many are tested
 STEM = (3, 4, 5, 6, 7, 8)
 DISTANCE, FROM = 1, 5
 WINDOW = 8
@@ -76,6 +78,24 @@ class Levenshtein:
         return min((e for i, e in state if i > 0), default=None)
 
 
+def _one_edit(word: str, entry: str, stem: bool) -> bool:
+    """Whether one edit at most makes the entry of the word (of its beginning, for a stem): what follows the first difference has to agree."""
+    n, p = len(entry), 0
+    if not stem and abs(len(word) - n) > 1:
+        return False
+    for x, y in zip(word, entry, strict=False):
+        if x != y:
+            break
+        p += 1
+    if p == n:
+        return stem or len(word) <= n + 1
+    for skip_word, skip_entry in ((1, 1), (1, 0), (0, 1)):
+        rest = entry[p + skip_entry :]
+        if word.startswith(rest, p + skip_word) and (stem or len(word) == p + skip_word + len(rest)):
+            return True
+    return False
+
+
 class Lexicon:
     """A trie of entries with weights; a stem entry matches words that begin with it. Exceptions match nothing but themselves as entries."""
 
@@ -88,17 +108,18 @@ class Lexicon:
                 node = node.setdefault(c, {})
             node[""] = (node[""][0] or stem if "" in node else stem, weights.get(entry, 1.0))
         # an edit leaves one half of an entry whole: the first at its place, the second at most one place off
-        self.heads: dict[int, dict[str, list[tuple[int, bool]]]] = {}
-        self.tails: dict[tuple[int, int], dict[str, list[tuple[int, bool]]]] = {}
+        self.heads: dict[int, dict[str, list[tuple[str, bool]]]] = {}
+        self.tails: dict[tuple[int, int], dict[str, list[tuple[str, bool]]]] = {}
         for e, stem in [*((w, False) for w in words), *((s, True) for s in stems)]:
             if len(e) >= FROM:
                 half = len(e) // 2
-                self.heads.setdefault(half, {}).setdefault(e[:half], []).append((len(e), stem))
+                self.heads.setdefault(half, {}).setdefault(e[:half], []).append((e, stem))
                 for place in range(half - DISTANCE, half + DISTANCE + 1):
-                    self.tails.setdefault((place, place + len(e) - half), {}).setdefault(e[half:], []).append((len(e), stem))
+                    self.tails.setdefault((place, place + len(e) - half), {}).setdefault(e[half:], []).append((e, stem))
 
     def _may(self, word: str) -> bool:
-        fits = lambda found: any(stem or abs(len(word) - n) <= DISTANCE for n, stem in found)
+        """Whether the automaton can find an entry: one that shares a half with the word is an edit away in its other half as well."""
+        fits = lambda found: any(_one_edit(word, e, stem) for e, stem in found)
         for n, heads in self.heads.items():
             if (found := heads.get(word[:n])) and fits(found):
                 return True
@@ -244,6 +265,13 @@ def _counts(sample: DataFrame) -> DataFrame:
     return rows.groupBy("entry", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _beyond_chance(found: list, tested: int, false: float = FALSE) -> list:
+    """Of the entries found among many tested ones, those of which a share of ``false`` at most is expected to be chance (Benjamini and Hochberg)."""
+    chance = sorted((erfc((r["ratio"] / 2) ** 0.5), r["ratio"]) for r in found)  # of a chi-square variable with one degree of freedom
+    least = min((g for i, (p, g) in enumerate(chance, 1) if p <= false * i / tested), default=float("inf"))
+    return [r for r in found if r["ratio"] >= least]
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model | None:
     """labels: rows to learn from (id and label)."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__id"), F.col(label).cast("int").alias("label"))
@@ -262,11 +290,12 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     has, without = t + c, F.lit(float(all_)) - t - c
     ratio = 2 * (share(t, has * n1 / all_) + share(c, has * n0 / all_) + share(n1 - t, without * n1 / all_) + share(n0 - c, without * n0 / all_))
     counts = stored(_counts(rows).withColumn("odds", odds), "entries")
-    found = counts.where((F.col("toxic") >= LEAST) & (F.col("odds") >= ODDS) & (ratio >= CHANCE)).collect()
+    found = counts.where((F.col("toxic") >= LEAST) & (F.col("odds") >= ODDS)).withColumn("ratio", ratio).where(F.col("ratio") >= CHANCE).collect()
+    found = _beyond_chance(found, counts.where(F.col("toxic") + F.col("clean") >= LEAST).count())
     chosen: dict[tuple[str, bool], float] = {}
     taken: set[str] = set()  # chosen stems, and all beginnings of chosen entries: of nested entries the most telling one stays
     begun: set[str] = set()
-    for r in sorted(found, key=lambda r: (-r["toxic"] * r["odds"], r["stem"], r["entry"])):
+    for r in sorted(found, key=lambda r: (-r["ratio"], r["stem"], -len(r["entry"]), r["entry"])):
         entry = r["entry"]
         if any(entry[:n] in taken for n in range(1, len(entry) + 1)) or (r["stem"] and entry in begun):
             continue
