@@ -22,7 +22,7 @@ result only, links are between sets. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -151,15 +151,47 @@ def _bodies(nodes: DataFrame, docs: DataFrame, key: str, text: str, repeats: boo
     return stored(rows.join(nodes, ["key", "th"]).select("id", "body"), "bodies")
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, of rows that are sorted by them; a run may go over several batches."""
+    pending: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
+        edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for start, end in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+            key = tuple(c[start] for c in columns)
+            if pending and key != last:
+                yield pa.Table.from_batches(pending)
+                pending = []
+            pending.append(batch.slice(start, end - start))
+            last = key
+    if pending:
+        yield pa.Table.from_batches(pending)
+
+
+class _Side:
+    """The rows of one block: ids, set sizes, registers, and texts where they are there."""
+
+    def __init__(self, t: pa.Table):
+        t = t.combine_chunks()
+        self.id, self.n = t["id"].to_numpy(), t["n"].to_numpy()
+        self.registers = np.frombuffer(b"".join(t["registers"].to_pylist()), np.uint8).reshape(len(t), -1)
+        self.body = t["body"].cast(pa.binary()).to_pylist() if "body" in t.schema.names else None
+
+
 class _Meeting:
     """Two sides of a block and the components that their rows are in so far."""
 
-    def __init__(self, block: pd.DataFrame):
-        i, j = int(block.i.iloc[0]), int(block.j.iloc[0])
+    def __init__(self, t: pa.Table):
+        i, j, side, comp = t["i"][0].as_py(), t["j"][0].as_py(), t["side"].to_numpy(), t["comp"].to_numpy()
         self.same = i == j
-        self.left, self.right = (block[block.side == x] for x in (i, j))
-        self.of_left = self.left.comp.to_numpy().copy()
-        self.of_right = self.of_left if self.same else self.right.comp.to_numpy().copy()
+        of = lambda x: _Side(t.take(pa.array(np.flatnonzero(side == x))))
+        self.left = of(i)
+        self.right = self.left if self.same else of(j)
+        self.of_left = comp[side == i].copy()
+        self.of_right = self.of_left if self.same else comp[side == j].copy()
 
     def merge(self, x: int, y: int) -> None:
         for labels in (self.of_left, self.of_right):
@@ -167,16 +199,31 @@ class _Meeting:
 
     def candidates(self, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
         """Each row of left with the plausible rows of right that are in another component so far. The caller merges."""
-        least = S.least_equal(threshold)
-        regs = np.frombuffer(b"".join(self.right.registers), np.uint8).reshape(len(self.right), -1)
-        sizes = self.right.n.to_numpy()
-        for at, (n, r) in enumerate(zip(self.left.n, self.left.registers, strict=True)):
-            first, mine = at + 1 if self.same else 0, np.frombuffer(r, np.uint8)
+        least, regs, sizes = S.least_equal(threshold), self.right.registers, self.right.n
+        for at, (n, mine) in enumerate(zip(self.left.n, self.left.registers, strict=True)):
+            first = at + 1 if self.same else 0
             other = first + np.flatnonzero(self.of_right[first:] != self.of_left[at])
             if len(other):
                 rest = other[S.equal(mine, regs[other]) >= least]
-                theirs = regs[rest]
-                yield at, rest[S.plausible((mine > theirs).sum(axis=1), (mine < theirs).sum(axis=1), np.full(len(rest), n), sizes[rest], threshold, regs.shape[1])]
+                if len(rest):
+                    theirs = regs[rest]
+                    yield at, rest[S.plausible((mine > theirs).sum(axis=1), (mine < theirs).sum(axis=1), np.full(len(rest), n), sizes[rest], threshold, regs.shape[1])]
+
+
+def _met(rows: DataFrame, group: str, meet: Callable[[_Meeting], list[tuple[int, int]]]) -> DataFrame:
+    """What ``meet`` finds in each pair of blocks: u, v. Rows are sorted and groups are read off one after the other, as most are small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        take = lambda: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+        for t in _groups(batches, [group, "i", "j"]):
+            out += meet(_Meeting(t))
+            if len(out) > 10_000:
+                yield take()
+                out.clear()
+        yield take()
+
+    return rows.sortWithinPartitions(group, "i", "j").mapInArrow(run, "u bigint, v bigint")
 
 
 def _blocked(rows: DataFrame, group: str, block: int) -> DataFrame:
@@ -201,25 +248,27 @@ def _blocked(rows: DataFrame, group: str, block: int) -> DataFrame:
 def _clusters(members: DataFrame, threshold: float) -> DataFrame:
     """Plausible pairs (u, v) of components within each bucket: as many as connect what is plausibly connected, and no more."""
 
-    def meet(block: pd.DataFrame) -> pd.DataFrame:
-        m, out = _Meeting(block), []
+    def meet(m: _Meeting) -> list[tuple[int, int]]:
+        out = []
         for at, rest in m.candidates(threshold):
             for r in rest.tolist():
                 if m.of_left[at] != m.of_right[r]:
                     out.append((int(m.of_left[at]), int(m.of_right[r])))
                     m.merge(*out[-1])
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+        return out
 
-    return _blocked(members, "bucket", BLOCK).groupBy("bucket", "i", "j").applyInPandas(meet, "u bigint, v bigint").distinct()
+    return _met(_blocked(members, "bucket", BLOCK), "bucket", meet).distinct()
 
 
 def _linked(members: DataFrame, threshold: float, k: int, percent: int) -> DataFrame:
     """Verified links (u, v) across components within each cluster: as many as connect what is linked, and no more."""
 
-    def meet(block: pd.DataFrame) -> pd.DataFrame:
-        m, out = _Meeting(block), []
+    def meet(m: _Meeting) -> list[tuple[int, int]]:
+        out = []
         numbers: dict[tuple, int] = {}
-        left, right = ([{numbers.setdefault(x, len(numbers)) for x in shingles(t.encode(), k)} for t in side.body] for side in (m.left, m.right))
+        sets = lambda side: [{numbers.setdefault(x, len(numbers)) for x in shingles(t, k)} for t in side.body]
+        left = sets(m.left)
+        right = left if m.same else sets(m.right)
         for at, rest in m.candidates(threshold):
             mine = left[at]
             for r in rest.tolist():
@@ -227,10 +276,10 @@ def _linked(members: DataFrame, threshold: float, k: int, percent: int) -> DataF
                     both = len(mine & right[r])
                     if 100 * both >= percent * (len(mine) + len(right[r]) - both):
                         m.merge(int(m.of_left[at]), int(m.of_right[r]))
-                        out.append((int(m.left.id.iloc[at]), int(m.right.id.iloc[r])))
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+                        out.append((int(m.left.id[at]), int(m.right.id[r])))
+        return out
 
-    return _blocked(members, "cluster", TEXTS).groupBy("cluster", "i", "j").applyInPandas(meet, "u bigint, v bigint")
+    return _met(_blocked(members, "cluster", TEXTS), "cluster", meet)
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
