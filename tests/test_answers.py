@@ -203,3 +203,45 @@ def test_incremental_cleanup_over_batches(spark):
     assert {r["key"] for r in state.collect()} >= {"d", "c"} and deleted >= 1
     whole = indexing.step(batch(("a", "1"), ("d", "1")), start, "ns", 2.0, cleanup="scoped_full", source="source", order="n")
     assert {r["key"] for r in whole.state.collect()} == {"a", "d", "c"} and whole.counts["num_deleted"] == 1
+
+
+def test_structured_answers():
+    from docloom.operators import filters
+
+    got = filters.from_answer('{"query": "", "filter": "NO_FILTER"}')
+    assert got == filters.StructuredQuery(" ", None, None)
+    assert filters.from_answer('x ```json\n{"query": "q", "filter": "eq(\\"a\\", 1)", "limit": "3"}\n```').limit == 3
+    for bad in ("no JSON", '{"filter": "eq(\\"b\\", 1)"}'):
+        with pytest.raises(ValueError):
+            filters.from_answer(bad, ["a"])
+
+
+def test_decisions_and_todos(spark):
+    calls = spark.createDataFrame([(1, "x"), (2, "y")], "call_id int, args string")
+    no = spark.createDataFrame([(1, "reject", None, None), (2, "reject", None, "why")], "call_id int, decision string, args string, message string")
+    assert {r["call_id"]: (r["args"], r["run"], r["message"]) for r in agents.decided(calls, no).collect()} == {1: ("x", False, "rejected"), 2: ("y", False, "why")}
+    with pytest.raises(Exception, match="no such decision"):
+        agents.decided(calls, no.withColumn("decision", F.lit("maybe"))).collect()
+    state = spark.createDataFrame([(1, "a", "pending")], "run_id int, item string, status string")
+    with pytest.raises(Exception, match="no such status"):
+        agents.todos(state, state.withColumn("status", F.lit("lost")).withColumn("step", F.lit(1))).collect()
+
+
+def test_streamed_xml_ends_at_the_first_error(spark):
+    chunks = spark.createDataFrame([(1, 0, "<a><b>x</b>"), (1, 1, "</c><d>y</d>"), (2, 0, "<!DOCTYPE a><a/>"), (3, 0, None), (3, 1, "<a/>")], "run_id int, seq int, text string")
+    assert {(r["run_id"], r["path"], r["value"]) for r in patches.xml_elements(chunks).collect()} == {(1, "a/b", "x"), (3, "a", "")}
+
+
+def test_loading_runs_nothing_unknown(spark):
+    with pytest.raises(ValueError):
+        algebra.loaded('{"node": "os.system", "how": {}}', {})
+    with pytest.raises(TypeError):
+        algebra.dumped("x", f=print)
+
+
+def test_moderation_can_refuse(spark):
+    df = spark.createDataFrame([("bad",), ("fine",), (None,)], "text string")
+    flagged = lambda t: t == "bad"
+    assert [r[0] for r in models.moderated(df, flagged, message="-").collect()] == ["-", "fine", None]
+    with pytest.raises(Exception, match="flagged"):
+        models.moderated(df, flagged, error=True).collect()

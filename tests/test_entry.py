@@ -26,3 +26,8 @@ def test_nothing_else_imports_it():
     for p in (ROOT / "docloom").rglob("*.py"):
         if "llm" not in p.parts:
             assert "docloom.llm" not in p.read_text(), p
+
+
+def test_without_a_library_of_the_corpus_subpackage():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 200 and 'pipeline' not in q and 'op2_setsketch' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(ROOT)})
