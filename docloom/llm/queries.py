@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, neardup, packing, pii, quality, sharding, sql, tokenscan, toxicity, urls, warc
+from docloom.llm import decontaminate, neardup, packing, pii, quality, sharding, simhash, sql, tokenscan, toxicity, urls, warc
 from docloom.session import stored, table
 
 
@@ -95,6 +95,10 @@ def op7_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_derivatives": op1_derivatives,
     "op2_setsketch": op2_setsketch,
@@ -106,5 +110,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sum_of_squares": op8_sum_of_squares,
     "op9_spans": op9_spans,
     "op10_inverted_index": op10_inverted_index,
+    "op11_simhash": op11_simhash,
 }
 SQL: dict[str, str] = dict(sql.SQL)
