@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, neardup, packing, pii, quality, sharding, simhash, sql, tokenscan, toxicity, urls, warc
+from docloom.llm import decontaminate, neardup, packing, phrases, pii, quality, sharding, simhash, sql, tokenscan, toxicity, urls, warc
 from docloom.session import stored, table
 
 
@@ -99,6 +99,10 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_pattern_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_derivatives": op1_derivatives,
     "op2_setsketch": op2_setsketch,
@@ -111,5 +115,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_spans": op9_spans,
     "op10_inverted_index": op10_inverted_index,
     "op11_simhash": op11_simhash,
+    "op12_pattern_growth": op12_pattern_growth,
 }
 SQL: dict[str, str] = dict(sql.SQL)

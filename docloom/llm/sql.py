@@ -100,4 +100,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN items ON items.r = d.r LEFT JOIN place ON place.r = d.r
 """
 
-SQL = {"op2_setsketch": NEAR_DUPLICATES, "op4_host_trie": URLS, "op9_spans": PERSONAL, "op10_inverted_index": CONTAMINATION}
+COLLOCATIONS = rf"""
+WITH p AS (
+  SELECT row_number() OVER () AS i, lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+  )
+), n AS (
+  SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang
+), f AS (
+  SELECT lang, w[k:k + m - 1] AS w, count(*) AS a
+  FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS m), LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS k) GROUP BY 1, 2 HAVING count(*) >= 100
+), inside AS (
+  SELECT DISTINCT lang, w[k:k + m - 1] AS w, a FROM f, (SELECT unnest([2, 3, 4]) AS m), LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS k) WHERE m < len(w)
+), cut AS (
+  SELECT f.lang, f.w, f.a, k, x.a AS l, y.a AS r, n.n, ((1000::HUGEINT * f.a * n.n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, len(w))) AS k FROM f WHERE len(w) > 1) f
+  JOIN f x ON x.lang = f.lang AND x.w = f.w[1:k] JOIN f y ON y.lang = f.lang AND y.w = f.w[k + 1:] JOIN n ON n.lang = f.lang
+), best AS (
+  SELECT lang, w, any_value(a) AS a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, any_value(n) AS n, min(score) AS score FROM cut GROUP BY lang, w
+), ranked AS (
+  SELECT best.*, array_to_string(best.w, ' ') AS phrase, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, best.a DESC, array_to_string(best.w, ' ')) AS rank
+  FROM best ANTI JOIN inside ON inside.lang = best.lang AND inside.w = best.w AND inside.a = best.a
+)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score FROM ranked WHERE rank <= 2000
+"""
+
+SQL = {"op2_setsketch": NEAR_DUPLICATES, "op4_host_trie": URLS, "op9_spans": PERSONAL, "op10_inverted_index": CONTAMINATION, "op12_pattern_growth": COLLOCATIONS}
