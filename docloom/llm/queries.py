@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, neardup, packing, phrases, pii, quality, sharding, simhash, sql, tokenscan, toxicity, urls, warc
+from docloom.llm import decontaminate, dialogues, neardup, packing, phrases, pii, quality, sharding, simhash, sql, tokenscan, toxicity, urls, warc
 from docloom.session import stored, table
 
 
@@ -103,6 +103,10 @@ def op12_pattern_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_retained_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues.audited(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_derivatives": op1_derivatives,
     "op2_setsketch": op2_setsketch,
@@ -116,5 +120,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_inverted_index": op10_inverted_index,
     "op11_simhash": op11_simhash,
     "op12_pattern_growth": op12_pattern_growth,
+    "op13_retained_turns": op13_retained_turns,
 }
 SQL: dict[str, str] = dict(sql.SQL)
