@@ -121,7 +121,8 @@ class Queries:
             for i in range(len(ids) - size + 1 if ids else 0):
                 owners.setdefault(tuple(ids[i : i + size]), set()).add(number[name])
             if ids:
-                near.add((number[name], tuple(sorted(set(ids), key=often)[:RAREST])))
+                rarest = sorted(set(found), key=lambda w: (frequency.get(term(w), 0), w))[:RAREST]
+                near.add((number[name], tuple(map(term, rarest))))
         windows = [w for w in owners if all(t in frequency for t in w)]
         self.size = np.array([len(w) for w in windows], np.int64)
         self.terms = np.zeros((len(windows), window), np.uint64)
@@ -255,7 +256,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc
     size = raw.agg(F.sum(F.length("body")).alias("bytes")).first()["bytes"] or 0
     n = max(1, -(-size // (4 * slice_words)))  # a word and its gap take some four bytes or more on average
     seen: set[bytes] | None = set()
-    slices = [raw] if n == 1 else [raw.where(F.pmod(F.xxhash64("name"), F.lit(n)) == i) for i in range(n)]
+    slices = [raw] if n == 1 else [raw.where(F.pmod(F.xxhash64("name", "body"), F.lit(n)) == i) for i in range(n)]
     read = lambda part: [(r["name"], words_of(bytes(r["body"]))) for r in part.toLocalIterator()]
     for part in slices:
         for _, found in read(part):

@@ -17,7 +17,7 @@ def contamination(found: DataFrame, key: str = "doc_id", near: bool = False) ->
         key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-        *((F.size("near").cast("long").alias("n_near_items"), F.array_sort("near").alias("near_items")) if near else ()),
+        *((F.size("near").cast("long").alias("n_near_items"), F.array_join(F.array_sort("near"), ",").alias("near_items")) if near else ()),
     )
 
 

@@ -1,7 +1,7 @@
 """SQL for the queries that SQL can express, written from their contracts and not from the operators.
 
 Left out: op1 (name-based UUIDs, base-32 digests), op3 (shards by a 64-bit hash of Spark's), op5 (concentration steps), op6 and op8
-(a tokenizer), op7 (a learned model); tests hold those against brute force, round trips or held-out rows.
+(a tokenizer), op7 (a learned model), op11 (XXH64); tests hold those against brute force, round trips or held-out rows.
 """
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -94,10 +94,28 @@ WITH i AS (
   SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r
 ), place AS (
   SELECT r, count(DISTINCT p) AS n_hit FROM hit, LATERAL (SELECT unnest(range(k, k + n)) AS p) GROUP BY r
+), word AS (
+  SELECT r, p, w[p] AS word FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS p)
+), asked AS (
+  SELECT DISTINCT i, item, unnest(w) AS word FROM (SELECT row_number() OVER () AS i, * FROM i)
+), often AS (
+  SELECT word, count(*) AS n FROM word WHERE word IN (SELECT word FROM asked) GROUP BY word
+), rare AS (
+  SELECT i, item, word, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY i ORDER BY coalesce(n, 0), word) AS k FROM asked LEFT JOIN often USING (word) QUALIFY k <= 3
+), three AS (
+  SELECT i, item, max(word) FILTER (WHERE k = 1) AS a, max(word) FILTER (WHERE k = 2) AS b, max(word) FILTER (WHERE k = 3) AS c FROM rare GROUP BY i, item HAVING min(n) > 0
+), placed AS (
+  SELECT * FROM word WHERE word IN (SELECT word FROM rare)
+), near AS (
+  SELECT r, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS items FROM (
+    SELECT DISTINCT x.r, item FROM three JOIN placed x ON x.word = a
+    WHERE (b IS NULL OR EXISTS (SELECT 1 FROM placed y WHERE y.r = x.r AND y.word = b AND y.p BETWEEN x.p - 20 AND x.p + 20))
+      AND (c IS NULL OR EXISTS (SELECT 1 FROM placed z WHERE z.r = x.r AND z.word = c AND z.p BETWEEN x.p - 20 AND x.p + 20))
+  ) GROUP BY r
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
-FROM d LEFT JOIN items ON items.r = d.r LEFT JOIN place ON place.r = d.r
+  coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near_items, coalesce(near.items, '') AS near_items
+FROM d LEFT JOIN items ON items.r = d.r LEFT JOIN place ON place.r = d.r LEFT JOIN near ON near.r = d.r
 """
 
 COLLOCATIONS = rf"""
@@ -125,4 +143,60 @@ WITH p AS (
 SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score FROM ranked WHERE rank <= 2000
 """
 
-SQL = {"op2_setsketch": NEAR_DUPLICATES, "op4_host_trie": URLS, "op9_spans": PERSONAL, "op10_inverted_index": CONTAMINATION, "op12_pattern_growth": COLLOCATIONS}
+
+def _add(way: str, cost: str, letters: str) -> str:
+    """A way (eight digits of cost, then letters) with more of both; null stays null."""
+    return f"printf('%08d', {way}[1:8]::INT + {cost}) || {way}[9:] || '{letters}'"
+
+
+def _least(*ways: str) -> str:
+    return f"least({', '.join(ways)})"
+
+
+_CUT = "CASE WHEN cut THEN 3 ELSE 0 END"
+_U = _least("u", _add("none", "3", "I"), _add("s", "3", "I"), _add("a", "3", "I"))
+_A = _least("a", _add("u", "3", "I"), _add("none", "6", "II"), _add("s", "6", "II"))
+
+CONVERSATIONS = rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations
+), crc AS (
+  SELECT name, len(name) AS n, 4294967295::UBIGINT AS c, 0 AS i FROM (SELECT DISTINCT name FROM raw)
+  UNION ALL
+  SELECT name, n, list_reduce(list_prepend(xor(c, ascii(name[i + 1])::UBIGINT), range(8)::UBIGINT[]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END), i + 1 FROM crc WHERE i < n
+), kind AS (
+  SELECT name, xor(c, 4294967295::UBIGINT) % 20 AS kind FROM crc WHERE i = n
+), turns AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM raw JOIN kind USING (name), LATERAL (SELECT unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)))
+), ordered AS (
+  SELECT *, coalesce(conv_id::VARCHAR, '') AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, E' \t\n\x0b\f\r') AS rest FROM turns
+), rows_ AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, rest = '' AS blank, right(rest, 1) NOT IN ('.', '!', '?') AS cut, role[1:1] AS r, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM ordered
+), way AS (
+  SELECT DISTINCT c, 0::BIGINT AS i, '00000000' AS none, NULL::VARCHAR AS s, NULL::VARCHAR AS u, NULL::VARCHAR AS a FROM rows_
+  UNION ALL
+  SELECT c, i, {_add("none", "4", "D")},
+    CASE WHEN gone OR r <> 's' THEN {_add("s", "4", "D")} ELSE {_least(_add("s", "4", "D"), _add("none", _CUT, "K"))} END,
+    CASE WHEN gone THEN {_add("u1", "4", "D")} WHEN r = 'u' THEN {_least(_add("u1", "4", "D"), _add("to_u", "3 + " + _CUT, "R"), _add("to_u", _CUT, "K"))} ELSE {_least(_add("u1", "4", "D"), _add("to_u", "3 + " + _CUT, "R"))} END,
+    CASE WHEN gone THEN {_add("a1", "4", "D")} WHEN r = 'a' THEN {_least(_add("a1", "4", "D"), _add("u1", "3 + " + _CUT, "R"), _add("u1", _CUT, "K"))} ELSE {_least(_add("a1", "4", "D"), _add("u1", "3 + " + _CUT, "R"))} END
+  FROM (SELECT rows_.c, rows_.i, rows_.r, rows_.cut, blank OR again AS gone, none, s, {_U} AS u1, {_A} AS a1, least(none, s, {_A}) AS to_u FROM way JOIN rows_ ON rows_.c = way.c AND rows_.i = way.i + 1)
+), done AS (
+  SELECT c, {_least("none", "a", _add("u", "3", "I"), _add("s", "6", "II"))} AS best FROM way QUALIFY row_number() OVER (PARTITION BY c ORDER BY i DESC) = 1
+), letter AS (
+  SELECT c, k, best[8 + k:8 + k] AS x, sum((best[8 + k:8 + k] <> 'I')::INT) OVER w AS i, sum((best[8 + k:8 + k] <> 'D')::INT) OVER w AS p
+  FROM done, LATERAL (SELECT unnest(range(1, length(best) - 7)) AS k) WINDOW w AS (PARTITION BY c ORDER BY k)
+), named AS (
+  SELECT letter.*, role, text, max((x = 'K' AND p = 1 AND r = 's')::INT) OVER (PARTITION BY letter.c) AS system FROM letter LEFT JOIN rows_ ON rows_.c = letter.c AND rows_.i = letter.i AND x <> 'I'
+), line AS (
+  SELECT c, string_agg(CASE x WHEN 'K' THEN role ELSE CASE WHEN (p - system) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE x WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS lines FROM named WHERE x <> 'D' GROUP BY c
+), counts AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE NOT blank AND again) AS duplicate,
+    count(*) FILTER (WHERE NOT blank AND NOT again AND cut) AS truncated, count(*) FILTER (WHERE i > 1 AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY c
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best[1:8]::BIGINT, 0) AS cost, coalesce(best[9:], '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, '') AS c FROM conversations) LEFT JOIN counts USING (c) LEFT JOIN done USING (c) LEFT JOIN line USING (c)
+"""
+
+SQL = {"op2_setsketch": NEAR_DUPLICATES, "op4_host_trie": URLS, "op9_spans": PERSONAL, "op10_inverted_index": CONTAMINATION, "op12_pattern_growth": COLLOCATIONS, "op13_retained_turns": CONVERSATIONS}
