@@ -4,9 +4,9 @@
    and those that can't be frequent are left out of what follows (a filter only: counts are taken from the ids).
 2. Each occurrence of a frequent pair becomes a pointer: the ids of the up to five words that start there, as far as the
    pairs are frequent and the piece goes. Equal pointers are added up in their task and again when they meet.
-3. Pointers are projected per prefix. A prefix of at most ``POINTERS`` pointers is one task's work: they lie there in order,
-   and phrases grow depth-first, each longer prefix being a run of its parent's run. Of a larger one only the sum is
-   taken, by a partial aggregation, and its longer prefixes are projected in turn; at five words a prefix is one pointer.
+3. Pointers are projected per prefix. A prefix of at most a ``SHARE``-th of all pointers (but for the bounds ``POINTERS``) is
+   one task's work: they lie there in order, and phrases grow depth-first, each longer prefix being a run of its parent's
+   run. Of a larger one only the sum is taken, by a partial aggregation, and its longer prefixes are projected in turn; at five words a prefix is one pointer.
 4. Each phrase is cut at each place and scored by its parts' counts in decimal arithmetic; the best of each language are
    ranked within salts and then over all.
 
@@ -34,7 +34,8 @@ from docloom.session import stored
 
 LONGEST = 5
 LEAST = 100
-POINTERS = 20_000
+SHARE = 256
+POINTERS = (1_000, 1_000_000)
 FEW = 4_000_000
 CHUNK = 500_000  # words counted at once
 CACHE = 400_000
@@ -217,9 +218,10 @@ def _few(df: DataFrame, limit: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def frequent_phrases(rows: DataFrame, *, least: int = LEAST, limit: int = POINTERS) -> DataFrame:
-    """(ws, a): phrases of 2 to 5 words that occur least times at least, from pointers (stored)."""
+def frequent_phrases(rows: DataFrame, *, least: int = LEAST, limit: int | None = None) -> DataFrame:
+    """(ws, a): phrases of 2 to 5 words that occur least times at least, from pointers (stored). limit: pointers that one task takes of a prefix."""
     found: DataFrame | None = None
+    limit = limit or min(max(rows.count() // SHARE, POINTERS[0]), POINTERS[1])
     for depth in range(1, LONGEST + 1):
         prefix = _COLUMNS[:depth]
         rows = rows.where(F.col(prefix[-1]) != 0)
@@ -249,7 +251,7 @@ def _broadcast(ids: DataFrame, few: int):
     return ids.sparkSession.sparkContext.broadcast(values)
 
 
-def counted(docs: DataFrame, *, lang: str = "lang", text: str = "text", least: int = LEAST, limit: int = POINTERS, few: int = FEW) -> tuple[DataFrame, DataFrame, DataFrame]:
+def counted(docs: DataFrame, *, lang: str = "lang", text: str = "text", least: int = LEAST, limit: int | None = None, few: int = FEW) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Frequent words (lang, word, id, f), frequent phrases (ws, a), and all words' number for each language (lang, n), all stored."""
     language = F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)) if lang in docs.columns else F.lit(NO_LANG)
     docs = docs.select(language.alias("lang"), F.col(text).cast("string").alias("text"))

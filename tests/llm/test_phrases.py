@@ -43,7 +43,7 @@ def make(seed):
     return [*docs, ("fr", None), ("fr", ""), (None, "..!"), ("en", "hot spot " * 20_000), ("en", "the"), *[("en", "same old passage that is repeated. Again")] * 150]
 
 
-@pytest.mark.parametrize("limit,few,chunk", [(20_000, 4_000_000, 500_000), (3, 4_000_000, 700), (3, 0, 700), (20_000, 10, 500_000)])
+@pytest.mark.parametrize("limit,few,chunk", [(None, 4_000_000, 500_000), (3, 4_000_000, 700), (3, 0, 700), (20_000, 10, 500_000)])
 def test_equals_brute_force(spark, monkeypatch, limit, few, chunk):
     monkeypatch.setattr(P, "CHUNK", chunk)
     docs = make(1)
