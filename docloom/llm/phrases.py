@@ -2,6 +2,7 @@
 
 1. Words are counted per language; each frequent word gets a 64-bit id. Pairs of neighbours are counted by their hashes,
    and those that can't be frequent are left out of what follows (a filter only: counts are taken from the ids).
+   Texts are kept as the words' numbers, so that they are taken apart twice in all.
 2. Each occurrence of a frequent pair becomes a pointer: the ids of the up to five words that start there, as far as the
    pairs are frequent and the piece goes. Equal pointers are added up in their task and again when they meet.
 3. Pointers are projected per prefix. A prefix of at most a ``SHARE``-th of all pointers (but for the bounds ``POINTERS``) is
@@ -37,7 +38,7 @@ LEAST = 100
 SHARE = 256
 POINTERS = (1_000, 1_000_000)
 FEW = 4_000_000
-CHUNK = 500_000  # words counted at once
+CHUNK = 1_000_000  # words counted at once
 CACHE = 400_000
 RANKED = 100_000  # phrases ranked by one task
 NO_LANG = "und"
@@ -57,7 +58,7 @@ def word_id(lang: str, word: bytes) -> int:
 
 
 class _Ids(dict):
-    """Word to id; 0 for BREAK and words that aren't frequent (where the frequent ones are given)."""
+    """Word to number: its place among the frequent ids (from 1), 0 for BREAK and words that aren't frequent; its id where those aren't given."""
 
     def __init__(self, lang: str, frequent: np.ndarray | None):
         self.lang, self.frequent = lang, frequent
@@ -68,8 +69,8 @@ class _Ids(dict):
             self.clear()
             self[BREAK] = 0
         x = word_id(self.lang, word) if word != BREAK else 0
-        if x and self.frequent is not None and not _among(np.array([x]), self.frequent)[0]:
-            x = 0
+        if x and self.frequent is not None:
+            x = int(np.searchsorted(self.frequent, x)) + 1 if _among(np.array([x]), self.frequent)[0] else 0
         self[word] = x
         return x
 
@@ -112,23 +113,35 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "lang string, word string, f bigint").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-def _id_runs(batches: Iterator[pa.RecordBatch], frequent: np.ndarray | None) -> Iterator[np.ndarray]:
-    """Ids of the words of many texts in a row, 0 where a phrase can't go on."""
-    ids: dict[str, _Ids] = {}
-    held: list[np.ndarray] = []
-    total = 0
-    for lang, found in _texts(batches):
-        if lang not in ids:
-            if sum(map(len, ids.values())) > CACHE:
-                ids.clear()
-            ids[lang] = _Ids(lang, frequent)
-        held.append(np.fromiter(map(ids[lang].__getitem__, found), np.int64, len(found)))
-        total += len(found)
-        if total >= CHUNK:
-            yield np.concatenate(held)
-            held, total = [], 0
-    if held:
-        yield np.concatenate(held)
+def numbers(docs: DataFrame, frequent) -> DataFrame:
+    """(ids): the numbers of the words of many texts in a row, 0 where a phrase can't go on, in four bytes each (eight without ``frequent``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frequent and frequent.value
+        kind = np.int64 if known is None else np.int32
+        ids: dict[str, _Ids] = {}
+        held: list[bytes] = []
+        total = 0
+        for lang, found in _texts(batches):
+            if lang not in ids:
+                if sum(map(len, ids.values())) > CACHE:
+                    ids.clear()
+                ids[lang] = _Ids(lang, known)
+            held.append(np.fromiter(map(ids[lang].__getitem__, found), kind, len(found)).tobytes())
+            total += len(found)
+            if total >= CHUNK:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)])], ["ids"])
+                held, total = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)])], ["ids"])
+
+    return docs.mapInArrow(run, "ids binary")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], dense: bool) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for raw in batch.column(0):
+            yield np.frombuffer(raw.as_buffer(), np.int32 if dense else np.int64).astype(np.int64)
 
 
 def _pair_hashes(ids: np.ndarray) -> np.ndarray:
@@ -136,27 +149,29 @@ def _pair_hashes(ids: np.ndarray) -> np.ndarray:
     return mix(u[:-1] * np.uint64(0x9E3779B97F4A7C15) + u[1:]).view(np.int64)
 
 
-def pair_counts(docs: DataFrame, frequent) -> DataFrame:
+def pair_counts(runs: DataFrame, dense: bool) -> DataFrame:
     """(h, n): how often each pair of neighbours with frequent words occurs, by its hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids in _id_runs(batches, frequent and frequent.value):
+        for ids in _runs(batches, dense):
             both = (ids[:-1] != 0) & (ids[1:] != 0)
             h, n = np.unique(_pair_hashes(ids)[both], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    return docs.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    return runs.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def pointers(docs: DataFrame, frequent, pairs) -> DataFrame:
-    """(w1 .. w5, n): the words from each occurrence of a frequent pair on, 0 after its end, and how often they occur so."""
+def pointers(runs: DataFrame, frequent, pairs) -> DataFrame:
+    """(w1 .. w5, n): the ids of words from each occurrence of a frequent pair on, 0 after its end, and how often they occur so."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids in _id_runs(batches, frequent and frequent.value):
+        names = None if frequent is None else np.concatenate([[0], frequent.value])
+        for ids in _runs(batches, frequent is not None):
             ids = np.concatenate([ids, np.zeros(LONGEST, np.int64)])
             goes_on = (ids[:-1] != 0) & (ids[1:] != 0)
             if pairs is not None:
-                goes_on &= _among(_pair_hashes(ids), pairs.value)
+                some = np.flatnonzero(goes_on)
+                goes_on[some] = _among(_pair_hashes(ids)[some], pairs.value)
             at = np.flatnonzero(goes_on)
             columns, live = [ids[at]], np.ones(len(at), bool)
             for d in range(1, LONGEST):
@@ -172,10 +187,11 @@ def pointers(docs: DataFrame, frequent, pairs) -> DataFrame:
                 new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
             first = np.flatnonzero(new)
             n = np.diff(np.concatenate([first, [len(at)]]))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[first]) for c in columns), pa.array(n.astype(np.int64))], [*_COLUMNS, "n"])
+            columns = [c[first] if names is None else names[c[first]] for c in columns]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n.astype(np.int64))], [*_COLUMNS, "n"])
 
     words = ", ".join(f"{c} bigint" for c in _COLUMNS)
-    return docs.mapInArrow(project, f"{words}, n bigint").groupBy(*_COLUMNS).agg(F.sum("n").alias("n"))
+    return runs.mapInArrow(project, f"{words}, n bigint").groupBy(*_COLUMNS).agg(F.sum("n").alias("n"))
 
 
 def grown(columns: list[np.ndarray], n: np.ndarray, depth: int, least: int) -> Iterator[tuple[list[int], int]]:
@@ -265,9 +281,9 @@ def counted(docs: DataFrame, *, lang: str = "lang", text: str = "text", least: i
 
     words = stored(every.where(F.col("f") >= least).mapInArrow(named, "lang string, word string, f bigint, id bigint"), "frequent")
     frequent = _broadcast(words.select("id"), few)
-    pairs = stored(pair_counts(docs, frequent).where(F.col("n") >= least).select("h"), "pairs")
-    pairs = _broadcast(pairs, few)
-    rows = stored(pointers(docs, frequent, pairs), "pointers")
+    runs = stored(numbers(docs, frequent), "numbers", compression="zstd")
+    pairs = _broadcast(stored(pair_counts(runs, frequent is not None).where(F.col("n") >= least).select("h"), "pairs"), few)
+    rows = stored(pointers(runs, frequent, pairs), "pointers")
     return words, stored(frequent_phrases(rows, least=least, limit=limit), "phrases"), totals
 
 
