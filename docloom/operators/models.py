@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 from docloom.functions import vectors as V
 from docloom.operators import fusion, messages, search
+from docloom.operators.terms import TermIndex
 from docloom.session import stored
 
 Model = Callable[[Column], Column]
@@ -63,12 +64,16 @@ def multi_query(rows: DataFrame, queries: DataFrame, embed: Column, **how) -> Da
     return hits.withColumn("query_id", F.substring_index("query_id", "#", 1)).groupBy("query_id", row_id).agg(F.min("rank").alias("rank"))
 
 
-def hybrid(rows: DataFrame, queries: DataFrame, terms: list[str], *, k: int = 4, fetch: int = 20, row_id: str = "id", query_id: str = "query_id", text: str = "text", weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
-    """Dense and sparse search of each query (query_id and query_embedding; the terms are the same), fused by reciprocal ranks."""
-    dense = search.top_k(rows, queries, k=fetch, row_id=row_id, query_id=query_id).select(query_id, F.lit(1).alias("list_id"), row_id, "rank")
-    sparse = search.bm25(rows, terms, text=text, row_id=row_id).orderBy(F.desc("score"), row_id).limit(fetch)
-    sparse = search.ranked(sparse, [], [F.desc("score"), F.col(row_id)], fetch).select(F.lit(2).alias("list_id"), row_id, "rank")
-    sparse = queries.select(query_id).crossJoin(F.broadcast(sparse))
+def hybrid(rows: DataFrame, queries: DataFrame, *, k: int = 4, fetch: int = 20, row_id: str = "id", query_id: str = "query_id", text: str = "text", query_text: str = "query_text", weights: tuple[float, float] = (0.5, 0.5), where: Column | None = None, index: TermIndex | None = None) -> DataFrame:
+    """Dense and sparse search of each query (query_id, query_embedding, query_text), fused by reciprocal ranks: query_id, row_id, score, position.
+
+    index: one made before, with the columns that ``where`` asks for; else the texts are indexed here.
+    """
+    keep = [c for c in rows.columns if c not in (row_id, text, "embedding")]
+    index = index or TermIndex.of_texts(rows, text=text, row_id=row_id, keep=keep if where is not None else None)
+    queries = stored(queries.select(query_id, "query_embedding", query_text), "queries")
+    dense = search.top_k(rows, queries, k=fetch, row_id=row_id, query_id=query_id, where=where).select(query_id, F.lit(1).alias("list_id"), row_id, "rank")
+    sparse = index.search(index.words(queries, text=query_text, query_id=query_id), k=fetch, query_id=query_id, where=where).select(query_id, F.lit(2).alias("list_id"), row_id, "rank")
     fused = fusion.reciprocal_rank_fusion(dense.unionByName(sparse), dict(zip((1, 2), weights, strict=True)), key=row_id, by=[query_id])
     return fused.where(F.col("position") <= k)
 

@@ -95,13 +95,6 @@ def cluster_representatives(spark: SparkSession, d: str) -> DataFrame:
     return models.cluster_representatives(table(spark, d, "embeddings"), 5, row_id="vec_id").select("cluster", "vec_id")
 
 
-@query()
-def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text").withColumn("embedding", search.fake_embedding(16)("text"))
-    q = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    return models.hybrid(docs, q, ["thandedble", "anea"], row_id="doc_id")
-
-
 @query("SELECT event_id, event_type, CASE event_type WHEN 'click' THEN value * 2 WHEN 'view' THEN -value ELSE 0e0 END AS routed, try_cast(json_extract_string(props, '$.none') AS INT) IS NULL AS missing FROM events")
 def route_by_key(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")

@@ -39,33 +39,6 @@ def test_vector_topk_by_brute_force(spark):
     assert {(r["query_id"], r["vec_id"]) for r in QUERIES["vector_topk"](spark, SF).collect()} == want
 
 
-def test_hybrid_search_by_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", search.fake_embedding(16)("text").alias("v")).collect()
-    words = {r["doc_id"]: re.findall("[a-z0-9]+", (r["text"] or "").lower()) for r in docs}
-    mean, terms = sum(map(len, words.values())) / len(words), ("thandedble", "anea")
-    df = {t: sum(t in w for w in words.values()) for t in terms}
-    weigh = lambda w, t: math.log(1 + (len(words) - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean))
-    sparse = sorted((-sum(weigh(w, t) for t in terms), i) for i, w in words.items() if any(t in w for t in terms))[:20]
-    ids, m = [r["doc_id"] for r in docs], np.array([r["v"] for r in docs])
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
-    want = {}
-    for q in (i for i in ids if i % 20 == 0):
-        near = np.round(m @ m[ids.index(q)], 9)
-        dense = sorted(zip(-near, ids, strict=True))[:20]
-        fused = {}
-        for n, found in enumerate((dense, sparse)):
-            for rank, (_, i) in enumerate(found, 1):
-                score, first = fused.get(i, (0, (n, rank)))
-                fused[i] = (score + 0.5 / (rank + 60), first)
-        want[q] = sorted(((-round(s, 12), f, i) for i, (s, f) in fused.items()))[:4]
-    got = {}
-    for r in QUERIES["hybrid_search"](spark, SF).collect():
-        got.setdefault(r["query_id"], []).append((r["position"], round(r["score"], 8)))
-        assert 1 <= r["position"] <= 4
-    assert {q: [round(-s, 8) for s, _, _ in w] for q, w in want.items()} == {q: [s for _, s in sorted(x)] for q, x in got.items()}
-    assert max(i for _, i in sparse) >= 500
-
-
 def test_json_queries_take_all_events(spark):
     events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id", "props").collect()
     got = QUERIES["json_equality"](spark, SF).collect()
