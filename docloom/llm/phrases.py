@@ -1,13 +1,14 @@
 """Collocations by contiguous pattern growth: occurrences projected per frequent prefix, phrases grown to the right.
 
-1. Words are counted per language; each frequent word gets a 64-bit id. Pairs of neighbours are counted by their hashes,
-   and those that can't be frequent are left out of what follows (a filter only: counts are taken from the ids).
+1. Words are counted per language; each frequent word gets a 64-bit id. Pairs of neighbours are counted by their numbers
+   (or hashes), and those that can't be frequent are left out of what follows (a filter only: counts are taken from the ids).
    Texts are kept as the words' numbers, so that they are taken apart twice in all.
 2. Each occurrence of a frequent pair becomes a pointer: the ids of the up to five words that start there, as far as the
    pairs are frequent and the piece goes. Equal pointers are added up in their task and again when they meet.
 3. Pointers are projected per prefix. A prefix of at most a ``SHARE``-th of all pointers (but for the bounds ``POINTERS``) is
    one task's work: they lie there in order, and phrases grow depth-first, each longer prefix being a run of its parent's
-   run. Of a larger one only the sum is taken, by a partial aggregation, and its longer prefixes are projected in turn; at five words a prefix is one pointer.
+   run. Of a larger one only the sum is taken, by a partial aggregation, and its longer prefixes are tasks of their own;
+   at five words a prefix is one pointer.
 4. Each phrase is cut at each place and scored by its parts' counts in decimal arithmetic; the best of each language are
    ranked within salts and then over all.
 
@@ -144,18 +145,21 @@ def _runs(batches: Iterator[pa.RecordBatch], dense: bool) -> Iterator[np.ndarray
             yield np.frombuffer(raw.as_buffer(), np.int32 if dense else np.int64).astype(np.int64)
 
 
-def _pair_hashes(ids: np.ndarray) -> np.ndarray:
+def _pairs(ids: np.ndarray, dense: bool) -> np.ndarray:
+    """A number for each pair of neighbours: both numbers side by side, or a hash of their ids."""
+    if dense:
+        return ids[:-1] << 32 | ids[1:]
     u = ids.view(np.uint64)
     return mix(u[:-1] * np.uint64(0x9E3779B97F4A7C15) + u[1:]).view(np.int64)
 
 
 def pair_counts(runs: DataFrame, dense: bool) -> DataFrame:
-    """(h, n): how often each pair of neighbours with frequent words occurs, by its hash."""
+    """(h, n): how often each pair of neighbours with frequent words occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids in _runs(batches, dense):
             both = (ids[:-1] != 0) & (ids[1:] != 0)
-            h, n = np.unique(_pair_hashes(ids)[both], return_counts=True)
+            h, n = np.unique(_pairs(ids, dense)[both], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
 
     return runs.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
@@ -171,7 +175,7 @@ def pointers(runs: DataFrame, frequent, pairs) -> DataFrame:
             goes_on = (ids[:-1] != 0) & (ids[1:] != 0)
             if pairs is not None:
                 some = np.flatnonzero(goes_on)
-                goes_on[some] = _among(_pair_hashes(ids)[some], pairs.value)
+                goes_on[some] = _among(_pairs(ids, frequent is not None)[some], pairs.value)
             at = np.flatnonzero(goes_on)
             columns, live = [ids[at]], np.ones(len(at), bool)
             for d in range(1, LONGEST):
@@ -210,16 +214,18 @@ def grown(columns: list[np.ndarray], n: np.ndarray, depth: int, least: int) -> I
         stack += [(lo + a, lo + b, d + 1) for a, b in zip(first[enough].tolist(), ends[enough].tolist(), strict=True)]
 
 
-def _grow(rows: DataFrame, depth: int, least: int) -> DataFrame:
-    """(ws, a) of all prefixes of depth words; one task holds a prefix's pointers at a time."""
+def _grow(rows: DataFrame, least: int) -> DataFrame:
+    """(ws, a) from pointers with the ``depth`` of the prefix whose task they belong to; a task holds a prefix's pointers at a time."""
+    keys = [_COLUMNS[0], *(f"k{d}" for d in range(2, LONGEST + 1))]
+    keyed = rows.select(*_COLUMNS, "n", "depth", *(F.when(F.col("depth") >= d, F.col(_COLUMNS[d - 1])).otherwise(0).alias(f"k{d}") for d in range(2, LONGEST + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ws, a = [], []
         take = lambda: pa.RecordBatch.from_arrays([pa.array(ws, pa.list_(pa.int64())), pa.array(a, pa.int64())], ["ws", "a"])
-        for t in _groups(batches, _COLUMNS[:depth]):
+        for t in _groups(batches, keys):
             n = t["n"].to_numpy()
             if n.sum() >= least:
-                for phrase, count in grown([t[c].to_numpy() for c in _COLUMNS], n, depth, least):
+                for phrase, count in grown([t[c].to_numpy() for c in _COLUMNS], n, t["depth"][0].as_py(), least):
                     ws.append(phrase)
                     a.append(count)
             if len(a) > 10_000:
@@ -227,7 +233,7 @@ def _grow(rows: DataFrame, depth: int, least: int) -> DataFrame:
                 ws, a = [], []
         yield take()
 
-    return rows.repartition(*_COLUMNS[:depth]).sortWithinPartitions(*_COLUMNS).mapInArrow(run, "ws array<bigint>, a bigint")
+    return keyed.repartition(*keys).sortWithinPartitions(*_COLUMNS).mapInArrow(run, "ws array<bigint>, a bigint")
 
 
 def _few(df: DataFrame, limit: int = 500_000) -> DataFrame:
@@ -236,27 +242,23 @@ def _few(df: DataFrame, limit: int = 500_000) -> DataFrame:
 
 def frequent_phrases(rows: DataFrame, *, least: int = LEAST, limit: int | None = None) -> DataFrame:
     """(ws, a): phrases of 2 to 5 words that occur least times at least, from pointers (stored). limit: pointers that one task takes of a prefix."""
-    found: DataFrame | None = None
     limit = limit or min(max(rows.count() // SHARE, POINTERS[0]), POINTERS[1])
-    for depth in range(1, LONGEST + 1):
-        prefix = _COLUMNS[:depth]
-        rows = rows.where(F.col(prefix[-1]) != 0)
-        last = depth == LONGEST
-        if last:
-            hot = rows.groupBy(*prefix).agg(F.sum("n").alias("a"))
-        else:
-            hot = rows.groupBy(*prefix).agg(F.count("*").alias("pointers"), F.sum("n").alias("a")).where(F.col("pointers") > limit)
-        hot = stored(hot.where(F.col("a") >= least).select(*prefix, "a"), "prefixes")
-        own = hot.select(F.array(*prefix).alias("ws"), "a")
-        if last:
-            return found.unionByName(own)
-        named = _few(hot.select(*prefix))
-        part = stored(_grow(rows.join(named, prefix, "left_anti"), depth, least), "phrases")
-        part = part.unionByName(own) if depth > 1 else part
-        found = part if found is None else found.unionByName(part)
-        if not hot.take(1):
-            return found
-        rows = stored(rows.join(named, prefix, "left_semi"), "pointers")
+    sizes, found = rows.withColumn("pointers", F.lit(1)), []
+    depth = F.lit(LONGEST)
+    for d in range(LONGEST - 1, 0, -1):  # sums of longer prefixes add up to those of shorter ones
+        prefix = _COLUMNS[:d]
+        sizes = stored(sizes.where(F.col(prefix[-1]) != 0).groupBy(*prefix).agg(F.sum("pointers").alias("pointers"), F.sum("n").alias("n")), "sizes")
+        hot = stored(sizes.where(F.col("pointers") > limit).select(*prefix, "n", F.lit(True).alias(f"hot{d}")), "hot")
+        if d > 1:
+            found.append(hot.where(F.col("n") >= least).select(F.array(*prefix).alias("ws"), F.col("n").alias("a")))
+        rows = rows.join(_few(hot.drop("n")), prefix, "left")
+        depth = F.when(F.col(f"hot{d}").isNull(), d).otherwise(depth)
+    # a pointer that is no longer than its hot prefixes is counted with them
+    length = sum((F.col(c) != 0).cast("int") for c in _COLUMNS)
+    out = _grow(rows.withColumn("depth", depth).where(F.col("depth") <= length), least)
+    for more in found:
+        out = out.unionByName(more)
+    return out
 
 
 def _broadcast(ids: DataFrame, few: int):
