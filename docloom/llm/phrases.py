@@ -41,6 +41,7 @@ POINTERS = (1_000, 1_000_000)
 FEW = 4_000_000
 CHUNK = 1_000_000  # words counted at once
 CACHE = 400_000
+HELD = 2_000_000  # rows of at most six numbers that a task adds up
 RANKED = 100_000  # phrases ranked by one task
 NO_LANG = "und"
 
@@ -153,14 +154,43 @@ def _pairs(ids: np.ndarray, dense: bool) -> np.ndarray:
     return mix(u[:-1] * np.uint64(0x9E3779B97F4A7C15) + u[1:]).view(np.int64)
 
 
+def _added(parts: Iterator[tuple[list[np.ndarray], np.ndarray]]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Distinct rows of a task's parts (columns, counts) and the sums of their counts; up to ``HELD`` rows are held."""
+
+    def once(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        h = columns[0] if len(columns) == 1 else np.zeros(len(n), np.uint64)
+        for c in columns if len(columns) > 1 else []:
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + c.view(np.uint64))
+        order = np.argsort(h)
+        columns = [c[order] for c in columns]
+        new = np.ones(len(n), bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        first = np.flatnonzero(new)
+        return [c[first] for c in columns], np.add.reduceat(n[order], first) if len(first) else n
+
+    held: list[tuple[list[np.ndarray], np.ndarray]] = []
+    together = lambda: ([np.concatenate(c) for c in zip(*(x for x, _ in held), strict=True)], np.concatenate([n for _, n in held]))
+    for columns, n in parts:
+        held.append(once(columns, n))
+        if len(held) > 1 and sum(len(n) for _, n in held) > HELD:
+            held = [once(*together())]
+            if len(held[0][1]) > HELD // 2:
+                yield held.pop()
+    if held:
+        yield once(*together())
+
+
 def pair_counts(runs: DataFrame, dense: bool) -> DataFrame:
     """(h, n): how often each pair of neighbours with frequent words occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids in _runs(batches, dense):
-            both = (ids[:-1] != 0) & (ids[1:] != 0)
-            h, n = np.unique(_pairs(ids, dense)[both], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
+        def found() -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+            for ids in _runs(batches, dense):
+                both = (ids[:-1] != 0) & (ids[1:] != 0)
+                yield [_pairs(ids, dense)[both]], np.ones(int(both.sum()), np.int64)
+
+        for (h,), n in _added(found()):
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
 
     return runs.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
@@ -170,29 +200,24 @@ def pointers(runs: DataFrame, frequent, pairs) -> DataFrame:
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = None if frequent is None else np.concatenate([[0], frequent.value])
-        for ids in _runs(batches, frequent is not None):
-            ids = np.concatenate([ids, np.zeros(LONGEST, np.int64)])
-            goes_on = (ids[:-1] != 0) & (ids[1:] != 0)
-            if pairs is not None:
-                some = np.flatnonzero(goes_on)
-                goes_on[some] = _among(_pairs(ids, frequent is not None)[some], pairs.value)
-            at = np.flatnonzero(goes_on)
-            columns, live = [ids[at]], np.ones(len(at), bool)
-            for d in range(1, LONGEST):
-                live = live & goes_on[np.minimum(at + d - 1, len(goes_on) - 1)]
-                columns.append(np.where(live, ids[at + d], 0))
-            h = np.zeros(len(at), np.uint64)
-            for c in columns:
-                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + c.view(np.uint64))
-            order = np.argsort(h)
-            columns = [c[order] for c in columns]
-            new = np.ones(len(at), bool)
-            if len(at):
-                new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-            first = np.flatnonzero(new)
-            n = np.diff(np.concatenate([first, [len(at)]]))
-            columns = [c[first] if names is None else names[c[first]] for c in columns]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n.astype(np.int64))], [*_COLUMNS, "n"])
+
+        def found() -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+            for ids in _runs(batches, frequent is not None):
+                ids = np.concatenate([ids, np.zeros(LONGEST, np.int64)])
+                goes_on = (ids[:-1] != 0) & (ids[1:] != 0)
+                if pairs is not None:
+                    some = np.flatnonzero(goes_on)
+                    goes_on[some] = _among(_pairs(ids, frequent is not None)[some], pairs.value)
+                at = np.flatnonzero(goes_on)
+                columns, live = [ids[at]], np.ones(len(at), bool)
+                for d in range(1, LONGEST):
+                    live = live & goes_on[np.minimum(at + d - 1, len(goes_on) - 1)]
+                    columns.append(np.where(live, ids[at + d], 0))
+                yield columns, np.ones(len(at), np.int64)
+
+        for columns, n in _added(found()):
+            columns = [c if names is None else names[c] for c in columns]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n)], [*_COLUMNS, "n"])
 
     words = ", ".join(f"{c} bigint" for c in _COLUMNS)
     return runs.mapInArrow(project, f"{words}, n bigint").groupBy(*_COLUMNS).agg(F.sum("n").alias("n"))

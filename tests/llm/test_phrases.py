@@ -46,6 +46,7 @@ def make(seed):
 @pytest.mark.parametrize("limit,few,chunk", [(None, 4_000_000, 500_000), (3, 4_000_000, 700), (3, 0, 700), (20_000, 10, 500_000)])
 def test_equals_brute_force(spark, monkeypatch, limit, few, chunk):
     monkeypatch.setattr(P, "CHUNK", chunk)
+    monkeypatch.setattr(P, "HELD", 2 * chunk)
     docs = make(1)
     df = spark.createDataFrame([(a, t, 1, "z") for a, t in docs], "lang string, text string, a int, id string").repartition(3)
     got = P.collocations(df, limit=limit, few=few)
