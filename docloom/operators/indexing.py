@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.numbering import numbered
+from docloom.session import stored
 
 STATE = "namespace string, key string, group_id string, updated_at double"
 CLEANUPS = (None, "incremental", "full", "scoped_full")
@@ -89,16 +90,19 @@ def classify(batch: DataFrame, state: DataFrame, namespace: str, *, key: str = "
     """batch with action: added, updated (known, forced), skipped (known), or duplicate (of an earlier row of the batch).
 
     The first place of each key is found by a partial aggregation; only rows at that place are numbered, and later ones of
-    a key are dealt over ``DEALT`` groups, so that a key with very many rows isn't one task's.
+    a key are dealt over ``DEALT`` groups, so that a key with very many rows isn't one task's. Without an order, rows are
+    stored with a number, which is their order.
     """
-    at = F.col(order or key)
+    if order is None:
+        batch = stored(batch.withColumn("__row", F.monotonically_increasing_id()), "batch")
+    at = F.col(order or "__row")
     first = batch.groupBy(key).agg(F.min(at).alias("__first"))
     known = state.where(F.col("namespace") == namespace).select(F.col("key").alias(key), F.lit(True).alias("__known"))
     rows = batch.join(first, key, "left").withColumn("__late", F.coalesce(at > F.col("__first"), F.lit(False)))
     w = Window.partitionBy(key, F.when(F.col("__late"), F.pmod(F.xxhash64(at), F.lit(DEALT)))).orderBy(at)
     rows = rows.withColumn("__n", F.row_number().over(w)).join(known, key, "left")
     action = F.when((F.col("__n") > 1) | F.col("__late"), "duplicate").when(F.col("__known").isNull(), "added").otherwise("updated" if force else "skipped")
-    return rows.withColumn("action", action).drop("__n", "__known", "__first", "__late")
+    return rows.withColumn("action", action).drop("__n", "__known", "__first", "__late", "__row")
 
 
 @dataclass

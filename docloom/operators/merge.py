@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.folds import folded
+
 
 def usage_totals(df: DataFrame, by: list[str], leaves: list[str]) -> DataFrame:
     """Sums of usage counts (struct paths allowed), null as 0, by group."""
@@ -45,15 +45,29 @@ def deep_merge(left: object, right: object) -> object:
     return left + right
 
 
-def folded_json(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """JSON chunks of each group merged in order: by, value. A group (one message's chunks) is merged in one pandas call."""
+class _Merged:
+    """JSON values merged one after the other."""
+
+    def __init__(self, value: object = None, some: bool = False):
+        self.value, self.some = value, some
+
+    def step(self, text: str | None) -> list[tuple]:
+        if text is not None:
+            self.value, self.some = (deep_merge(self.value, json.loads(text)) if self.some else json.loads(text)), True
+        return []
+
+    def end(self) -> list[tuple]:
+        return [(json.dumps(self.value) if self.some else None,)]
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [json.loads(x) for x in group.sort_values(order)[value] if x is not None]
-        return pd.DataFrame({by: [group[by].iloc[0]], value: [json.dumps(reduce(deep_merge, parts)) if parts else None]})
+    def dump(self) -> str:
+        return json.dumps([self.value, self.some])
 
-    kind = dict(df.dtypes)[by]
-    return df.groupBy(by).applyInPandas(fold, f"{by} {kind}, {value} string")
+    load = classmethod(lambda cls, text: cls(*json.loads(text)))
+
+
+def folded_json(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """JSON chunks of each group merged in order: by, value. Of a stream, what is merged after each micro-batch."""
+    return folded(df, _Merged, f"{value} string", by=by, order=[order], values=[value])
 
 
 def collapsed_metadata(df: DataFrame, by: list[str], order: str, metadata: str = "metadata") -> DataFrame:
@@ -100,24 +114,53 @@ def newest(df: DataFrame, most: int, order: str) -> DataFrame:
     return df.orderBy(F.desc(order)).limit(most)
 
 
+class Bucket:
+    """A token bucket: one request takes a token; tokens come in at a rate up to a size."""
+
+    def __init__(self, per_second: float, size: float):
+        self.per_second, self.size, self.left, self.last = per_second, float(size), float(size), None
+
+    def take(self, time: float) -> bool:
+        """Whether a request at a time (in seconds) goes through. The clock doesn't go back: an earlier time counts as the last."""
+        if self.last is not None:
+            time = max(time, self.last)
+            self.left = min(self.size, self.left + (time - self.last) * self.per_second)
+        self.last = time
+        allowed = self.left >= 1
+        self.left -= allowed
+        return allowed
+
+
 def rate_limited(df: DataFrame, per_second: float, bucket: float, *, by: str, time: str, order: str | None = None) -> DataFrame:
     """df with allowed: a token bucket of a size, filled at a rate, for each key; requests in order of time (in seconds), then of ``order``.
 
-    A key's times are folded in one pandas call; contents don't enter it.
+    A key's requests pass through a task one after the other, and what is kept of a key is two numbers. Also of a stream:
+    requests of a micro-batch are taken in that order, and those that come in a later one after them.
     """
+    names = df.columns
+    at = names.index(time)
+    row = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != by)
+
+    class Limited(Bucket):
+        def __init__(self):
+            super().__init__(per_second, bucket)
+
+        def step(self, *value) -> list[tuple]:
+            when = value[at]
+            when = when.timestamp() if hasattr(when, "timestamp") else float(when)
+            return [(*(v for n, v in zip(names, value, strict=True) if n != by), bool(self.take(when)))]
+
+        def end(self) -> list[tuple]:
+            return []
+
+        def dump(self) -> str:
+            return json.dumps([self.left, self.last])
+
+        @classmethod
+        def load(cls, text: str):
+            new = cls()
+            new.left, new.last = json.loads(text)
+            return new
 
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("__t", kind="stable")
-        left, last, allowed = float(bucket), None, []
-        for t in group["__t"].tolist():
-            left = min(float(bucket), left + (0.0 if last is None else t - last) * per_second)
-            last = t
-            allowed.append(left >= 1)
-            left -= left >= 1
-        return pd.DataFrame({by: group[by], "__n": range(len(group)), "allowed": allowed})
-
-    times = df.select(by, F.col(time).cast("double").alias("__t"))
-    placed = times.groupBy(by).applyInPandas(take, f"`{by}` {dict(df.dtypes)[by]}, __n int, allowed boolean")
-    first = [F.col(time).cast("double"), *([F.col(order)] if order else [])]
-    numbered = df.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(*first)) - 1)
-    return numbered.join(placed, [by, "__n"]).drop("__n")
+    got = folded(df, Limited, f"{row}, allowed boolean", by=by, order=[time, *([order] if order else [])], values=names)
+    return got.select(*names, "allowed")

@@ -301,7 +301,6 @@ def message_roles(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("asked"), F.max("turn").alias("last"))
 
 
-@query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+@query("SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
 def first_events(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    return E.once(e.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id")), ["user_id", "event_type"]).select("user_id", "event_id")
+    return E.once(table(spark, d, "events"), ["user_id", "event_type"], ties="event_id").select("user_id", "event_id", "value")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docloom.operators.fusion import first_by_key
+
 
 def tumbling(events: DataFrame, size: str, by: list[str], aggregates: list[Column], *, time: str = "ts", late: str | None = None, slide: str | None = None) -> DataFrame:
     """Aggregates by event-time window (and slide); late: the watermark, for streams."""
@@ -23,10 +25,10 @@ def sessions(events: DataFrame, gap: str, by: list[str], aggregates: list[Column
     return rows.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *by, *[c for c in rows.columns if c not in ("session_window", *by)])
 
 
-def once(events: DataFrame, keys: list[str], *, time: str = "ts", late: str = "1 hour") -> DataFrame:
-    """The first event of each key, as long as the watermark remembers it."""
+def once(events: DataFrame, keys: list[str], *, time: str = "ts", late: str = "1 hour", ties: str | None = None) -> DataFrame:
+    """The first event of each key: by time, then ``ties``, in batch (found by a partial aggregation); of a stream, the first to arrive, as long as the watermark remembers it."""
     if not events.isStreaming:
-        return events.dropDuplicates(keys)
+        return first_by_key(events, keys, [time, ties] if ties else [time])
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import copy
 import json
-import xml.etree.ElementTree as ET
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.evaluate import partial_json
+from docloom.operators.folds import folded
+from docloom.streaming.incremental import JsonPieces, XmlPieces
 
 
 def _places(pointer: str) -> list[str]:
@@ -37,7 +36,11 @@ def difference(old: object, new: object, at: tuple = ()) -> list[dict]:
 
 def patched(value: object, ops: list[dict]) -> object:
     """A value after patch operations: add, replace and remove. A path that isn't there is an error."""
-    value = copy.deepcopy(value)
+    return applied(copy.deepcopy(value), ops)
+
+
+def applied(value: object, ops: list[dict]) -> object:
+    """The same on the value itself, which is changed."""
     for op in ops:
         if op["op"] not in ("add", "replace", "remove"):
             raise ValueError(f"unknown operation {op['op']!r}")
@@ -64,42 +67,100 @@ def patched(value: object, ops: list[dict]) -> object:
     return value
 
 
+class _Text:
+    """The text so far."""
+
+    def __init__(self, text: str = ""):
+        self.text = text
+
+    def step(self, seq: object, text: str | None) -> list[tuple]:
+        self.text += text or ""
+        return [(seq, text, self.text)]
+
+    def end(self) -> list[tuple]:
+        return []
+
+    def dump(self) -> str:
+        return self.text
+
+    load = classmethod(lambda cls, text: cls(text))
+
+
 def cumulative_text(chunks: DataFrame, *, run: str = "run_id", seq: str = "seq", text: str = "text") -> DataFrame:
-    """Each chunk with the text of its run up to it."""
-    upto = F.array_join(F.collect_list(F.coalesce(F.col(text), F.lit(""))).over(Window.partitionBy(run).orderBy(seq)), "")
-    return chunks.withColumn("so_far", upto)
+    """run, seq, text and so_far: each chunk with the text of its run up to it. Also of a stream, whose state is that text."""
+    return folded(chunks, _Text, f"`{seq}` {dict(chunks.dtypes)[seq]}, `{text}` string, so_far string", by=run, order=[seq], values=[seq, text])
+
+
+class _Patches:
+    """Patches of JSON in pieces."""
+
+    def __init__(self, pieces: JsonPieces | None = None):
+        self.pieces = pieces or JsonPieces()
+
+    def step(self, seq: object, text: str | None) -> list[tuple]:
+        ops = self.pieces.feed(text)
+        return [(seq, json.dumps(ops))] if ops else []
+
+    def end(self) -> list[tuple]:
+        return []
+
+    def dump(self) -> str:
+        return self.pieces.dump()
+
+    load = classmethod(lambda cls, text: cls(JsonPieces.load(text)))
+
+
+class _Values(_Patches):
+    """Values of JSON in pieces; the state holds the value so far."""
+
+    def __init__(self, pieces: JsonPieces | None = None, value: object = None):
+        super().__init__(pieces)
+        self.value = value
+
+    def step(self, seq: object, text: str | None) -> list[tuple]:
+        ops = self.pieces.feed(text)
+        self.value = applied(self.value, ops)
+        return [(seq, json.dumps(self.value))] if ops else []
+
+    def dump(self) -> str:
+        return json.dumps([self.pieces.dump(), self.value])
+
+    @classmethod
+    def load(cls, text: str) -> _Values:
+        pieces, value = json.loads(text)
+        return cls(JsonPieces.load(pieces), value)
 
 
 def cumulative_values(chunks: DataFrame, *, run: str = "run_id", seq: str = "seq", text: str = "text", diff: bool = False) -> DataFrame:
     """run, seq and value (JSON): what the chunks so far parse to, where that has changed; with diff, the patch from the value before.
 
-    A run's chunks are folded in one pandas call, as one answer is.
+    Also of a stream. Each chunk is read once, by ``JsonPieces``; with diff, what is kept of a run is its open brackets and a tail.
     """
-    kinds = dict(chunks.dtypes)
+    return folded(chunks, _Patches if diff else _Values, f"`{seq}` {dict(chunks.dtypes)[seq]}, value string", by=run, order=[seq], values=[seq, text])
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        so_far, last, out = "", None, []
-        for s, t in group.sort_values(seq)[[seq, text]].itertuples(index=False):
-            so_far += t or ""
-            value = partial_json(so_far)
-            if value is not None and (value != last or last is None):
-                out.append((group[run].iloc[0], s, json.dumps(difference(last, value) if diff else value)))
-                last = value
-        return pd.DataFrame(out, columns=[run, seq, "value"])
 
-    return chunks.select(run, seq, text).groupBy(run).applyInPandas(fold, f"`{run}` {kinds[run]}, `{seq}` {kinds[seq]}, value string")
+class _Log:
+    """The state that patches lead to."""
 
+    def __init__(self, state: object = None, n: int = 0):
+        self.state, self.n = state, n
 
-def folded_log(patches: DataFrame, *, run: str = "run_id", seq: str = "seq", ops: str = "ops") -> DataFrame:
-    """run, state (JSON) and n: the state that each run's patches (JSON arrays of operations) lead to, in order."""
+    def step(self, text: str | None) -> list[tuple]:
+        self.state, self.n = applied(self.state, json.loads(text) if text else []), self.n + 1
+        return []
+
+    def end(self) -> list[tuple]:
+        return [(json.dumps(self.state, sort_keys=True), self.n)]
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        state: object = None
-        for text in group.sort_values(seq)[ops]:
-            state = patched(state, json.loads(text) if text else [])
-        return pd.DataFrame({run: [group[run].iloc[0]], "state": [json.dumps(state, sort_keys=True)], "n": [len(group)]})
+    def dump(self) -> str:
+        return json.dumps([self.state, self.n])
 
-    return patches.select(run, seq, ops).groupBy(run).applyInPandas(fold, f"`{run}` {dict(patches.dtypes)[run]}, state string, n long")
+    load = classmethod(lambda cls, text: cls(*json.loads(text)))
+
+
+def folded_log(patches: DataFrame, *, run: str = "run_id", seq: str = "seq", ops: str = "ops") -> DataFrame:
+    """run, state (JSON) and n: the state that each run's patches (JSON arrays of operations) lead to, in order. Of a stream, after each micro-batch."""
+    return folded(patches, _Log, "state string, n long", by=run, order=[seq], values=[ops])
 
 
 KINDS = ("chain", "chat_model", "llm", "tool", "retriever", "prompt", "parser")
@@ -144,33 +205,33 @@ def branches(stream: DataFrame, **made: Column) -> DataFrame:
     return stream.select(*stream.columns, F.explode(F.array(*(F.struct(F.lit(n).alias("branch"), c.cast("string").alias("value")) for n, c in made.items()))).alias("__b")).select(*stream.columns, "__b.branch", "__b.value")
 
 
+class _Xml:
+    """Leaf elements of XML in pieces."""
+
+    def __init__(self, pieces: XmlPieces | None = None, n: int = 0):
+        self.pieces, self.n = pieces or XmlPieces(), n
+
+    def step(self, seq: object, text: str | None) -> list[tuple]:
+        found = self.pieces.feed(text)
+        self.n += len(found)
+        return [(seq, self.n - len(found) + i, path, value) for i, (path, value) in enumerate(found)]
+
+    def end(self) -> list[tuple]:
+        return []
+
+    def dump(self) -> str:
+        return json.dumps([self.pieces.dump(), self.n])
+
+    @classmethod
+    def load(cls, text: str) -> _Xml:
+        pieces, n = json.loads(text)
+        return cls(XmlPieces.load(pieces), n)
+
+
 def xml_elements(chunks: DataFrame, *, run: str = "run_id", seq: str = "seq", text: str = "text") -> DataFrame:
-    """run, seq, item_no, path and value: the leaf elements of streamed XML, each with the chunk that closes it. Reading ends at the first
-    error; documents with a doctype have none."""
-    kinds = dict(chunks.dtypes)
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        parser, out, above, inner = ET.XMLPullParser(["start", "end"]), [], [], []
-        for s, t in group.sort_values(seq)[[seq, text]].itertuples(index=False):
-            try:
-                if "<!" in (t or ""):
-                    raise ET.ParseError("doctype")
-                parser.feed(t or "")
-                for event, node in parser.read_events():
-                    if event == "start":
-                        above.append(node.tag)
-                        inner.append(0)
-                        continue
-                    if not inner.pop():
-                        out.append((group[run].iloc[0], s, len(out), "/".join(above), node.text or ""))
-                    above.pop()
-                    if inner:
-                        inner[-1] += 1
-            except ET.ParseError:
-                break
-        return pd.DataFrame(out, columns=[run, seq, "item_no", "path", "value"])
-
-    return chunks.select(run, seq, text).groupBy(run).applyInPandas(fold, f"`{run}` {kinds[run]}, `{seq}` {kinds[seq]}, item_no int, path string, value string")
+    """run, seq, item_no, path and value: the leaf elements of XML in chunks, each with the chunk that closes it. Also of a stream.
+    Reading ends at the first error; documents with a doctype have none."""
+    return folded(chunks, _Xml, f"`{seq}` {dict(chunks.dtypes)[seq]}, item_no int, path string, value string", by=run, order=[seq], values=[seq, text])
 
 
 def collected(events: DataFrame, *, run: str = "run_id", order: str = "ts") -> DataFrame:
