@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from docloom.functions import personal, text as X, web
 from docloom.operators import filters, graph, indexing, markup, split
 from docloom.plans.catalogue import query
+from docloom.sources.record_log import Records
 from docloom.session import fresh_path, table
 from docloom.sources import tables
 
@@ -245,3 +246,14 @@ def index_forced(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
     state = docs.where("doc_id % 3 = 0").select(F.lit("ns").alias("namespace"), "key").distinct().select("namespace", "key", F.lit(None).cast("string").alias("group_id"), F.lit(1.0).alias("updated_at"))
     return indexing.classify(docs.where("doc_id % 2 = 0"), state, "ns", force=True, order="doc_id").groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id::VARCHAR AS key, source AS group_id, doc_id % 3 = 2 AS late FROM documents WHERE doc_id % 3 > 0")
+def record_log(spark: SparkSession, d: str) -> DataFrame:
+    """Two thirds of the documents are indexed, then another two thirds with full cleanup, each as one version of a log."""
+    records = Records(spark, fresh_path(spark, "records"), "documents", clock=iter((100.0, 200.0)).__next__)
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), "source", "doc_id")
+    for part, how in (("doc_id % 3 < 2", {}), ("doc_id % 3 > 0", {"cleanup": "full"})):
+        records.index(docs.where(part), lambda write, delete: None, source="source", order="doc_id", **how)
+    first = records.state(1).select("key", F.lit(False).alias("late"))
+    return records.state().join(first, "key", "left").select("key", "group_id", F.coalesce("late", F.lit(True)).alias("late"))
