@@ -6,10 +6,11 @@ counts of partially filled sequences grows least (Csirik et al.), kept in an arr
 Two rounds. Each task packs the documents of its partition as they come, so texts are never shuffled, and gives the
 sequences that it fills. Rests in sequences that are still open at its end are stored and packed again by the same rule
 together with those of other tasks, in tasks of some ``ROUND`` tokens: few rests make poor company, and there are a
-few per cent of the tokens in them. What is open then is *settled*: the emptiest open sequences are cut up to fill the
-fullest, so that padding per task of the second round stays under one sequence however the lengths fall; the column
-settled tells such pieces. A task holds ``OPEN`` open sequences at most; beyond that the emptiest half of them is handed on
-to the second round early, or settled there.
+few per cent of the tokens in them. What is open at a task's end is taken apart and placed again, longest first, as long
+as that fills more than one in ``AGAIN`` of the open sequences. What no such turn closes is *settled*: the emptiest open
+sequences are cut up to fill the fullest, so that padding per task of the second round stays under one sequence however
+the lengths fall; the column settled tells such pieces. A task of the first round holds ``OPEN`` open sequences at most;
+beyond that the emptiest half of them is handed on early.
 
 A sequence's id is its task's number times 2**32 plus its number there, with 2**62 added in the second round; a task that is
 run again gives the same rows, and the first round's are stored.
@@ -35,7 +36,8 @@ from docloom.session import stored
 SIZE = 2048
 END = 1
 OPEN = 8192
-ROUND = 1 << 22  # tokens of a task of the second round
+ROUND = 1 << 23  # tokens of a task of the second round
+AGAIN = 64
 SECOND = 1 << 62
 FIELDS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
@@ -101,11 +103,25 @@ class Packer:
             self.count[level + s] += 1
             self.open += 1
 
-    def settle(self, keep: int = 0) -> Iterator[tuple[int, list]]:
-        """Cuts up the emptiest open sequences to fill the fullest until ``keep`` are open; with none kept, the last is closed as it is."""
+    def again(self) -> Iterator[tuple[int, list]]:
+        """What is open, taken apart and placed anew by the rule, longest first, for as many turns as that closes enough."""
+        while self.open:
+            before, closed = self.open, 0
+            for pieces in self.release_all():
+                for done in self.place(pieces):
+                    closed += 1
+                    yield done
+            if closed * AGAIN <= before:
+                return
+
+    def release_all(self) -> list[tuple]:
+        return sorted(self.release(), key=lambda piece: -len(piece[2]))
+
+    def settle(self) -> Iterator[tuple[int, list]]:
+        """Cuts up the emptiest open sequences to fill the fullest until none are open; the last is closed as it is."""
         queue = [(level, p) for level in range(1, self.size) for p in self.at[level]]
         low, high = 0, len(queue) - 1
-        while high > low and high - low + 1 > keep:
+        while high > low:
             level, pieces = queue[high]
             rest, gap = queue[low][1], self.size - level
             while gap and rest:
@@ -124,16 +140,11 @@ class Packer:
                 queue[low] = (sum(len(x[2]) // 4 for x in rest), rest)
                 if not rest:
                     low += 1
-        left = queue[low : high + 1]
         self.count[:] = 0
         self.at = [[] for _ in range(self.size + 1)]
         self.open = 0
-        for level, pieces in left:
-            if keep and level < self.size:
-                self.at[level].append(pieces)
-                self.count[level] += 1
-                self.open += 1
-            elif pieces:
+        for _, pieces in queue[low : high + 1]:
+            if pieces:
                 yield self._closed(pieces)
 
 
@@ -185,11 +196,10 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary
             key_type = b.schema.field(0).type
             for k, a, n, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 rows.extend(_rows(packer.place((k, a, ids, n)), mine, with_ids, False))
-                if packer.open > packer.most:
-                    rows.extend(_rows(packer.settle(packer.most // 2), mine, with_ids, True))
                 if len(rows) > 4000:
                     yield batch(rows, key_type)
         if key_type is not None:
+            rows.extend(_rows(packer.again(), mine, with_ids, False))
             rows.extend(_rows(packer.settle(), mine, with_ids, True))
             yield batch(rows, key_type)
 
