@@ -62,18 +62,20 @@ class Headers(dict):
 
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")  # not only after a line's end: a record may be cut off
 CHUNK = 1 << 20
+MOST = 1 << 28  # bytes of a record, and of what its body unpacks to
 
 
-def stream(read: Callable[[int], bytes]) -> Iterator[tuple[Headers, bytes, bytes]]:
-    """(headers, block, record) of each record that read(n) gives in uncompressed bytes. A record without a length, or one
-    that isn't followed by a line's end, is broken; the search goes on behind its first line, for the next. Memory is that of a record."""
+def stream(read: Callable[[int], bytes], most: int = MOST) -> Iterator[tuple[Headers, bytes, bytes]]:
+    """(headers, block, record) of each record that read(n) gives in uncompressed bytes. A record without a length, one that
+    isn't followed by a line's end, and one said to be longer than ``most``, is broken; the search goes on behind its first
+    line, for the next. Memory is that of a record, ``most`` at most, whatever its header says."""
     data, more = b"\n", True
 
     def fill(size: int) -> None:
         nonlocal data, more
         parts, have = [data], len(data)
         while more and have < size:
-            part = read(max(CHUNK, size - have))
+            part = read(CHUNK)
             more = bool(part)
             parts.append(part)
             have += len(part)
@@ -94,7 +96,7 @@ def stream(read: Callable[[int], bytes]) -> Iterator[tuple[Headers, bytes, bytes
             continue
         headers = Headers(data[found.end() : end].decode("utf-8", "replace").split("\r\n"))
         length = headers.get("content-length", "")
-        if length.isdigit():
+        if length.isdigit() and len(length) < 20 and int(length) <= most:
             whole = end + 4 + int(length) - found.start()
             if len(data) - found.start() < whole + 2:
                 data = data[found.start() - 1 :]
@@ -135,14 +137,17 @@ def unchunked(body: bytes) -> bytes:
     return b"".join(out) if out else body
 
 
-def inflated(body: bytes) -> bytes:
-    """A gzip or zlib stream's content, as far as it goes; other bytes as they are."""
-    out = []
+def inflated(body: bytes, most: int = MOST) -> bytes:
+    """A gzip or zlib stream's content, as far as it goes and up to ``most`` bytes; other bytes as they are."""
+    out, have = [], 0
     while body[:2] == b"\x1f\x8b" or (len(body) > 1 and body[0] & 15 == 8 and int.from_bytes(body[:2]) % 31 == 0):
         decoder = zlib.decompressobj(47)
         try:
             for i in range(0, len(body), CHUNK):
-                out.append(decoder.decompress(body[i : i + CHUNK]))
+                out.append(decoder.decompress(body[i : i + CHUNK], most - have))
+                have += len(out[-1])
+                if have >= most:
+                    return b"".join(out)
                 if decoder.eof:
                     body = decoder.unused_data + body[i + CHUNK :]
                     break

@@ -135,3 +135,27 @@ def test_query_matches_brute_force(spark, sf):
             block, row = bytes(made[k, kind]["block"]), got[k, kind]
             assert row["payload_digest"] == sha(body) and row["block_digest"] == sha(block) and row["content_length"] == len(block) and row["target_uri"] == page["url"]
             assert row["record_crc32"] == zlib.crc32(bytes(made[k, kind]["record"])) and f"<{row['refers_to']}>".encode() in bytes(made[k, kind]["record"])
+
+
+def test_a_false_length_reads_no_further():
+    """A header that claims more than a record may have is broken, and nothing is read for it."""
+    good = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n"
+    data = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 9999999999\r\n\r\nhalf a block\r\n\r\n" + good + b"x" * 60_000_000
+    asked, at = [], 0
+
+    def read(n):
+        nonlocal at
+        at += n
+        asked.append(at)
+        return data[at - n : at]
+
+    found = W.stream(read)
+    assert next(found)[1] == b"body" and asked[-1] <= 4 * W.CHUNK
+    long = b"WARC/1.0\r\nContent-Length: 50\r\n\r\n" + b"y" * 50 + b"\r\n\r\n"
+    assert [b for _, b, _ in W.stream(io.BytesIO(long + good).read, most=20)] == [b"body"]
+
+
+def test_bodies_that_unpack_without_end_are_cut():
+    bomb = gzip.compress(gzip.compress(b"\0" * 5_000_000))
+    assert len(W.inflated(gzip.compress(b"\0" * 5_000_000), most=1000)) == 1000 and len(W.inflated(bomb, most=1000)) <= 1000
+    assert W.inflated(gzip.compress(b"abc") + gzip.compress(b"def")) == b"abcdef"
