@@ -11,7 +11,7 @@ own are no misspellings: those near an entry are kept as exceptions.
 A hit's weight depends on its context window: inside quotation marks, or next to words of reporting, it counts less;
 next to other hits it counts more. A logistic model over a text's summed weights gives the score.
 
-Scoring is one pass over the texts without a shuffle; the model (lexicon of ``LEXICON`` entries at most) is broadcast.
+Scoring is one pass over the texts without a shuffle; the model (a lexicon of words of a sample of ``SAMPLE`` rows) is broadcast.
 
 Defined cases: null, empty and wordless texts get the model's score for a text without hits; without any labelled row of
 both classes every score is 0; null labels are ignored; if an id has several labels each counts.
@@ -23,7 +23,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import erfc
+from math import ceil, erfc, log
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 from docloom.session import stored
 
 SAMPLE = 20_000
-LEXICON = 2000
-LEAST = 4  # toxic texts of the sample that an entry must occur in
 ODDS = 2.0  # the logarithm of how much commoner it must be there
 CHANCE = 12.3  # and its likelihood ratio (G): beyond chance at one in 2000; four toxic texts of one in nine and no other have 17
 FALSE = 0.05  # of the entries that may be chance, as so many are tested
@@ -290,8 +288,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     has, without = t + c, F.lit(float(all_)) - t - c
     ratio = 2 * (share(t, has * n1 / all_) + share(c, has * n0 / all_) + share(n1 - t, without * n1 / all_) + share(n0 - c, without * n0 / all_))
     counts = stored(_counts(rows).withColumn("odds", odds), "entries")
-    found = counts.where((F.col("toxic") >= LEAST) & (F.col("odds") >= ODDS)).withColumn("ratio", ratio).where(F.col("ratio") >= CHANCE).collect()
-    found = _beyond_chance(found, counts.where(F.col("toxic") + F.col("clean") >= LEAST).count())
+    least = ceil(CHANCE / (2 * log(all_ / n1)))  # fewer toxic texts can't be beyond chance, whatever the rest
+    found = counts.where((F.col("toxic") >= least) & (F.col("odds") >= ODDS)).withColumn("ratio", ratio).where(F.col("ratio") >= CHANCE).collect()
+    found = _beyond_chance(found, counts.where(F.col("toxic") + F.col("clean") >= least).count())
     chosen: dict[tuple[str, bool], float] = {}
     taken: set[str] = set()  # chosen stems, and all beginnings of chosen entries: of nested entries the most telling one stays
     begun: set[str] = set()
@@ -303,8 +302,6 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         begun.update(entry[:n] for n in range(1, len(entry) + 1))
         if r["stem"]:
             taken.add(entry)
-        if len(chosen) == LEXICON:
-            break
     words, stems = sorted(w for w, stem in chosen if not stem), sorted(w for w, stem in chosen if stem)
     entries = {w: o for (w, _), o in chosen.items()}
     spark = docs.sparkSession
@@ -315,7 +312,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if not lexicon.exact(w) and lexicon.near(w)], pa.string())], ["entry"])
 
-    innocent = counts.where((F.col("clean") >= LEAST) & (F.col("odds") < ODDS) & ~F.col("stem")).select("entry").mapInArrow(own, "entry string")
+    innocent = counts.where((F.col("clean") >= least) & (F.col("odds") < ODDS) & ~F.col("stem")).select("entry").mapInArrow(own, "entry string")
     exceptions = frozenset(r["entry"] for r in innocent.collect())  # words of the sample that are one edit from an entry
     shared_model = spark.sparkContext.broadcast(Model(words, stems, entries, exceptions, np.zeros(FEATURES + 1)))
 
