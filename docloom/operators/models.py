@@ -6,6 +6,7 @@ A model is a function from columns to a column. Real ones are pandas UDFs of the
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -88,24 +89,31 @@ def cluster_representatives(rows: DataFrame, n: int, *, row_id: str = "id", vect
 
 
 def nearest_route(rows: DataFrame, routes: DataFrame, *, row_id: str = "id", route_id: str = "route_id", vector: str = "embedding", metric: str = "cosine") -> DataFrame:
-    """Each row's nearest route: row_id, route_id, score; ties by route id. Routes are a few: rows stream past them without a shuffle."""
-    few = search.few_vectors(routes, route_id, vector)
-    if few is None:
-        raise ValueError("too many routes")
-    shared = rows.sparkSession.sparkContext.broadcast(few)
+    """Each row's nearest route: row_id, route_id, score; ties by route id. Rows stream past the routes without a shuffle; routes
+    that can't be broadcast at once are taken in slices, and the best of a row's slices is chosen then."""
     df = rows.select(F.col(row_id).alias("r"), F.col(vector).cast("array<double>").alias("v")).where("r IS NOT NULL AND v IS NOT NULL")
     schema = f"`{row_id}` {df.schema['r'].dataType.simpleString()}, `{route_id}` {routes.schema[route_id].dataType.simpleString()}, score double"
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, to = shared.value
-        order = np.argsort(pc.rank(ids).to_numpy(), kind="stable") if len(ids) else np.empty(0, int)
-        for b in batches:
-            if len(b) and len(to):
-                score = search.scores(metric, search.matrix(b.column(1), to.shape[1]), to[order])
-                at = score.argmax(axis=1) if metric in V.SIMILARITIES else score.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0), ids.take(pa.array(order[at])), pa.array(score[np.arange(len(at)), at])], [row_id, route_id, "score"])
-
-    return df.mapInArrow(near, schema)
+    def to(few: tuple[pa.Array, np.ndarray]) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast(few)
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, to = shared.value
+            order = np.argsort(pc.rank(ids).to_numpy(), kind="stable") if len(ids) else np.empty(0, int)
+            for b in batches:
+                if len(b) and len(to):
+                    score = search.scores(metric, search.matrix(b.column(1), to.shape[1]), to[order])
+                    at = score.argmax(axis=1) if metric in V.SIMILARITIES else score.argmin(axis=1)
+                    yield pa.RecordBatch.from_arrays([b.column(0), ids.take(pa.array(order[at])), pa.array(score[np.arange(len(at)), at])], [row_id, route_id, "score"])
+
+        return df.mapInArrow(near, schema)
+
+    parts = [to(few) for few in search.slices(routes, route_id, vector)]
+    if len(parts) == 1:
+        return parts[0]
+    both = reduce(DataFrame.unionByName, parts)
+    best = F.desc("score") if metric in V.SIMILARITIES else F.asc("score")
+    return search.ranked(both, [row_id], [best, F.col(route_id)], 1).drop("rank")
 
 
 def answered(questions: DataFrame, hits: DataFrame, model: Model, *, by: str = "query_id", text: str = "text", rank: str = "rank", template: str = "{context}\n\nQuestion: {question}") -> DataFrame:

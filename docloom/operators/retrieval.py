@@ -45,7 +45,8 @@ class Retriever:
             hits = search.top_k(self.rows, queries, **how, **given("k", "where", "metric", "offset"))
         else:
             hits = search.top_k(self.rows, queries, **how, threshold=self.how["score_threshold"], **given("k", "where"))
-        hits = hits.join(self.rows.drop(self.vector), self.row_id)
+        few = search.few_hits(hits)
+        hits = self.rows.drop(self.vector).join(few, self.row_id).select(*few.columns, *(c for c in self.rows.columns if c not in (self.row_id, self.vector)))
         for step in self.steps:
             hits = step(hits)
         return hits

@@ -149,26 +149,39 @@ def _in_blocks(rows: DataFrame, queries: DataFrame, k: int, metric: str, thresho
     return left.unionByName(right).groupBy("i", "j").applyInArrow(near, schema)
 
 
+def slices(df: DataFrame, key: str, vector: str) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Ids and vectors of a table of any size, as slices that can be broadcast: one, if it is small."""
+    few = few_vectors(df, key, vector)
+    if few is not None:
+        yield few
+        return
+    size = df.agg(F.count(key).alias("n"), F.sum(F.size(vector)).alias("x")).first()
+    n = 2 * max(-(-size["n"] // FEW), -(-8 * (size["x"] or 0) // BYTES))
+    for i in range(n):
+        yield from slices(df.where(F.pmod(F.xxhash64(F.lit(n), key), F.lit(n)) == i), key, vector)
+
+
 def score_pairs(rows: DataFrame, queries: DataFrame, *, row_id: str = "id", query_id: str = "query_id", vector: str = "embedding", query_vector: str = "query_embedding", metrics: Sequence[str] = ("cosine",)) -> DataFrame:
-    """Every row with every query and a column for each metric. The queries have to be few: the result has a row for each pair."""
-    few = few_vectors(queries, query_id, query_vector)
-    if few is None:
-        raise ValueError("too many queries for a row for each pair; top_k takes any number")
+    """Every row with every query and a column for each metric; the result has a row for each pair. More queries than can be broadcast are taken in slices."""
     rows = rows.select(F.col(row_id).alias("r"), F.col(vector).cast("array<double>").alias("v")).where("r IS NOT NULL AND v IS NOT NULL")
-    shared = rows.sparkSession.sparkContext.broadcast(few)
     names = [query_id, row_id, *metrics]
     schema = f"`{query_id}` {queries.schema[query_id].dataType.simpleString()}, `{row_id}` {rows.schema['r'].dataType.simpleString()}, " + ", ".join(f"`{x}` double" for x in metrics)
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, asked = shared.value
-        for b in batches:
-            for start in range(0, len(asked) if len(b) else 0, 64):
-                part = asked[start : start + 64]
-                mine = matrix(b.column(1), asked.shape[1])
-                of, at = np.meshgrid(np.arange(start, start + len(part)), np.arange(len(b)))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of.ravel())), b.column(0).take(pa.array(at.ravel())), *(pa.array(scores(x, mine, part).ravel()) for x in metrics)], names)
+    def paired(few: tuple[pa.Array, np.ndarray]) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast(few)
+
+        def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, asked = shared.value
+            for b in batches:
+                for start in range(0, len(asked) if len(b) else 0, 64):
+                    part = asked[start : start + 64]
+                    mine = matrix(b.column(1), asked.shape[1])
+                    of, at = np.meshgrid(np.arange(start, start + len(part)), np.arange(len(b)))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(of.ravel())), b.column(0).take(pa.array(at.ravel())), *(pa.array(scores(x, mine, part).ravel()) for x in metrics)], names)
+
+        return rows.mapInArrow(pair, schema)
 
-    return rows.mapInArrow(pair, schema)
+    return reduce(DataFrame.unionByName, map(paired, slices(queries, query_id, query_vector)))
 
 
 def search_by_text(rows: DataFrame, queries: DataFrame, embed: Column, **how) -> DataFrame:
@@ -202,9 +215,18 @@ def mmr(candidates: DataFrame, *, k: int = 4, weight: float = 0.5, query_id: str
     return candidates.groupBy(query_id).applyInPandas(choose, f"{query_id} {kinds[query_id]}, {row_id} {kinds[row_id]}, position int")
 
 
+HITS = 500_000  # hits that are broadcast
+
+
+def few_hits(hits: DataFrame) -> DataFrame:
+    """Hits, stored, to be joined with the table they come from: broadcast while they are few, so that the table isn't shuffled."""
+    hits = stored(hits, "hits")
+    return F.broadcast(hits) if hits.count() <= HITS else hits
+
+
 def mmr_search(rows: DataFrame, queries: DataFrame, *, k: int = 4, fetch_k: int = 20, weight: float = 0.5, row_id: str = "id", query_id: str = "query_id", vector: str = "embedding", query_vector: str = "query_embedding", where: Column | None = None) -> DataFrame:
     near = top_k(rows, queries, k=fetch_k, row_id=row_id, query_id=query_id, vector=vector, query_vector=query_vector, where=where)
-    full = near.select(query_id, row_id).join(rows.select(row_id, vector), row_id).join(queries.select(query_id, query_vector), query_id)
+    full = rows.select(row_id, vector).join(few_hits(near.select(query_id, row_id)), row_id).join(queries.select(query_id, query_vector), query_id)
     return mmr(full, k=k, weight=weight, query_id=query_id, row_id=row_id, vector=vector, query_vector=query_vector)
 
 
