@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -254,26 +255,43 @@ def greedy_pairs(scored: DataFrame, by: str, threshold: float, *, left_id: str,
     return scored.groupBy(by).applyInPandas(pair, f"{by} {kinds[by]}, {left_id} {kinds[left_id]}, {right_id} {kinds[right_id]}, score double")
 
 
+def _edits(pattern: str, text: str, anywhere: bool) -> Iterator[int]:
+    """The edits between a pattern and what of a text ends at each place: with anywhere, of the best beginning, else of the text's.
+
+    Bit-parallel (Myers): a column of differences is two numbers of as many bits as the pattern has letters.
+    """
+    places: dict[str, int] = {}
+    for j, c in enumerate(pattern):
+        places[c] = places.get(c, 0) | 1 << j
+    full, top, first = (1 << len(pattern)) - 1, 1 << (len(pattern) - 1), 0 if anywhere else 1
+    up, down, edits = full, 0, len(pattern)
+    for c in text:
+        same = places.get(c, 0)
+        vertical = same | down
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | (full & ~(across | up)), up & across
+        edits += bool(more & top) - bool(less & top)
+        more, less = (more << 1 | first) & full, (less << 1) & full
+        up, down = less | (full & ~(vertical | more)), more & vertical
+        yield edits
+
+
 def quote_spans(quote: str, context: str, most: int = 100) -> list[tuple[int, int]]:
     """(start, end) of the places where a quote stands in a text with the fewest edits, ``most`` at most; without overlaps, from the left.
 
-    One row of edit distances slides over the text; a place may begin anywhere, so a row also carries where its match began.
+    One pass finds the ends; where a place begins (as late as its edits allow) is found by reading backwards from its end.
     """
     if not quote or not context:
         return []
-    row = [(j, 0) for j in range(len(quote) + 1)]  # (edits, start of the match) of the quote's beginnings
-    best, ends = min(most, len(quote) - 1), []
-    for i, c in enumerate(context, 1):
-        above, row = row, [(0, i)]
-        for j, q in enumerate(quote, 1):
-            change = (above[j - 1][0] + (q != c), above[j - 1][1])
-            row.append(min(change, (above[j][0] + 1, above[j][1]), (row[j - 1][0] + 1, row[j - 1][1]), key=lambda x: (x[0], -x[1])))
-        if row[-1][0] < best or not ends and row[-1][0] == best:
-            best, ends = row[-1][0], []
-        if row[-1][0] <= best:
-            ends.append((row[-1][1], i))
+    edits = list(_edits(quote, context, True))
+    best = min(edits)
+    if best > min(most, len(quote) - 1):
+        return []
     out: list[tuple[int, int]] = []
-    for start, end in ends:
+    back = quote[::-1]
+    for end in (i for i, n in enumerate(edits, 1) if n == best):
+        before = context[max(0, end - len(quote) - best) : end][::-1]
+        start = end - next(i for i, n in enumerate(_edits(back, before, False), 1) if n == best)
         if not out or start >= out[-1][1]:
             out.append((start, end))
     return out

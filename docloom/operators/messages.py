@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.folds import folded
+
 from docloom.functions.text import approximate_tokens
 
 #: roles by the names that different sources use
@@ -129,23 +131,24 @@ def call_numbers(df: DataFrame, limit: int, *, by: str, order: str) -> DataFrame
 def pack_consecutive(df: DataFrame, length: Column, most: int, *, by: str, order: str) -> DataFrame:
     """df with group_no from 0: consecutive rows share a group while their lengths sum to ``most`` at most; a longer row is an error.
 
-    The fold needs a group's rows in order; it gets their places and lengths, not their contents.
+    The fold reads a key's rows in order, one after the other; it gets their places and lengths, not their contents.
     """
-    kinds = dict(df.dtypes)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        total = no = 0
-        numbers = []
-        for n in group["__n"].tolist():
+    class Groups:
+        def __init__(self):
+            self.total = self.no = 0
+
+        def step(self, at: object, n: int) -> list[tuple]:
             if n > most:
                 raise ValueError("a row is longer than a group may be")
-            total += n
-            if total > most:
-                total, no = n, no + 1
-            numbers.append(no)
-        return group[[by, order]].assign(group_no=numbers)
-
-    lengths = df.select(by, order, length.cast("long").alias("__n"))
-    placed = lengths.groupBy(by).applyInPandas(fold, f"`{by}` {kinds[by]}, `{order}` {kinds[order]}, group_no int")
+            self.total += n
+            if self.total > most:
+                self.total, self.no = n, self.no + 1
+            return [(at, self.no)]
+
+        def end(self) -> list[tuple]:
+            return []
+
+    lengths = df.select(by, order, F.coalesce(length, F.lit(0)).cast("long").alias("__n"))
+    placed = folded(lengths, Groups, f"`{order}` {dict(df.dtypes)[order]}, group_no int", by=by, order=[order], values=[order, "__n"])
     return df.join(placed, [by, order])

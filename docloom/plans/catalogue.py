@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from docloom.plans import answers, chains, conversations, documents, evaluation, extra, legal, more, records, rest, retrieval, sparse, stores, vectors  # noqa: E402, F401  (they register)
+from docloom.plans import answers, chains, compiled, conversations, documents, evaluation, extra, legal, more, records, rest, retrieval, sparse, stores, vectors  # noqa: E402, F401  (they register)

@@ -78,12 +78,12 @@ def summary_cutoff(spark: SparkSession, d: str) -> DataFrame:
     return messages.summary_cutoff(_talk(spark, d), 250, approximate_tokens("text", "role"))
 
 
-@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, least(length(text), 300) AS len, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, length(text) AS len, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
 f AS (SELECT conv_id, turn, n, len AS total, 0 AS group_no FROM c WHERE n = 1 UNION ALL
-SELECT c.conv_id, c.turn, c.n, CASE WHEN f.total + c.len > 500 THEN c.len ELSE f.total + c.len END, f.group_no + CASE WHEN f.total + c.len > 500 THEN 1 ELSE 0 END FROM f JOIN c ON c.conv_id = f.conv_id AND c.n = f.n + 1)
+SELECT c.conv_id, c.turn, c.n, CASE WHEN f.total + c.len > 5000 THEN c.len ELSE f.total + c.len END, f.group_no + CASE WHEN f.total + c.len > 5000 THEN 1 ELSE 0 END FROM f JOIN c ON c.conv_id = f.conv_id AND c.n = f.n + 1)
 SELECT conv_id, turn, group_no FROM f""")
 def pack_consecutive(spark: SparkSession, d: str) -> DataFrame:
-    return messages.pack_consecutive(_talk(spark, d), F.least(F.length("text"), F.lit(300)), 500, by="conv_id", order="turn").select("conv_id", "turn", "group_no")
+    return messages.pack_consecutive(_talk(spark, d), F.length("text"), 5000, by="conv_id", order="turn").select("conv_id", "turn", "group_no")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")

@@ -41,21 +41,22 @@ def dict_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").where(filters.from_dict(f)).select("o_orderkey", "o_custkey")
 
 
-_REQUESTS = "SELECT i AS pos, (i * 37) % 2000 AS c_custkey FROM range(0, 200) t(i)"
+_REQUESTS = "SELECT o_orderkey AS pos, o_custkey * 2 AS c_custkey FROM orders"
 
 
-def _requests(spark: SparkSession) -> DataFrame:
-    return spark.range(200).select(F.col("id").alias("pos"), ((F.col("id") * 37) % 2000).alias("c_custkey"))
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """A request for each order; half of the keys are known."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), (F.col("o_custkey") * 2).alias("c_custkey"))
 
 
 @query(f"SELECT pos, r.c_custkey, c_name FROM ({_REQUESTS}) r LEFT JOIN customer c ON c.c_custkey = r.c_custkey")
 def multi_get(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.in_request_order(_requests(spark), table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").select("pos", "c_custkey", "c_name")
+    return fusion.in_request_order(_requests(spark, d), table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").select("pos", "c_custkey", "c_name")
 
 
 @query(f"SELECT pos, r.c_custkey, c.c_custkey IS NOT NULL AS found FROM ({_REQUESTS}) r LEFT JOIN customer c ON c.c_custkey = r.c_custkey")
 def exists_probe(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.exists_in(_requests(spark), table(spark, d, "customer"), "c_custkey").select("pos", "c_custkey", "found")
+    return fusion.exists_in(_requests(spark, d), table(spark, d, "customer"), "c_custkey").select("pos", "c_custkey", "found")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'new ' || c_name ELSE c_name END AS c_name FROM customer UNION ALL SELECT 1000000, 'fresh'")

@@ -79,11 +79,11 @@ def chosen_examples(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT doc_id || ':' || (i - 1) AS part, length(string_split(text, chr(10))[i]) AS n FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i)),
-q AS (SELECT i * 50 AS query_id, i * 50 AS n FROM range(1, 9) t(i)), r AS (SELECT query_id, part, row_number() OVER (PARTITION BY query_id ORDER BY abs(p.n - q.n), part) AS rank FROM p, q) SELECT query_id, part, rank FROM r WHERE rank <= 2""")
+q AS (SELECT doc_id AS query_id, length(text) // 10 AS n FROM documents WHERE doc_id % 20 = 0), r AS (SELECT query_id, part, row_number() OVER (PARTITION BY query_id ORDER BY abs(p.n - q.n), part) AS rank FROM p, q) SELECT query_id, part, rank FROM r WHERE rank <= 2""")
 def indexed_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     index = retrieval.indexed(docs, F.split("text", "\n"), lambda t: F.array(F.length(t).cast("double")), k=2, metric="l2")
-    asked = spark.range(1, 9).select((F.col("id") * 50).alias("query_id"), F.array((F.col("id") * 50).cast("double")).alias("query_embedding"))
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.array(F.floor(F.length("text") / 10).cast("double")).alias("query_embedding"))
     return index(asked).select("query_id", F.col("doc_id").alias("part"), "rank")
 
 

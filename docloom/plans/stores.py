@@ -89,12 +89,12 @@ def store_keys(spark: SparkSession, d: str) -> DataFrame:
     return tables.KeyedStore(spark, fresh_path(spark, "store")).set(rows).keys("1").select(F.col("key").cast("long").alias("c_custkey"))
 
 
-@query("SELECT i::BIGINT AS c_custkey, c_name, c_acctbal FROM range(1, 400) t(i) LEFT JOIN customer c ON c.c_custkey = i AND i % 4 <> 0")
+@query("SELECT o.o_orderkey, c_name, c_acctbal FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey AND o.o_custkey % 4 <> 0")
 def encoded_store(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     store = tables.EncodedStore(tables.KeyedStore(spark, fresh_path(spark, "store")), "c_name string, c_acctbal double").set(c, "c_custkey", ["c_name", "c_acctbal"])
     store = store.delete(c.where("c_custkey % 4 = 0"), "c_custkey")
-    return store.get(spark.range(1, 400).select(F.col("id").alias("c_custkey")), "c_custkey")
+    return store.get(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), "c_custkey").drop("c_custkey")
 
 
 @query("SELECT vec_id, label, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
