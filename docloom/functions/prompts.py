@@ -7,10 +7,11 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.columns import ColumnOrName, col
+from docloom.functions.parsers import yaml_to_json
 from docloom.functions.text import template, template_fields
 
 MESSAGES = "array<struct<role:string,text:string>>"
@@ -122,3 +123,40 @@ def few_shot(examples: ColumnOrName, each: str, suffix: str, prefix: str = "", s
     ends = [template(t, **values) for t in (prefix, suffix)]
     parts = F.concat(F.array(ends[0]) if prefix else F.array().cast("array<string>"), shown, F.array(ends[1]))
     return F.array_join(parts, separator)
+
+
+def loaded(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
+    """Prompt templates from JSON or YAML files (a folder or a glob): path, name, template, fields and error.
+
+    A file has ``template`` (or, for a few-shot prompt, ``prefix`` and ``suffix``) and may have ``_type`` (``prompt`` or
+    ``few_shot``), ``template_format`` (f-string, the only one that is let in from a file) and ``input_variables``, which have to
+    be the fields that the template asks for. What is wrong with a file is its error; templates of paths (``template_path``) are refused.
+    """
+    body = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    text = yaml_to_json("value") if kind == "yaml" else F.col("value")
+    shape = "_type string, template string, prefix string, suffix string, template_format string, template_path string, input_variables array<string>"
+    rows = body.select("path", F.from_json(text, shape).alias("v")).select("path", "v.*")
+
+    @F.pandas_udf("array<string>")
+    def fields(texts: pd.Series) -> pd.Series:
+        return pd.Series([_fields(t) for t in texts], dtype=object)
+
+    whole = F.when(F.coalesce("_type", F.lit("prompt")) == "few_shot", F.concat(F.coalesce("prefix", F.lit("")), F.lit("\n\n"), F.coalesce("suffix", F.lit("")))).otherwise(F.col("template"))
+    rows = rows.withColumn("whole", whole).withColumn("fields", fields("whole"))
+    error = (
+        F.when(F.col("template_path").isNotNull(), "a template of a path isn't read")
+        .when(~F.coalesce("_type", F.lit("prompt")).isin("prompt", "few_shot"), "unknown type")
+        .when(F.coalesce("template_format", F.lit("f-string")) != "f-string", "only f-string templates are read")
+        .when(F.col("whole").isNull(), "no template")
+        .when(F.col("fields").isNull(), "a stray brace or a name that isn't plain")
+        .when(F.col("input_variables").isNotNull() & (F.array_sort("input_variables") != F.array_sort("fields")), "other fields than it says")
+    )
+    name = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+    return rows.select("path", name.alias("name"), F.when(error.isNull(), F.col("whole")).alias("template"), "fields", error.alias("error"))
+
+
+def _fields(text: str | None) -> list[str] | None:
+    try:
+        return None if text is None else template_fields(text)
+    except ValueError:
+        return None

@@ -208,20 +208,32 @@ def cyclic_responses(responses: list[str], number: Column | str) -> Column:
     return F.get(F.array(*map(F.lit, responses)), F.pmod(number, F.lit(len(responses))).cast("int"))
 
 
-def select_only(spark: SparkSession, sql: str) -> DataFrame:
-    """Runs one SELECT (or WITH ... SELECT) statement; anything else is an error."""
+def select_only(spark: SparkSession, sql: str, tables: list[str] | None = None) -> DataFrame:
+    """Runs one SELECT (or WITH ... SELECT) statement; anything else is an error. tables: all that it may read, for statements
+    that a model has made; then paths, other tables and table functions are errors, too."""
     body = sql.strip().rstrip(";")
     if not body.upper().startswith(("SELECT", "WITH")) or ";" in body:
         raise ValueError("only a single SELECT is allowed")
     # spark.sql runs a command at once, so the statement is parsed first
     todo, kind = [spark._jsparkSession.sessionState().sqlParser().parsePlan(body)], spark._jvm.java.lang.Class.forName
     wrong = [kind(f"org.apache.spark.sql.catalyst.plans.logical.{n}") for n in ("Command", "ParsedStatement", "V2WriteCommand")]
+    own, read = set(), set()  # names that the statement gives, and names it asks for
     while todo:
         plan = todo.pop()
         if any(k.isInstance(plan) for k in wrong):
             raise ValueError("only a single SELECT is allowed")
+        name = plan.getClass().getSimpleName()
+        if name == "UnresolvedWith":
+            own |= {t._1().lower() for t in _items(plan.cteRelations())}
+            todo += [t._2() for t in _items(plan.cteRelations())]
+        elif name == "UnresolvedRelation":
+            read.add(".".join(_items(plan.multipartIdentifier())).lower())
+        elif name == "UnresolvedTableValuedFunction" and tables is not None:
+            raise ValueError("table functions aren't allowed")
         inner = [*_items(plan.children()), *_items(plan.innerChildren())]
         todo += [p for p in inner if kind("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan").isInstance(p)]
+    if tables is not None and (more := read - own - {t.lower() for t in tables}):
+        raise ValueError(f"not allowed to read {sorted(more)}")
     return spark.sql(body)
 
 

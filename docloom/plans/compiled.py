@@ -3,10 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions import jinja
+from docloom.functions import jinja, prompts
 from docloom.operators import flare
 from docloom.plans.catalogue import query
-from docloom.session import table
+from docloom.session import fresh_path, table
 
 TEMPLATE = """{%- for o in orders -%}
 {{ loop.index }}/{{ loop.length }} {{ o.o_orderstatus | lower }}{% if o.o_totalprice > 150000 and not loop.last %} big{% elif o.o_totalprice > 50000 %} fair{% else %} small{% endif %}; {% else %}none{% endfor %}
@@ -53,3 +53,18 @@ def unsure_answers(spark: SparkSession, d: str) -> DataFrame:
     asked = parts.select("query_id").distinct().withColumn("question", F.lit("which parts?"))
     got = flare.answered(asked, generate, lambda q, r, s: F.concat(F.lit("about "), s), retrieve, lambda q, r, c: c, rounds=20)
     return got.select("query_id", "response", "rounds", "done")
+
+
+@query("""SELECT 'n' || n_nationkey AS name, CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE 'Say {what} of ' || n_name END AS template, CASE n_nationkey % 5 WHEN 4 THEN 'other fields than it says' END AS error FROM nation
+UNION ALL SELECT 'y' || n_nationkey, 'Ask ' || n_name || ' {who}', NULL FROM nation""")
+def loaded_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON and a YAML file for each nation; some name other fields than their template has."""
+    n = table(spark, d, "nation")
+    folder = fresh_path(spark, "prompts")
+    names = F.when(F.col("n_nationkey") % 5 == 4, F.array(F.lit("other"))).otherwise(F.array(F.lit("what")))
+    files = n.select(F.concat(F.lit("n"), "n_nationkey").alias("name"), F.to_json(F.struct(F.lit("prompt").alias("_type"), F.concat(F.lit("Say {what} of "), "n_name").alias("template"), names.alias("input_variables"))).alias("value"))
+    files.write.partitionBy("name").text(f"{folder}/json")
+    yaml = n.select(F.concat(F.lit("y"), "n_nationkey").alias("name"), F.concat(F.lit("_type: prompt\ntemplate: Ask "), "n_name", F.lit(" {who}\ninput_variables:\n  - who")).alias("value"))
+    yaml.write.partitionBy("name").text(f"{folder}/yaml")
+    both = prompts.loaded(spark, f"{folder}/json/*/").unionByName(prompts.loaded(spark, f"{folder}/yaml/*/", "yaml"))
+    return both.select(F.regexp_extract("path", "name=([^/]+)/", 1).alias("name"), "template", "error")

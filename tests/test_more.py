@@ -175,3 +175,16 @@ def test_sweep_deletes_what_is_stored(spark):
     assert df.count() == 3 and session.sweep(spark) == 1
     with pytest.raises(Exception, match="(?i)not.*exist|FILE_NOT_EXIST"):
         session.stored(spark.range(3), "y").unionByName(df).count()
+
+
+def test_a_made_statement_reads_what_it_may(spark, tmp_path):
+    from docloom.operators import algebra
+
+    spark.range(3).withColumnRenamed("id", "a").createOrReplaceTempView("may_read")
+    spark.range(3).createOrReplaceTempView("may_not")
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    assert algebra.select_only(spark, "WITH c AS (SELECT a FROM MAY_READ) SELECT max(a) AS m FROM c WHERE a IN (SELECT a FROM may_read)", ["may_read"]).first()["m"] == 2
+    for bad in (f"SELECT * FROM parquet.`{tmp_path}/t`", "SELECT * FROM may_not", "SELECT (SELECT max(id) FROM may_not)", "SELECT * FROM may_read WHERE EXISTS (SELECT 1 FROM may_not)", "SELECT * FROM range(3)",
+                "WITH c AS (SELECT * FROM may_not) SELECT * FROM c", "SELECT a FROM may_read UNION SELECT id FROM may_not"):
+        with pytest.raises(ValueError):
+            algebra.select_only(spark, bad, ["may_read"])
