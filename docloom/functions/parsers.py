@@ -250,17 +250,25 @@ def tagged_step(answer: ColumnOrName) -> Column:
 
 
 #: Model names by what they begin with, and their provider.
-PROVIDERS = (("gpt-", "openai"), ("o1", "openai"), ("o3", "openai"), ("claude", "anthropic"), ("command", "cohere"), ("gemini", "google_vertexai"), ("mistral", "mistralai"), ("deepseek", "deepseek"), ("grok", "xai"), ("sonar", "perplexity"))
+PROVIDERS = (
+    ("gpt-", "openai"), ("o1", "openai"), ("o3", "openai"), ("chatgpt", "openai"), ("text-davinci", "openai"), ("claude", "anthropic"), ("command", "cohere"), ("accounts/fireworks", "fireworks"), ("gemini", "google_vertexai"),
+    ("amazon.", "bedrock"), ("anthropic.", "bedrock"), ("meta.", "bedrock"), ("mistral", "mistralai"), ("mixtral", "mistralai"), ("deepseek", "deepseek"), ("grok", "xai"), ("sonar", "perplexity"), ("solar", "upstage"),
+)
 
 
 def provider_model(name: ColumnOrName) -> Column:
-    """struct of provider and model of "provider:model"; without a provider it follows from the model's name, or is null."""
+    """struct of provider and model of "provider:model"; without a provider it follows from the model's name, or is null.
+
+    What stands before a colon is a provider if it is one of those known, or if the whole name isn't that of a known model
+    (whose names have colons, too).
+    """
     n = col(name)
-    split = F.contains(n, F.lit(":"))
+    before = F.replace(F.lower(F.trim(F.substring_index(n, ":", 1))), F.lit("-"), F.lit("_"))
     guess = F.lit(None).cast("string")
     for start, provider in reversed(PROVIDERS):
         guess = F.when(F.lower(n).startswith(start), provider).otherwise(guess)
-    return F.struct(F.when(split, F.replace(F.lower(F.trim(F.substring_index(n, ":", 1))), F.lit("-"), F.lit("_"))).otherwise(guess).alias("provider"), F.when(split, F.regexp_replace(n, "^[^:]*:", "")).otherwise(n).alias("model"))
+    split = F.contains(n, F.lit(":")) & (before.isin(sorted({p for _, p in PROVIDERS})) | guess.isNull())
+    return F.struct(F.when(split, before).otherwise(guess).alias("provider"), F.when(split, F.regexp_replace(n, "^[^:]*:", "")).otherwise(n).alias("model"))
 
 
 DIGITS = "零一二三四五六七八九"

@@ -245,3 +245,12 @@ def test_moderation_can_refuse(spark):
     assert [r[0] for r in models.moderated(df, flagged, message="-").collect()] == ["-", "fine", None]
     with pytest.raises(Exception, match="flagged"):
         models.moderated(df, flagged, error=True).collect()
+
+
+def test_providers_of_models(spark):
+    from docloom.functions import parsers
+
+    want = {"chatgpt-4o": ("openai", "chatgpt-4o"), "mixtral-8x7b": ("mistralai", "mixtral-8x7b"), "anthropic.claude-v2:1": ("bedrock", "anthropic.claude-v2:1"), "accounts/fireworks/x": ("fireworks", "accounts/fireworks/x"),
+            "deepseek:chat": ("deepseek", "chat"), "mistral:7b": ("mistralai", "mistral:7b"), "Google-Vertexai:m:1": ("google_vertexai", "m:1"), "my-host:m": ("my_host", "m"), "text-davinci-3": ("openai", "text-davinci-3"), "other": (None, "other")}
+    df = spark.createDataFrame([(k,) for k in want], "n string").select("n", parsers.provider_model("n").alias("m"))
+    assert {r["n"]: (r["m"]["provider"], r["m"]["model"]) for r in df.collect()} == want
