@@ -114,3 +114,20 @@ def test_null_and_shared_ids_and_missing_columns(spark):
     mixed = spark.createDataFrame([(None, item, "x"), (7, item, "x"), (7, say("e"), "x"), (None, None, "x")], df.schema)
     assert {(r["doc_id"], r["text"]) for r in P.decontamination(spark, mixed, SF).collect()} == {(None, None), (7, say("e"))}
     assert P.personal_data(spark, mixed, SF).columns == df.columns
+
+
+def test_near_duplicates_miss_no_link_of_their_measure(spark):
+    """sf0.01: the groups that all pairs with a similarity of 0.8 on five-word shingles give, by SQL; the stage keeps one of each."""
+    import duckdb
+
+    from docloom.llm import sql
+
+    folder = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    groups = {r[0]: r[2] for r in c.sql(sql.NEAR_DUPLICATES.replace("least(2, ", "least(5, ")).fetchall()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    with_words = {r["doc_id"] for r in docs.where("text rlike '[^ \\t-\\r]'").select("doc_id").collect()}
+    kept = [r["doc_id"] for r in P.near_duplicates(spark, docs, folder).collect()]
+    assert sorted(k for k in kept if k in with_words) == sorted({groups[k] for k in with_words})
+    assert sum(groups[k] != k for k in with_words) > 20  # so the recall of links is 1, not of none
