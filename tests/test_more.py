@@ -157,10 +157,12 @@ def test_only_a_select_runs(spark):
         spark.sql("DROP TABLE only_select")
 
 
-def test_numbers_of_all_rows(spark):
-    from docloom.operators import fusion
+@pytest.mark.parametrize("one", [100_000, 100])
+def test_numbers_of_all_rows(spark, monkeypatch, one):
+    from docloom.operators import fusion, numbering
     from docloom.operators.numbering import numbered
 
+    monkeypatch.setattr(numbering, "ONE", one)
     df = spark.range(1000).select((999 - F.col("id")).alias("k"), F.lit("x").alias("v")).repartition(7)
     assert all(r["n"] == r["k"] for r in numbered(df, ["k"], "n").collect())
     lists = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "b")], "list_id int, rank int, key string")
