@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.session import stored
+
 
 class Node:
     """A named DataFrame function. ``a | b`` runs a, then b; a dict of nodes is a fan-out."""
@@ -196,13 +198,57 @@ class Tool:
         return run(*columns)
 
     def register(self, spark: SparkSession) -> None:
-        spark.udf.register(self.name, F.udf(self.f, self.returns))
+        """Makes it a function of SQL, over batches of rows as well."""
+        f = self.f
+
+        def run(*series: pd.Series) -> pd.Series:
+            return pd.Series([f(*args) for args in zip(*series, strict=True)], dtype=object)
+
+        spark.udf.register(self.name, F.pandas_udf(run, self.returns, F.PandasUDFType.SCALAR))
 
 
 def tool(f: Callable) -> Tool:
     return Tool(f)
 
 
+class ChainTool:
+    """An operator that is called like a tool: from a table of calls with JSON arguments to a table of answers."""
+
+    def __init__(self, thing: NodeLike, arguments: str, *, name: str | None = None, description: str = "", optional: tuple[str, ...] = ()):
+        self.node, self.arguments, self.optional = node(thing), T.StructType.fromDDL(arguments), optional
+        self.name, self.description = name or self.node.name, description
+
+    def schema(self) -> dict:
+        """A JSON schema of the arguments."""
+
+        def shape(kind: T.DataType) -> dict:
+            if isinstance(kind, T.ArrayType):
+                return {"type": "array", "items": shape(kind.elementType)}
+            if isinstance(kind, T.StructType):
+                return {"type": "object", "properties": {f.name: shape(f.dataType) for f in kind}}
+            return {"type": {"string": "string", "boolean": "boolean", "int": "integer", "bigint": "integer"}.get(kind.simpleString(), "number" if isinstance(kind, T.NumericType) else "string")}
+
+        return {"name": self.name, "description": self.description, "parameters": {**shape(self.arguments), "required": [f.name for f in self.arguments if f.name not in self.optional]}}
+
+    def __call__(self, calls: DataFrame, *, key: str = "call_id", args: str = "args") -> DataFrame:
+        """key, content (the columns that the operator adds, as JSON; null if it drops the row) and error (null if it ran).
+
+        Arguments that aren't a JSON object of the right types, or lack one that isn't optional, are an error of their call alone.
+        """
+        rows = stored(calls.select(key, F.from_json(args, self.arguments, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("a"), F.col(args).alias("__args")), "calls")
+        wrong = F.when(F.get_json_object("__args", "$").isNull(), "the arguments aren't JSON")
+        for f in self.arguments:
+            given = F.get_json_object("__args", f"$.{f.name}")
+            if f.name not in self.optional:
+                wrong = wrong.when(given.isNull(), f"{f.name} is missing")
+            wrong = wrong.when(given.isNotNull() & F.col("a")[f.name].isNull(), f"{f.name} is no {f.dataType.simpleString()}")
+        marked = rows.withColumn("error", wrong)
+        made = self.node(marked.where("error IS NULL").select(key, "a.*"))
+        more = [c for c in made.columns if c != key and c not in self.arguments.fieldNames()]
+        done = made.select(F.col(key), F.to_json(F.struct(*more)).alias("content"))
+        return marked.select(key, "error").join(done, key, "left").select(key, "content", "error")
+
+
 def cyclic_responses(responses: list[str], number: Column | str) -> Column:
     """A stand-in for a model: the responses in turn, by row number from 0."""
     return F.get(F.array(*map(F.lit, responses)), F.pmod(number, F.lit(len(responses))).cast("int"))

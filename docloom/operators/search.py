@@ -189,6 +189,11 @@ def search_by_text(rows: DataFrame, queries: DataFrame, embed: Column, **how) ->
     return top_k(rows, queries.withColumn("query_embedding", embed), **how)
 
 
+def search_by_image(rows: DataFrame, files: DataFrame, embed: Column, *, query_id: str = "path", **how) -> DataFrame:
+    """top_k for image files (path and content, as ``sources.tables.blobs`` reads them), whose vector is made of their content by an embedder's column."""
+    return top_k(rows, files.select(query_id, embed.alias("query_embedding")), query_id=query_id, **how)
+
+
 def mmr(candidates: DataFrame, *, k: int = 4, weight: float = 0.5, query_id: str = "query_id", row_id: str = "id", vector: str = "embedding", query_vector: str = "query_embedding") -> DataFrame:
     """Maximal marginal relevance among each query's candidates (its fetch_k nearest): query_id, row_id, position from 1.
 

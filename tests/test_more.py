@@ -190,3 +190,13 @@ def test_a_made_statement_reads_what_it_may(spark, tmp_path):
                 "WITH c AS (SELECT * FROM may_not) SELECT * FROM c", "SELECT a FROM may_read UNION SELECT id FROM may_not"):
         with pytest.raises(ValueError):
             algebra.select_only(spark, bad, ["may_read"])
+
+
+def test_an_operator_as_a_tool(spark):
+    from docloom.operators import algebra
+
+    tool = algebra.ChainTool(lambda df: df.where("n > 0").withColumn("m", F.col("n") + F.size("tags")), "n int, tags array<string>, deep struct<a:double>", name="t", description="d", optional=("deep",))
+    assert tool.schema() == {"name": "t", "description": "d", "parameters": {"type": "object", "properties": {"n": {"type": "integer"}, "tags": {"type": "array", "items": {"type": "string"}}, "deep": {"type": "object", "properties": {"a": {"type": "number"}}}}, "required": ["n", "tags"]}}
+    calls = [(1, '{"n": 2, "tags": ["a"]}'), (2, '{"n": 0, "tags": []}'), (3, None), (4, "no json"), (5, '{"tags": []}'), (6, '{"n": "x", "tags": []}'), (7, '{"n": 1, "tags": [], "deep": {"a": 1}, "more": 3}')]
+    got = {r["call_id"]: (r["content"], r["error"]) for r in tool(spark.createDataFrame(calls, "call_id int, args string")).collect()}
+    assert got == {1: ('{"m":3}', None), 2: (None, None), 3: (None, "the arguments aren't JSON"), 4: (None, "the arguments aren't JSON"), 5: (None, "n is missing"), 6: (None, "n is no int"), 7: ('{"m":1}', None)}
