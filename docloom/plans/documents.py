@@ -93,7 +93,17 @@ def recursive_split(spark: SparkSession, d: str) -> DataFrame:
     return split.split_documents(_docs(spark, d).select("doc_id", "text"), lambda t: split.recursive(t, 1000, 100), overlap=100)
 
 
-@query()
+@query(r"""WITH RECURSIVE p AS (SELECT doc_id, i, piece, sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i, piece FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS piece, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE piece <> '')),
+z AS (SELECT doc_id, i, upto, upto - length(piece) - 1 AS before FROM p),
+-- where a chunk ends at e, the next one holds piece e + 1 and begins as early as the overlap and the size let it
+b AS (SELECT e.doc_id, e.i AS e, e.upto, n.upto AS nupto, coalesce(min(s.i), e.i + 1) AS s FROM z e JOIN z n ON n.doc_id = e.doc_id AND n.i = e.i + 1
+  LEFT JOIN z s ON s.doc_id = e.doc_id AND s.i <= e.i AND e.upto - s.before - 1 <= 50 AND n.upto - s.before - 1 <= 500 GROUP BY e.doc_id, e.i, e.upto, n.upto),
+f AS (SELECT doc_id, 0 AS e, 1 AS s FROM z WHERE i = 1 UNION ALL SELECT doc_id, e, s FROM b),
+t AS (SELECT f.doc_id, f.e AS prior, f.s, greatest(f.e + 1, coalesce(max(x.i), 0)) AS e FROM f JOIN z a ON a.doc_id = f.doc_id AND a.i = f.s LEFT JOIN z x ON x.doc_id = f.doc_id AND x.i > f.e AND x.upto - a.before - 1 <= 500 GROUP BY f.doc_id, f.e, f.s),
+c AS (SELECT doc_id, s, e, 1 AS k FROM t WHERE prior = 0 UNION ALL SELECT t.doc_id, t.s, t.e, c.k + 1 FROM c JOIN t ON t.doc_id = c.doc_id AND t.prior = c.e),
+j AS (SELECT c.doc_id, k, regexp_replace(string_agg(piece, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS chunk FROM c JOIN p ON p.doc_id = c.doc_id AND p.i BETWEEN c.s AND c.e GROUP BY c.doc_id, k)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS chunk_no, chunk FROM j WHERE chunk <> ''""")
 def character_split(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.posexplode(split.character_chunks("text", "\n", 500, 50)).alias("chunk_no", "chunk"))
 

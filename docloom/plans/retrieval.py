@@ -7,7 +7,7 @@ from docloom.functions import text as X
 from docloom.functions import vectors as V
 from docloom.operators import models, retrieval, search
 from docloom.plans.catalogue import query
-from docloom.plans.vectors import _Q
+from docloom.plans.vectors import _Q, mmr_sql
 from docloom.session import table
 
 _RANKED = f"""{_Q}, s AS (SELECT query_id, vec_id, label, round(list_cosine_similarity(v, qv), 12) AS score FROM q, e),
@@ -36,7 +36,7 @@ def retriever_threshold(spark: SparkSession, d: str) -> DataFrame:
     return r(q).select("query_id", "vec_id", "rank")
 
 
-@query()
+@query(f"{mmr_sql(3, 12, 0.3)} SELECT query_id, vec_id, position AS rank, label FROM pick3")
 def retriever_mmr(spark: SparkSession, d: str) -> DataFrame:
     r, q = _retriever(spark, d, "mmr", k=3, fetch_k=12, weight=0.3)
     return r(q).select("query_id", "vec_id", "rank", "label")

@@ -104,7 +104,18 @@ def vector_centroids(spark: SparkSession, d: str) -> DataFrame:
     return search.centroids(table(spark, d, "embeddings"), "label").withColumn("value", F.round("value", 6))
 
 
-@query()
+def mmr_sql(k: int, fetch: int, weight: float) -> str:
+    """CTEs up to pick (query_id, vec_id, label, position): the greedy choice, a step at a time."""
+    steps = [f"""{_Q}, near AS (SELECT query_id, vec_id, label, v, round(list_cosine_similarity(v, qv), 12) AS sim FROM q, e QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= {fetch}),
+pick1 AS (SELECT query_id, vec_id, label, v, 1 AS position FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) = 1)"""]
+    for i in range(2, k + 1):
+        steps.append(f"""most{i} AS (SELECT n.query_id, n.vec_id, any_value(n.label) AS label, any_value(n.v) AS v, any_value(n.sim) AS sim, max(list_cosine_similarity(n.v, p.v)) AS most FROM near n JOIN pick{i - 1} p ON p.query_id = n.query_id
+GROUP BY n.query_id, n.vec_id HAVING bool_and(p.vec_id <> n.vec_id)),
+pick{i} AS (SELECT * FROM pick{i - 1} UNION ALL (SELECT query_id, vec_id, label, v, {i} FROM most{i} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round({weight}e0 * sim - {1 - weight}e0 * most, 11) DESC, vec_id) = 1))""")
+    return ",\n".join(steps)
+
+
+@query(f"{mmr_sql(4, 20, 0.5)} SELECT query_id, vec_id, position FROM pick4")
 def mmr_topk(spark: SparkSession, d: str) -> DataFrame:
     e, q = _queries(spark, d)
     return search.mmr_search(e, q, row_id="vec_id")
