@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,17 +56,34 @@ def _made(spark: SparkSession) -> list[str]:
     return spark.sparkContext.__dict__.setdefault("_docloom_made", [])
 
 
-def sweep(spark: SparkSession) -> int:
-    """Deletes the tables that ``stored`` has written so far; results that are still to be read from them must be done. Gives their number."""
-    made, conf = _made(spark), spark._jsc.hadoopConfiguration()
-    for path in made:
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes the tables that ``stored`` has written so far; results that are still to be read from them must be done. Gives their number."""
+    made = _made(spark)
+    _delete(spark, made)
     n = len(made)
     made.clear()
     return n
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that ``stored`` has written within: for a query whose result is written there, too."""
+    made = _made(spark)
+    before = len(made)
+    try:
+        yield
+    finally:
+        _delete(spark, made[before:])
+        del made[before:]
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession

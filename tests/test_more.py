@@ -179,6 +179,18 @@ def test_sweep_deletes_what_is_stored(spark):
         session.stored(spark.range(3), "y").unionByName(df).count()
 
 
+def test_scratch_deletes_what_is_stored_within(spark):
+    from docloom import session
+
+    outer = session.stored(spark.range(2), "x")
+    with session.scratch(spark):
+        inner = session.stored(spark.range(3), "y")
+        assert inner.count() == 3
+    assert outer.count() == 2
+    with pytest.raises(Exception, match="(?i)not.*exist|FILE_NOT_EXIST"):
+        inner.count()
+
+
 def test_a_made_statement_reads_what_it_may(spark, tmp_path):
     from docloom.operators import algebra
 
