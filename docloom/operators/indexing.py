@@ -123,7 +123,8 @@ def step(batch: DataFrame, state: DataFrame, namespace: str, now: float, *, clea
             raise ValueError(f"{cleanup} cleanup needs a source column")
         if batch.where(F.col(source).isNull()).take(1):
             raise ValueError("a document has no source")
-    marked = classify(batch, state, namespace, key=key, force=force, order=order)
+    # stored, as each is read several times, and as plans of states made of states grow with each batch
+    marked = stored(classify(batch, state, namespace, key=key, force=force, order=order), "marked")
     seen = marked.where("action <> 'duplicate'").select(F.col(key).alias("key"), (F.col(source) if source else F.lit(None)).cast("string").alias("group_id"))
     gone = state.where(F.col("namespace") == namespace).join(seen.select("key"), "key", "left_anti")
     if cleanup is None:
@@ -134,6 +135,7 @@ def step(batch: DataFrame, state: DataFrame, namespace: str, now: float, *, clea
     after = update_records(state, namespace, seen, now)
     if cleanup:
         after = after.join(gone.withColumn("namespace", F.lit(namespace)), ["namespace", "key"], "left_anti")
+    after, gone = stored(after, "state"), stored(gone, "gone")
     n = {r["action"]: r["count"] for r in marked.groupBy("action").count().collect()}
     counts = {"num_added": n.get("added", 0), "num_updated": n.get("updated", 0), "num_skipped": n.get("skipped", 0) + n.get("duplicate", 0), "num_deleted": gone.count() if cleanup else 0}
     return Step(marked.where("action IN ('added', 'updated')").drop("action"), gone, after, counts)
