@@ -27,6 +27,7 @@ from docloom.session import stored
 FEW = 10_000  # queries that are broadcast
 BYTES = 64_000_000  # and what their vectors may take
 BLOCK = 8192  # rows of a block
+MANY = 256  # queries for which it pays to look for equal vectors
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank", offset: int = 0) -> DataFrame:
@@ -112,6 +113,8 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 4, row_id: str = "id"
     kinds = [queries.schema[query_id].dataType.simpleString(), rows.schema["r"].dataType.simpleString(), "double"]
     schema = ", ".join(f"`{n}` {t}" for n, t in zip(names, kinds, strict=True))
     most, few = k + offset, few_vectors(queries, query_id, query_vector)
+    if few is None or len(few[1]) > MANY:
+        rows = _first_of_equals(rows, most)
     if few is not None:
         shared = rows.sparkSession.sparkContext.broadcast(few)
 
@@ -128,6 +131,14 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 4, row_id: str = "id"
     return ranked(found, [query_id], [best, F.col(row_id)], k, offset=offset)
 
 
+def _first_of_equals(rows: DataFrame, k: int) -> DataFrame:
+    """Of rows with equal vectors the k of least id, as only those can be hits; all rows where most vectors are distinct."""
+    n = rows.agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("v")).alias("distinct")).first()
+    if 2 * k * n["distinct"] > n["n"]:
+        return rows
+    return stored(ranked(rows, ["v"], [F.col("r")], k).select("r", "v"), "distinct")
+
+
 def _in_blocks(rows: DataFrame, queries: DataFrame, k: int, metric: str, threshold: float | None, strict: bool, names: list[str], schema: str) -> DataFrame:
     """The k best of each block of rows for each query, for any number of queries: a group is a block of either side."""
     n, m = (max(1, -(-df.count() // BLOCK)) for df in (rows, queries))
