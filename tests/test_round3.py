@@ -20,3 +20,13 @@ def test_of_equal_vectors_only_the_first_are_scored(spark, monkeypatch):
     got = {(x["query_id"], x["id"], x["rank"]) for x in search.top_k(df, queries, k=3, metric="l2").collect()}
     want = {(q, i, n) for q, v in asked for n, (_, i) in enumerate(sorted((round(abs(w[0] - v[0]), 12), i) for i, w in rows)[:3], 1)}
     assert got == want and seen[0].count() == 30
+
+
+def test_texts_of_a_group_are_read_as_a_stream(spark):
+    rows = [(i, f"g{i % 3}" if i % 7 else None, None if i % 5 == 0 or i % 3 == 2 else f"t{i} ä") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(7)
+    out = summaries.stuffed(df, by="lang", order="doc_id")
+    got = {x["lang"]: x["body"] for x in out.collect()}
+    want = {g: "\n\n".join(t for _, k, t in rows if k == g and t is not None) or None for g in ("g0", "g1", "g2", None)}
+    assert got == want and got["g2"] is None
+    assert "collect_list" not in out._jdf.queryExecution().toString()
