@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.folds import folded
+
 
 def jaro(a: str, b: str) -> float:
     """Jaro similarity."""
@@ -238,21 +240,31 @@ def best_match(left: DataFrame, right: DataFrame, on: list[str], similarity: Col
 def greedy_pairs(scored: DataFrame, by: str, threshold: float, *, left_id: str, right_id: str) -> DataFrame:
     """One-to-one pairs in each group: left rows in order take the best right row still free with the threshold at least.
 
-    A group (one clause of one document) is folded in one pandas call.
+    A group (one clause of one document) is a fold over its rows in order, so a task reads many groups as one stream.
     """
     kinds = {f.name: f.dataType.simpleString() for f in scored.schema}
 
-    def pair(group: pd.DataFrame) -> pd.DataFrame:
-        out, used = [], set()
-        for l, part in group[group.score >= threshold].sort_values([left_id, right_id]).groupby(left_id, sort=True):
-            free = part[~part[right_id].isin(used)]
-            if len(free):
-                best = free.loc[free.score.idxmax()]
-                used.add(best[right_id])
-                out.append((group[by].iloc[0], l, best[right_id], float(best.score)))
-        return pd.DataFrame(out, columns=[by, left_id, right_id, "score"])
-
-    return scored.groupBy(by).applyInPandas(pair, f"{by} {kinds[by]}, {left_id} {kinds[left_id]}, {right_id} {kinds[right_id]}, score double")
+    class Pairs:
+        def __init__(self):
+            self.used, self.left, self.best = set(), None, None
+
+        def step(self, left: object, right: object, score: float) -> list[tuple]:
+            out = self.end() if left != self.left else []
+            self.left = left
+            if right not in self.used and (self.best is None or score > self.best[1]):
+                self.best = right, score
+            return out
+
+        def end(self) -> list[tuple]:
+            if self.best is None:
+                return []
+            out = [(self.left, *self.best)]
+            self.used.add(self.best[0])
+            self.best = None
+            return out
+
+    rows = scored.select(by, left_id, right_id, F.col("score").cast("double").alias("score")).where((F.col("score") >= threshold) & ~F.isnan("score") & F.col(left_id).isNotNull())
+    return folded(rows, Pairs, f"`{left_id}` {kinds[left_id]}, `{right_id}` {kinds[right_id]}, score double", by=by, order=[left_id, right_id], values=[left_id, right_id, "score"])
 
 
 def _edits(pattern: str, text: str, anywhere: bool) -> Iterator[int]:

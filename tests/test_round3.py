@@ -30,3 +30,20 @@ def test_texts_of_a_group_are_read_as_a_stream(spark):
     want = {g: "\n\n".join(t for _, k, t in rows if k == g and t is not None) or None for g in ("g0", "g1", "g2", None)}
     assert got == want and got["g2"] is None
     assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_greedy_pairs_are_a_fold(spark):
+    r = random.Random(4)
+    rows = [(g, i, j, r.choice([0.2, 0.5, 0.5, 0.9, float("nan")])) for g in range(20) for i in range(4) for j in range(4)]
+    want = set()
+    for g in range(20):
+        used = set()
+        for i in range(4):
+            free = [(-s, j) for k, a, j, s in rows if k == g and a == i and s >= 0.45 and j not in used]
+            if free:
+                s, j = min(free)
+                used.add(j)
+                want.add((g, i, j, -s))
+    out = evaluate.greedy_pairs(spark.createDataFrame(rows, "g long, l long, r long, score double"), "g", 0.45, left_id="l", right_id="r")
+    assert {tuple(x) for x in out.collect()} == want
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
