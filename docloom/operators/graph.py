@@ -46,23 +46,27 @@ def as_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.crossJoin(e).select(F.to_json(F.struct("nodes", "edges")).alias("graph"))
 
 
-def run_tree(runs: DataFrame, *, run: str = "run_id", parent: str = "parent_id", order: Column | str = "start") -> DataFrame:
+def run_tree(runs: DataFrame, *, run: str = "run_id", parent: str = "parent_id", order: Column | str = "start", path: bool = True) -> DataFrame:
     """runs with trace_id (the root's id), depth and path: start times and ids from the root, to sort by.
 
-    Level by level: each round joins the last level's children and stores them, until there are none; a run whose parent is missing
-    is a root, and runs that are their own ancestors have no place.
+    Level by level: each round joins the runs that have no place yet with the last level and stores those left, until a level is
+    empty; so a run is read as often as it is deep, and no more. A run whose parent is missing is a root, and runs that are their
+    own ancestors have no place. path: without it, start times aren't read.
     """
     key = (F.col(order) if isinstance(order, str) else order).cast("string")
-    rows = runs.withColumn("__key", F.concat_ws("", key, F.col(run).cast("string")))
-    known = runs.select(F.col(run).alias(parent), F.lit(True).alias("__has"))
-    marked = rows.join(known, parent, "left")
-    level = stored(marked.where("__has IS NULL").select(F.col(run).alias("__run"), F.col(run).alias("trace_id"), F.lit(0).alias("depth"), F.col("__key").alias("path")), "level")
-    children = stored(marked.where("__has").select(F.col(run).alias("__child"), F.col(parent).alias("__run"), "__key"), "children")
-    levels = []
+    named = [F.concat_ws("", key, F.col(run).cast("string")).alias("__key")] if path else []
+    rows = runs.select(F.col(run).alias("__child"), F.col(parent).alias("__run"), *named)
+    known = runs.select(F.col(run).alias("__run"), F.lit(True).alias("__has"))
+    marked = rows.where("__run IS NOT NULL").join(known, "__run", "left")
+    marked = stored(marked.unionByName(rows.where("__run IS NULL").withColumn("__has", F.lit(None).cast("boolean"))), "marked")
+    level = marked.where("__has IS NULL").select(F.col("__child").alias("__run"), F.col("__child").alias("trace_id"), F.lit(0).alias("depth"), *([F.col("__key").alias("path")] if path else []))
+    left, levels = marked.where("__has").drop("__has"), []
+    below = [F.concat_ws(".", "path", "__key").alias("path")] if path else []
     while level.take(1):
         levels.append(level)
-        below = children.join(level, "__run").select(F.col("__child").alias("__run"), "trace_id", (F.col("depth") + 1).alias("depth"), F.concat_ws(".", "path", "__key").alias("path"))
-        level = stored(below, "level")
+        both = stored(left.join(level, "__run", "left"), "level")
+        level = both.where("depth IS NOT NULL").select(F.col("__child").alias("__run"), "trace_id", (F.col("depth") + 1).alias("depth"), *below)
+        left = both.where("depth IS NULL").select(left.columns)
     placed = reduce(DataFrame.unionByName, levels) if levels else level
     return runs.join(placed.withColumnRenamed("__run", run), run)
 

@@ -50,7 +50,7 @@ def cached_values(spark: SparkSession, d: str) -> DataFrame:
 UNION ALL SELECT e.event_id, t.trace_id, t.depth + 1 FROM events e JOIN t ON t.event_id = (e.event_id - 1) WHERE e.event_id % 8 <> 0) SELECT event_id, trace_id, depth FROM t""")
 def run_tree(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 8 != 0, F.col("event_id") - 1).alias("parent_id"), "ts")
-    return graph.run_tree(e, run="event_id", parent="parent_id", order="ts").select("event_id", "trace_id", "depth")
+    return graph.run_tree(e, run="event_id", parent="parent_id", order="ts", path=False).select("event_id", "trace_id", "depth")
 
 
 @query("SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand) > 1 THEN p_brand || '_' || row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) ELSE p_brand END AS new_id FROM part")

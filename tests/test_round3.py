@@ -47,3 +47,16 @@ def test_greedy_pairs_are_a_fold(spark):
     out = evaluate.greedy_pairs(spark.createDataFrame(rows, "g long, l long, r long, score double"), "g", 0.45, left_id="l", right_id="r")
     assert {tuple(x) for x in out.collect()} == want
     assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+
+
+def test_a_round_of_a_run_tree_reads_what_has_no_place(spark, monkeypatch):
+    seen = []
+    stored = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: seen.append(stored(df, name)) or seen[-1])
+    runs = spark.createDataFrame([(i, i - 1 if i % 10 else None, i) for i in range(100)], "run_id long, parent_id long, start int")
+    out = graph.run_tree(runs, path=False)
+    assert {(x["run_id"], x["trace_id"], x["depth"]) for x in out.collect()} == {(i, i - i % 10, i % 10) for i in range(100)}
+    assert [df.count() for df in seen] == [100, 90, 80, 70, 60, 50, 40, 30, 20, 10, 0]
+    assert "start" not in seen[0].columns and "__key" not in seen[0].columns
+    whole = graph.run_tree(runs).where(F.col("run_id") == 1).first()
+    assert whole["path"] == "00.11"
