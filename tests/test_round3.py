@@ -60,3 +60,23 @@ def test_a_round_of_a_run_tree_reads_what_has_no_place(spark, monkeypatch):
     assert "start" not in seen[0].columns and "__key" not in seen[0].columns
     whole = graph.run_tree(runs).where(F.col("run_id") == 1).first()
     assert whole["path"] == "00.11"
+
+
+def test_a_round_of_answers_shuffles_tokens_once(spark, monkeypatch):
+    """What a round stores is read from one join of the open questions with their tokens."""
+    from docloom.operators import flare
+
+    seen = []
+    stored = flare.stored
+    monkeypatch.setattr(flare, "stored", lambda df, name: seen.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("Join "))) or stored(df, name))
+    questions = spark.createDataFrame([(i, f"q{i}") for i in range(6)], "query_id long, question string")
+
+    def generate(now):
+        token = lambda pos, text, prob: F.struct(F.lit(pos).alias("pos"), text.alias("token"), F.lit(prob).alias("prob"))
+        low = F.when(F.col("query_id") % 2 == 0, 0.1).otherwise(0.9)
+        return now.select("query_id", F.inline(F.array(token(0, F.lit("a"), 0.9), F.struct(F.lit(1).alias("pos"), F.lit("b").alias("token"), low.alias("prob")), token(2, F.lit(" FINISHED"), 0.9))))
+
+    found = lambda asked: asked.select("query_id", "span_no", F.concat("asked", F.lit(" found FINISHED")).alias("text"))
+    out = flare.answered(questions, generate, lambda q, r, s: F.concat(q, F.lit(":"), s), found, lambda q, r, c: c, pad=0)
+    assert {(r["query_id"], r["response"], r["rounds"], r["done"]) for r in out.collect()} == {(i, "ab" if i % 2 else f"q{i}:b found", 1, True) for i in range(6)}
+    assert seen == [("round", 0), ("said", 1), ("asked", 0), ("round", 1)]
