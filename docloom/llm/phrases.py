@@ -3,8 +3,11 @@
 1. Words are counted per language; each frequent word gets a 64-bit id. Pairs of neighbours are counted by their numbers
    (or hashes), and those that can't be frequent are left out of what follows (a filter only: counts are taken from the ids).
    Texts are kept as the words' numbers, so that they are taken apart twice in all.
-2. Each occurrence of a frequent pair becomes a pointer: the ids of the up to five words that start there, as far as the
-   pairs are frequent and the piece goes. Equal pointers are added up in their task and again when they meet.
+   Three words in a row are counted in hash buckets next, where both their pairs can be frequent: a bucket below the least
+   count has no frequent phrase of three words. A bucket counts to the least count in a task, so it takes a byte or two.
+2. Each occurrence of three words that can be frequent becomes a pointer: the ids of the up to five words that start there, as
+   far as three words in a row can be frequent and the piece goes. Equal pointers are added up in their task and again when they
+   meet. Phrases of two words have their counts from the pairs; where those are hashes, pairs become pointers, too.
 3. Pointers are projected per prefix. A prefix of at most a ``SHARE``-th of all pointers (but for the bounds ``POINTERS``) is
    one task's work: they lie there in order, and phrases grow depth-first, each longer prefix being a run of its parent's
    run. Of a larger one only the sum is taken, by a partial aggregation, and its longer prefixes are tasks of their own;
@@ -42,6 +45,9 @@ FEW = 4_000_000
 CHUNK = 1_000_000  # words counted at once
 CACHE = 400_000
 HELD = 2_000_000  # rows of at most six numbers that a task adds up
+BUCKETS = (16, 27)  # least and most bits of a bucket's number
+FILL = 8  # words for each bucket
+BLOCKS = 4096  # of buckets, each a row of a task
 RANKED = 100_000  # phrases ranked by one task
 NO_LANG = "und"
 
@@ -195,23 +201,84 @@ def pair_counts(runs: DataFrame, dense: bool) -> DataFrame:
     return runs.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def pointers(runs: DataFrame, frequent, pairs) -> DataFrame:
-    """(w1 .. w5, n): the ids of words from each occurrence of a frequent pair on, 0 after its end, and how often they occur so."""
+def _go_on(ids: np.ndarray, dense: bool, pairs) -> np.ndarray:
+    """Whether each word and the next can be a frequent pair."""
+    both = (ids[:-1] != 0) & (ids[1:] != 0)
+    if pairs is not None:
+        some = np.flatnonzero(both)
+        both[some] = _among(_pairs(ids, dense)[some], pairs.value)
+    return both
+
+
+def _buckets(ids: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket of the three words from each place on."""
+    h = np.zeros(len(at), np.uint64)
+    for d in range(3):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + ids[at + d].view(np.uint64))
+    return (h >> np.uint64(64 - bits)).view(np.int64)
+
+
+def full_buckets(runs: DataFrame, frequent, pairs, least: int, words: int):
+    """(bits, one bit for each bucket): whether three words whose pairs can be frequent occur in it least times in all; broadcast."""
+    bits = min(max((max(words, 1) // FILL).bit_length(), BUCKETS[0]), BUCKETS[1])
+    size = (1 << bits) // BLOCKS
+    kind = np.min_scalar_type(least)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << bits, kind)
+        for ids in _runs(batches, frequent is not None):
+            goes_on = _go_on(ids, frequent is not None, pairs)
+            bucket, n = np.unique(_buckets(ids, np.flatnonzero(goes_on[:-1] & goes_on[1:]), bits), return_counts=True)
+            table[bucket] = np.minimum(table[bucket].astype(np.int64) + n, least)
+        rows = [(b, at) for b in range(BLOCKS) if len(at := np.flatnonzero(table[b * size : (b + 1) * size]))]
+        for i in range(0, len(rows), 256):
+            part = rows[i : i + 256]
+            found = [[b for b, _ in part], [at.astype(np.uint16).tobytes() for _, at in part], [table[b * size + at].tobytes() for b, at in part]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "at", "n"])
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sums = None, np.zeros(size, np.int64)
+        take = lambda: pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(sums >= least).tobytes()], pa.binary())], ["block", "full"])
+        for batch in batches:
+            for b, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != block:
+                    if block is not None:
+                        yield take()
+                    block, sums = b, np.zeros(size, np.int64)
+                sums[np.frombuffer(at, np.uint16)] += np.frombuffer(n, kind)
+        if block is not None:
+            yield take()
+
+    counted = runs.mapInArrow(count, "block int, at binary, n binary").repartition("block").sortWithinPartitions("block")
+    found = stored(counted.mapInArrow(full, "block int, full binary"), "buckets")
+    flags = np.zeros((BLOCKS, size // 8), np.uint8)
+    for row in found.collect():
+        flags[row["block"]] = np.frombuffer(row["full"], np.uint8)
+    return runs.sparkSession.sparkContext.broadcast((bits, flags.ravel()))
+
+
+def pointers(runs: DataFrame, frequent, pairs, full) -> DataFrame:
+    """(w1 .. w5, n): the ids of words from each occurrence of three words that can be frequent on, 0 after its end, and how often they occur so.
+
+    Without ``frequent``, of a pair that can be frequent, too.
+    """
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = None if frequent is None else np.concatenate([[0], frequent.value])
 
         def found() -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+            bits, flags = full.value
             for ids in _runs(batches, frequent is not None):
                 ids = np.concatenate([ids, np.zeros(LONGEST, np.int64)])
-                goes_on = (ids[:-1] != 0) & (ids[1:] != 0)
-                if pairs is not None:
-                    some = np.flatnonzero(goes_on)
-                    goes_on[some] = _among(_pairs(ids, frequent is not None)[some], pairs.value)
-                at = np.flatnonzero(goes_on)
-                columns, live = [ids[at]], np.ones(len(at), bool)
-                for d in range(1, LONGEST):
-                    live = live & goes_on[np.minimum(at + d - 1, len(goes_on) - 1)]
+                goes_on = _go_on(ids, frequent is not None, pairs)
+                three = np.zeros(len(ids), bool)
+                some = np.flatnonzero(goes_on[:-1] & goes_on[1:])
+                bucket = _buckets(ids, some, bits)
+                three[some] = flags[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1
+                at = np.flatnonzero(goes_on if frequent is None else three)
+                columns, live = [ids[at], ids[at + 1]], np.ones(len(at), bool)
+                for d in range(2, LONGEST):
+                    live = live & three[at + d - 2]
                     columns.append(np.where(live, ids[at + d], 0))
                 yield columns, np.ones(len(at), np.int64)
 
@@ -223,12 +290,12 @@ def pointers(runs: DataFrame, frequent, pairs) -> DataFrame:
     return runs.mapInArrow(project, f"{words}, n bigint").groupBy(*_COLUMNS).agg(F.sum("n").alias("n"))
 
 
-def grown(columns: list[np.ndarray], n: np.ndarray, depth: int, least: int) -> Iterator[tuple[list[int], int]]:
-    """Phrases of two words or more with their counts, depth-first, from sorted pointers that share their first depth words."""
+def grown(columns: list[np.ndarray], n: np.ndarray, depth: int, least: int, shortest: int = 2) -> Iterator[tuple[list[int], int]]:
+    """Phrases of ``shortest`` words or more with their counts, depth-first, from sorted pointers that share their first depth words."""
     stack = [(0, len(n), depth)]
     while stack:
         lo, hi, d = stack.pop()
-        if d >= 2:
+        if d >= shortest:
             yield [int(c[lo]) for c in columns[:d]], int(n[lo:hi].sum())
         if d == len(columns):
             continue
@@ -239,7 +306,7 @@ def grown(columns: list[np.ndarray], n: np.ndarray, depth: int, least: int) -> I
         stack += [(lo + a, lo + b, d + 1) for a, b in zip(first[enough].tolist(), ends[enough].tolist(), strict=True)]
 
 
-def _grow(rows: DataFrame, least: int) -> DataFrame:
+def _grow(rows: DataFrame, least: int, shortest: int) -> DataFrame:
     """(ws, a) from pointers with the ``depth`` of the prefix whose task they belong to; a task holds a prefix's pointers at a time."""
     keys = [_COLUMNS[0], *(f"k{d}" for d in range(2, LONGEST + 1))]
     keyed = rows.select(*_COLUMNS, "n", "depth", *(F.when(F.col("depth") >= d, F.col(_COLUMNS[d - 1])).otherwise(0).alias(f"k{d}") for d in range(2, LONGEST + 1)))
@@ -250,7 +317,7 @@ def _grow(rows: DataFrame, least: int) -> DataFrame:
         for t in _groups(batches, keys):
             n = t["n"].to_numpy()
             if n.sum() >= least:
-                for phrase, count in grown([t[c].to_numpy() for c in _COLUMNS], n, t["depth"][0].as_py(), least):
+                for phrase, count in grown([t[c].to_numpy() for c in _COLUMNS], n, t["depth"][0].as_py(), least, shortest):
                     ws.append(phrase)
                     a.append(count)
             if len(a) > 10_000:
@@ -265,8 +332,8 @@ def _few(df: DataFrame, limit: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def frequent_phrases(rows: DataFrame, *, least: int = LEAST, limit: int | None = None) -> DataFrame:
-    """(ws, a): phrases of 2 to 5 words that occur least times at least, from pointers (stored). limit: pointers that one task takes of a prefix."""
+def frequent_phrases(rows: DataFrame, *, least: int = LEAST, limit: int | None = None, shortest: int = 2) -> DataFrame:
+    """(ws, a): phrases of ``shortest`` to 5 words that occur least times at least, from pointers (stored). limit: pointers that one task takes of a prefix."""
     limit = limit or min(max(rows.count() // SHARE, POINTERS[0]), POINTERS[1])
     sizes, found = rows.withColumn("pointers", F.lit(1)), []
     depth = F.lit(LONGEST)
@@ -274,13 +341,13 @@ def frequent_phrases(rows: DataFrame, *, least: int = LEAST, limit: int | None =
         prefix = _COLUMNS[:d]
         sizes = stored(sizes.where(F.col(prefix[-1]) != 0).groupBy(*prefix).agg(F.sum("pointers").alias("pointers"), F.sum("n").alias("n")), "sizes")
         hot = stored(sizes.where(F.col("pointers") > limit).select(*prefix, "n", F.lit(True).alias(f"hot{d}")), "hot")
-        if d > 1:
+        if d >= shortest:
             found.append(hot.where(F.col("n") >= least).select(F.array(*prefix).alias("ws"), F.col("n").alias("a")))
         rows = rows.join(_few(hot.drop("n")), prefix, "left")
         depth = F.when(F.col(f"hot{d}").isNull(), d).otherwise(depth)
     # a pointer that is no longer than its hot prefixes is counted with them
     length = sum((F.col(c) != 0).cast("int") for c in _COLUMNS)
-    out = _grow(rows.withColumn("depth", depth).where(F.col("depth") <= length), least)
+    out = _grow(rows.withColumn("depth", depth).where(F.col("depth") <= length), least, shortest)
     for more in found:
         out = out.unionByName(more)
     return out
@@ -309,9 +376,21 @@ def counted(docs: DataFrame, *, lang: str = "lang", text: str = "text", least: i
     words = stored(every.where(F.col("f") >= least).mapInArrow(named, "lang string, word string, f bigint, id bigint"), "frequent")
     frequent = _broadcast(words.select("id"), few)
     runs = stored(numbers(docs, frequent), "numbers", compression="zstd")
-    pairs = _broadcast(stored(pair_counts(runs, frequent is not None).where(F.col("n") >= least).select("h"), "pairs"), few)
-    rows = stored(pointers(runs, frequent, pairs), "pointers")
-    return words, stored(frequent_phrases(rows, least=least, limit=limit), "phrases"), totals
+    two = stored(pair_counts(runs, frequent is not None).where(F.col("n") >= least), "pairs")
+    pairs = _broadcast(two.select("h"), few)
+    full = full_buckets(runs, frequent, pairs, least, totals.agg(F.sum("n")).first()[0] or 0)
+    rows = stored(pointers(runs, frequent, pairs, full), "pointers")
+    if frequent is None:
+        return words, stored(frequent_phrases(rows, least=least, limit=limit), "phrases"), totals
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column(0).to_numpy()
+            ws = np.stack([frequent.value[(h >> 32) - 1], frequent.value[(h & 0xFFFFFFFF) - 1]], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(list(ws), pa.list_(pa.int64())), b.column(1)], ["ws", "a"])
+
+    phrases = frequent_phrases(rows, least=least, limit=limit, shortest=3).unionByName(two.mapInArrow(spelled, "ws array<bigint>, a bigint"))
+    return words, stored(phrases, "phrases"), totals
 
 
 def _score(a: Column, n: Column, c: Column) -> Column:

@@ -80,3 +80,22 @@ def test_growth_is_depth_first():
     rows = np.array(sorted([(1, 2, 3, 4, 5), (1, 2, 3, 9, 0), (1, 2, 0, 0, 0), (1, 7, 8, 0, 0)]), np.int64)
     got = list(P.grown(list(rows.T), np.array([1, 3, 2, 1], np.int64), 1, 3))
     assert dict((tuple(k), v) for k, v in got) == {(1, 2): 6, (1, 2, 3): 5, (1, 2, 3, 4): 3, (1, 2, 3, 4, 5): 3}
+
+
+def test_pointers_are_of_three_words_that_can_be_frequent(spark, monkeypatch):
+    """All pairs of twelve words are frequent, next to no three of them: the passage alone leaves pointers."""
+    seen, stored = {}, P.stored
+
+    def kept(df, name, **how):
+        seen[name] = stored(df, name, **how)
+        return seen[name]
+
+    monkeypatch.setattr(P, "stored", kept)
+    r = random.Random(5)
+    docs = [("en", " ".join(r.choice("abcdefghijkl") for _ in range(100))) for _ in range(300)] + [("en", "this passage is copied often")] * 100
+    got = P.collocations(spark.createDataFrame(docs, "lang string, text string").repartition(4))
+    assert sorted(map(tuple, got.collect())) == brute(docs)
+    assert seen["pairs"].count() == 148 and seen["pointers"].count() == 3
+    monkeypatch.setattr(P, "BUCKETS", (6, 6))  # buckets that many phrases share
+    monkeypatch.setattr(P, "BLOCKS", 8)
+    assert sorted(map(tuple, P.collocations(spark.createDataFrame(docs, "lang string, text string")).collect())) == brute(docs)
