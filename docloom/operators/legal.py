@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import json
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,80 +38,68 @@ _BULLET = re.compile(r"-\s+\*\*([^*]+)\*\*$")
 _ITEM = re.compile(r"(\d+)\.\s+(.*)$")
 
 
-class _Tidy:
-    """One pass over the lines of a document; gives lines."""
+_BREAK = re.compile(r"\r?\n")
 
-    def __init__(self):
-        self.section, self.sub, self.count = None, False, 0
-        self.seen, self.titled, self.blank, self.made = 0, False, True, 0
 
-    def step(self, line: str) -> list[tuple]:
+def _tidied(text: str) -> list[str]:
+    """The lines of a document in order, in one pass."""
+    section, sub, count = None, False, 0
+    seen, titled, out = 0, False, []
+    for line in _BREAK.split(text):
         s, indented = line.strip(), line.startswith("    ")
         heading = bullet = False
-        if s:
-            self.seen += 1
-        if (m := _BULLET.match(s)) and not indented:
+        if not s:
+            if out and out[-1]:
+                out.append("")
+            continue
+        seen += 1
+        if s[0] == "-" and not indented and (m := _BULLET.match(s)):
             bullet, title = True, m[1].strip()
-            if title.startswith("（") or self.section is None:
-                s = f"**{title}**"
-            else:
-                s = f"**{numeral(self.section + 1)}、{title}**"
-        if m := _SECTION.match(s):
-            self.section, self.sub, heading = _VALUES.get(m[1], self.section), False, True
-        elif _SUB.match(s):
-            self.sub, self.count, heading = True, 0, True
+            s = f"**{title}**" if title.startswith("（") or section is None else f"**{numeral(section + 1)}、{title}**"
+        bold = s.startswith("**")
+        if bold and (m := _SECTION.match(s)):
+            section, sub, heading = _VALUES.get(m[1], section), False, True
+        elif bold and _SUB.match(s):
+            sub, count, heading = True, 0, True
         elif m := _ITEM.match(s):
-            if self.sub:
-                self.count += 1
-            if self.sub or indented:
-                s = f"{self.count if self.sub else m[1]}. {m[2].strip()}"
-            else:
-                s = line.rstrip()
+            if sub:
+                count += 1
+            s = f"{count if sub else m[1]}. {m[2].strip()}" if sub or indented else line.rstrip()
         elif indented and s.startswith(("- ", "* ", "|")):
             s = line.rstrip()
         elif IMAGE in s:
             s, heading = IMAGE, True
         elif not bullet and not indented:
             s = line.rstrip()
-        if s and not self.titled and self.seen <= 20:
-            bare = s[2:-2].strip() if s.startswith("**") and s.endswith("**") and len(s) > 4 else s.strip()
-            if TITLE in bare and len(bare) <= 50 and not bare.startswith("#") and not _SUB.match(s) and not _SECTION.match(s) and not _ITEM.match(s) and not s.startswith((" ", "|", "- ", "* ")):
-                s = f"# {bare}"
-        if s.startswith("# "):
-            heading = True
-        self.titled = self.titled or s.startswith("# ") or bool(_SECTION.match(s))
-        out = [""] * (heading and not self.blank) + ([s] if s or not self.blank else []) + [""] * heading
-        if out:
-            self.blank = not out[-1]
-        self.made += len(out)
-        return [(self.made - len(out) + i, x) for i, x in enumerate(out)]
-
-    def end(self) -> list[tuple]:
-        return []
-
-    def dump(self) -> str:
-        return json.dumps(self.__dict__)
-
-    @classmethod
-    def load(cls, text: str) -> _Tidy:
-        new = cls()
-        new.__dict__.update(json.loads(text))
-        return new
+        if not titled:
+            if seen <= 20 and TITLE in s:
+                bare = s[2:-2].strip() if s.startswith("**") and s.endswith("**") and len(s) > 4 else s.strip()
+                if TITLE in bare and len(bare) <= 50 and not bare.startswith("#") and not _SUB.match(s) and not _SECTION.match(s) and not _ITEM.match(s) and not s.startswith((" ", "|", "- ", "* ")):
+                    s = f"# {bare}"
+            titled = s.startswith("# ") or bool(_SECTION.match(s))
+        if heading or s.startswith("# "):
+            out += [*([""] if out and out[-1] else []), s, ""]
+        else:
+            out.append(s)
+    return out
 
 
 def tidied(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and text: Markdown of contracts in order, in one pass over each document's lines; a second pass changes nothing.
+    """key and text: Markdown of contracts in order, in one pass over each document's lines, where its row lies; a second pass changes nothing.
 
     ``**三、..**`` are sections; a bold bullet after one is the next section, a bold bullet in brackets a subsection. Items
     below a subsection are numbered from 1. What an indent of four hides comes out, but for bullets and tables. A line with
     ``TITLE`` among the first twenty that aren't empty, before any section, is the title. Titles, sections, subsections and
     images stand between empty lines, and there are never two of those in a row. Null texts stay null.
     """
-    lines = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\r?\n")).alias("line_no", "line"))
-    made = folded(lines, _Tidy, "at int, line string", by=key, order=["line_no"], values=["line"])
-    whole = made.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x.line), "\n").alias(text))
-    every = docs.select(key, F.when(F.col(text).isNotNull(), "").alias("__text"))
-    return every.join(whole, key, "left").select(key, F.coalesce(text, "__text").alias(text))
+    schema = docs.select(key, F.col(text).cast("string").alias(text)).schema
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [None if t.as_py() is None else "\n".join(_tidied(t.as_py())) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], [key, text])
+
+    return docs.select(key, F.col(text).cast("string").alias(text)).mapInArrow(tidy, schema)
 
 
 class _Chain:

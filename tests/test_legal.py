@@ -64,3 +64,11 @@ def test_mixed_layouts(spark):
     assert ("report", 1, "风险 A", "c1", "e1", "") in got and ("section", 3, "问题 B", "", "", "s3") in got
     assert ("comment", 1, "违约 no split", "clause tail", "违约 no split", "") in got
     assert not [x for x in got if x[0] == "section" and x[1] == 1]
+
+
+def test_texts_are_tidied_where_they_lie(spark):
+    """No line is shuffled, and rows that share a key or have none are texts of their own."""
+    df = spark.createDataFrame([(1, CONTRACT), (1, "- **x**\r\n\r\n\r\ny"), (None, "**一、总则**")], "doc_id int, text string")
+    out = legal.tidied(df)
+    assert {(r["doc_id"], r["text"]) for r in out.collect()} >= {(None, "**一、总则**\n"), (1, "**x**\n\ny")}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
