@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import compact, for_match
 from docloom.operators import split
 from docloom.operators.folds import folded
+from docloom.session import stored
 
 # Numerals, the word of a title, marks of fields and of risks, as contracts and reviewers write them.
 DIGITS = "一二三四五六七八九十"
@@ -135,29 +136,41 @@ def restored(lines: DataFrame, source: DataFrame, *, by: str = "doc_id") -> Data
     that of the one after it. Paragraphs without a number, and documents without any pair, are left as they are.
     """
     nth = lambda df, order: df.withColumn("nth", F.row_number().over(Window.partitionBy(by, "norm").orderBy(order)))
-    l = lines.select(by, "line_no", F.coalesce("line", F.lit("")).alias("line")).withColumn("norm", for_match("line"))
-    s = source.where(F.col("paragraph").isNotNull()).select(by, "pos", F.trim("paragraph").alias("paragraph")).withColumn("norm", for_match("paragraph"))
-    same = nth(s.where("norm <> ''"), "pos").join(nth(l.where("norm <> ''"), "line_no"), [by, "norm", "nth"]).select(by, "pos", "line_no")
-    chain = folded(same, _Chain, "pos int, line_no int", by=by, order=["pos"], values=["pos", "line_no"])
-    w = Window.partitionBy(by).orderBy("pos")
-    placed = s.join(chain, [by, "pos"], "left").withColumn("before", F.last("line_no", True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.first("line_no", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    lost = placed.where("line_no IS NULL AND (before IS NOT NULL OR after IS NOT NULL)").where(F.col("paragraph").rlike(_NUMBERED)).drop("line_no")
-    # a number or the words alone, on a line that no paragraph has
+    # texts are compared by 16 bytes and meet their places at the end, so that each is shuffled once
+    name = lambda norm: F.when(norm != "", F.unhex(F.md5(norm)))
+    lines = lines.select(by, "line_no", F.coalesce("line", F.lit("")).alias("line"))
+    source = source.where(F.col("paragraph").isNotNull()).select(by, "pos", F.trim("paragraph").alias("paragraph"))
+    # a number or the words alone
     number = F.regexp_extract("paragraph", r"^(\d+、|\d+\.\d+)", 1)
     words = for_match(F.regexp_replace("paragraph", r"^(?:\d+、|\d+\.\d+\s*)", ""))
-    kinds = F.array(*(F.struct(F.lit(i).alias("kind"), x.alias("norm")) for i, x in enumerate((for_match(number), for_match(F.regexp_replace(number, r"^\d+(?=\.)", "")), words))))
-    marks = lost.select(by, "pos", "before", "after", F.inline(kinds)).where("norm <> ''")
+    kinds = F.array(*(F.struct(F.lit(i).alias("kind"), name(x).alias("norm")) for i, x in enumerate((for_match(number), for_match(F.regexp_replace(number, r"^\d+(?=\.)", "")), words))))
+    l = stored(lines.select(by, "line_no", name(for_match("line")).alias("norm")), "lines")
+    s = stored(source.select(by, "pos", name(for_match("paragraph")).alias("norm"), F.when(F.col("paragraph").rlike(_NUMBERED), kinds).alias("kinds")), "paragraphs")
+    same = nth(s.where("norm IS NOT NULL").select(by, "norm", "pos"), "pos").join(nth(l.where("norm IS NOT NULL"), "line_no"), [by, "norm", "nth"]).select(by, "pos", "line_no")
+    chain = stored(folded(same, _Chain, "pos int, line_no int", by=by, order=["pos"], values=["pos", "line_no"]), "chain")
+    w = Window.partitionBy(by).orderBy("pos")
+    placed = s.select(by, "pos", "kinds").join(chain, [by, "pos"], "left").withColumn("before", F.last("line_no", True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.first("line_no", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    lost = stored(placed.where("line_no IS NULL AND (before IS NOT NULL OR after IS NOT NULL) AND kinds IS NOT NULL").drop("line_no"), "lost")
+    # on a line that no paragraph has
+    marks = lost.select(by, "pos", "before", "after", F.inline("kinds")).where("norm IS NOT NULL")
     free = l.join(chain.select(by, "line_no"), [by, "line_no"], "left_anti").select(by, "norm", "line_no")
     found = marks.join(free, [by, "norm"]).where("(before IS NULL OR line_no > before) AND (after IS NULL OR line_no < after)")
     first = lambda of, order: F.row_number().over(Window.partitionBy(by, of).orderBy("kind", order))
-    one = found.withColumn("i", first("pos", "line_no")).where("i = 1").withColumn("j", first("line_no", "pos")).where("j = 1").select(by, "pos", "line_no")
-    mended = one.join(s.select(by, "pos", "paragraph"), [by, "pos"]).select(by, "line_no", F.col("paragraph").alias("new"))
+    one = found.withColumn("i", first("pos", "line_no")).where("i = 1").withColumn("j", first("line_no", "pos")).where("j = 1")
+    one = stored(one.select(by, "pos", "line_no"), "mended")
     # inserted behind what is before it, a mended line too
     known = s.select(by, "pos").join(chain.unionByName(one), [by, "pos"], "left").withColumn("behind", F.last("line_no", True).over(w.rowsBetween(Window.unboundedPreceding, -1))).where("line_no IS NULL").select(by, "pos", "behind")
-    new = lost.join(known, [by, "pos"]).select(by, F.coalesce("behind", "after").alias("line_no"), F.when(F.col("behind").isNull(), -1).otherwise(1).alias("side"), "pos", F.col("paragraph").alias("line"), F.lit("inserted").alias("how"))
-    old = l.join(mended, [by, "line_no"], "left").select(by, "line_no", F.lit(0).alias("side"), F.lit(0).alias("pos"), F.coalesce("new", "line").alias("line"), F.when(F.col("new").isNull(), "kept").otherwise("mended").alias("how"))
+    new = lost.join(known, [by, "pos"]).select(by, F.coalesce("behind", "after").alias("line_no"), F.when(F.col("behind").isNull(), -1).otherwise(1).alias("side"), "pos", F.lit("inserted").alias("how"))
+    old = l.select(by, "line_no").join(one, [by, "line_no"], "left").select(by, "line_no", F.lit(0).alias("side"), "pos", F.when(F.col("pos").isNull(), "kept").otherwise("mended").alias("how"))
     place = F.row_number().over(Window.partitionBy(by).orderBy("line_no", "side", "pos")) - 1
-    return old.unionByName(new).select(by, place.alias("line_no"), "line", "how")
+    rows = stored(old.unionByName(new).withColumn("place", place), "places")
+
+    def told(texts: DataFrame, at: str, text: str, which: Column) -> DataFrame:
+        mine = rows.where(which).select(F.col(by).alias("__by"), F.col(at).alias("__at"), "place", "how")
+        return texts.join(mine, F.col(by).eqNullSafe(F.col("__by")) & F.col(at).eqNullSafe(F.col("__at"))).select(by, F.col("place").alias("line_no"), F.col(text).alias("line"), "how")
+
+    kept = F.col("how") == "kept"
+    return told(lines, "line_no", "line", kept).unionByName(told(source, "pos", "paragraph", ~kept))
 
 
 def _said(words: tuple[str, ...], body: Column | str, more: str = r".+?(?=\n\s*\n|\z)") -> Column:

@@ -72,3 +72,14 @@ def test_texts_are_tidied_where_they_lie(spark):
     out = legal.tidied(df)
     assert {(r["doc_id"], r["text"]) for r in out.collect()} >= {(None, "**一、总则**\n"), (1, "**x**\n\ny")}
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_meet_their_places_at_the_end(spark, monkeypatch):
+    """What the alignment stores and shuffles holds no text; lines without a key stay."""
+    seen, stored = [], legal.stored
+    monkeypatch.setattr(legal, "stored", lambda df, name: seen.append(df.columns) or stored(df, name))
+    a = spark.createDataFrame([(1, 0, "1、alpha"), (None, 0, "lone"), (1, 1, "3、delta")], "doc_id int, line_no int, line string")
+    b = spark.createDataFrame([(1, i, x) for i, x in enumerate(["1、alpha", "2、beta", "3、delta"])], "doc_id int, pos int, paragraph string")
+    got = {tuple(r) for r in legal.restored(a, b).collect()}
+    assert got == {(1, 0, "1、alpha", "kept"), (1, 1, "2、beta", "inserted"), (1, 2, "3、delta", "kept"), (None, 0, "lone", "kept")}
+    assert seen and not {"line", "paragraph"} & {c for columns in seen for c in columns}
