@@ -80,3 +80,21 @@ def test_a_round_of_answers_shuffles_tokens_once(spark, monkeypatch):
     out = flare.answered(questions, generate, lambda q, r, s: F.concat(q, F.lit(":"), s), found, lambda q, r, c: c, pad=0)
     assert {(r["query_id"], r["response"], r["rounds"], r["done"]) for r in out.collect()} == {(i, "ab" if i % 2 else f"q{i}:b found", 1, True) for i in range(6)}
     assert seen == [("round", 0), ("said", 1), ("asked", 0), ("round", 1)]
+
+
+def test_pairs_of_a_table_in_one_part_are_spread(spark, monkeypatch):
+    """No task has more pairs than its share, whatever files the rows lie in, and rows are shuffled once for all slices of queries."""
+    monkeypatch.setattr(search, "FEW", 6)
+    monkeypatch.setattr(search, "PAIRS", 60)
+    r = random.Random(6)
+    vectors = [[r.randrange(64) / 64, r.randrange(64) / 64] for _ in range(120)]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "id long, embedding array<double>").coalesce(1)
+    asked = rows.where("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    out = search.score_pairs(rows, asked, metrics=["l1", "ip"]).withColumn("task", F.spark_partition_id())
+    got = out.collect()
+    want = {(q, i, abs(v[0] - w[0]) + abs(v[1] - w[1])) for i, v in enumerate(vectors) for q, w in enumerate(vectors) if q % 10 == 0}
+    assert len(got) == 1440 and {(x["query_id"], x["id"], x["l1"]) for x in got} == want
+    each = [sum(x["task"] == t for x in got) for t in {x["task"] for x in got}]
+    assert max(each) <= 60 and len(each) >= 24
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == plan.count("MapInArrow") - 1 > 0
