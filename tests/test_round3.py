@@ -98,3 +98,12 @@ def test_pairs_of_a_table_in_one_part_are_spread(spark, monkeypatch):
     assert max(each) <= 60 and len(each) >= 24
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("ReusedExchange") == plan.count("MapInArrow") - 1 > 0
+
+
+def test_slices_of_queries_that_share_an_id(spark, monkeypatch):
+    """Rows are sliced by a number of their own; by id, a slice of one id never became smaller."""
+    monkeypatch.setattr(search, "FEW", 6)
+    asked = spark.createDataFrame([(7, [float(i // 2), 1.0]) for i in range(20)] + [(None, [0.0, 0.0]), (8, None)], "query_id long, query_embedding array<double>")
+    found = list(search.slices(asked, "query_id", "query_embedding"))
+    assert all(len(ids) == len(v) <= 6 for ids, v in found)
+    assert sorted((i, *x) for ids, v in found for i, x in zip(ids.to_pylist(), v.tolist(), strict=True)) == [(7, float(i // 2), 1.0) for i in range(20)]
